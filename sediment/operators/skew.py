@@ -17,7 +17,7 @@ def lookup_join(left: DataFrame, right: DataFrame, key: str, how: str = "left",
     """Sort-merge join of left with right on key. Hot keys are spread over salts and their right rows
     repeated once per salt. Null keys match nothing and stay with a left join.
 
-    right must hold one row per key; columns other than key must not clash."""
+    how may be left, inner, left_semi or left_anti. right must hold one row per key; columns other than key must not clash."""
     spark = left.sparkSession
     counts = left.where(F.col(key).isNotNull()).groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
     hot = counts.where(F.col("_n") >= hot_rows).orderBy(F.desc("_n")).limit(HOT_KEYS).collect()

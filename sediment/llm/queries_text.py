@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sediment.llm.conversations import conversations
+from sediment.llm.pii import ASKED, listed_people, redacted
 from sediment.sources import table
 
 
@@ -18,7 +19,26 @@ def p5_conversations(spark, d):
     return conversations(table(spark, d, "notes")).select("session_id", "position", "note_id", "role", F.unix_millis("at").alias("at_ms"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations}
+def _with_pii(spark, d):
+    people = listed_people(table(spark, d, "personas"))
+    parts = [
+        redacted(table(spark, d, t).where("id is not null").select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "content"), "content", people)
+        for t in ("memories", "notes")
+    ]
+    return parts[0].unionByName(parts[1])
+
+
+def p6_found(spark, d):
+    kinds = _with_pii(spark, d).select("table_name", "row_id", F.explode("pii.kinds").alias("kind"))
+    return kinds.where(F.col("kind").isin(*ASKED)).distinct()
+
+
+def p6_redacted(spark, d):
+    """Every row of memories and notes with placeholders in its text."""
+    return _with_pii(spark, d).select("table_name", "row_id", F.col("pii.clean").alias("content"), F.array_join("pii.kinds", ",").alias("kinds"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted}
 
 _P5 = """
 WITH r AS (

@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm.conversations import conversations
 from sediment.llm.pii import ASKED, listed_people, redacted
+from sediment.llm.truncation import truncated, truncation_report
 from sediment.sources import table
 
 
@@ -38,7 +39,15 @@ def p6_redacted(spark, d):
     return _with_pii(spark, d).select("table_name", "row_id", F.col("pii.clean").alias("content"), F.array_join("pii.kinds", ",").alias("kinds"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted}
+def p9_found(spark, d):
+    return truncated(table(spark, d, "documents")).select("doc_id").distinct()
+
+
+def p9_report(spark, d):
+    return truncation_report(table(spark, d, "documents"))
+
+
+QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted, "p9_found": p9_found, "p9_report": p9_report}
 
 _P5 = """
 WITH r AS (

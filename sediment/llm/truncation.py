@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from sediment.operators.skew import lookup_join
+from sediment.runtime import materialize
 
 #: Lengths of the n-grams that are counted.
 LENGTHS = (3, 5, 7)
@@ -33,9 +34,8 @@ def prepared(documents: DataFrame) -> DataFrame:
 
 
 def _words(line: Column) -> Column:
-    """The line's words after as many line breaks as the longest n-gram may need."""
-    shaped = F.regexp_replace(F.lower(line), r"[0-9]", "9")
-    return F.concat(F.array_repeat(F.lit(_BREAK), LENGTHS[-1] - 1), F.array_remove(F.split(shaped, r"\s+"), ""))
+    shaped = F.translate(F.lower(line), "012345678", "999999999")
+    return F.array_remove(F.split(shaped, r"\s+"), "")
 
 
 def _bullet(line: Column) -> Column:
@@ -44,25 +44,17 @@ def _bullet(line: Column) -> Column:
     return F.regexp_extract(line, r"^\s*([^\w\s]*)", 1)
 
 
-def _grams(line: Column) -> Column:
-    """For each word of the line: its n-gram digests, the digest of the two words before, and itself."""
-    words = _words(line)
-    k = LENGTHS[-1]
-    digests = F.transform(words, lambda x: F.xxhash64(x))
-    n = F.size(words) - (k - 1)
-    shifted = [F.slice(digests, i + 1, n).alias(f"h{i}") for i in range(k)]
-    return F.arrays_zip(*shifted, F.slice(words, k, n).alias("word"))
+def _back(at: Column, m: int) -> list[Column]:
+    """The m words that end at index ``at`` of the column w; line breaks stand before the first."""
+    return [F.coalesce(F.get("w", at - o), F.lit(_BREAK)) for o in range(m - 1, -1, -1)]
 
 
-def _digests(bullet: str) -> dict[int, Column]:
-    k = LENGTHS[-1]
-    parts = {m: [F.col(f"h{i}") for i in range(k - m, k)] for m in LENGTHS}
-    return {m: F.xxhash64(*p) if m == LENGTHS[0] else F.xxhash64(F.col(bullet), *p) for m, p in parts.items()}
+def _digests(at: Column) -> dict[int, Column]:
+    return {m: F.xxhash64(*_back(at, m)) if m == LENGTHS[0] else F.xxhash64(F.col("bullet"), *_back(at, m)) for m in LENGTHS}
 
 
-def _pair() -> Column:
-    k = LENGTHS[-1]
-    return F.xxhash64(F.col(f"h{k - 3}"), F.col(f"h{k - 2}"), F.lit("pair"))
+def _pair(at: Column) -> Column:
+    return F.xxhash64(*_back(at - 1, 2), F.lit("pair"))
 
 
 def gram_counts(texts: DataFrame) -> DataFrame:
@@ -70,14 +62,15 @@ def gram_counts(texts: DataFrame) -> DataFrame:
     the two words before it are given for trigrams only. Combined before the shuffle."""
     line = F.col("line")
     lines = texts.select(F.explode(F.split("body", r"\n+")).alias("line")).where("trim(line) != ''")
-    cells = lines.select(_bullet(line).alias("bullet"), _grams(line).alias("z"))
-    at = cells.select("bullet", F.size("z").alias("n"), F.posexplode("z").alias("i", "g")).select("bullet", "n", "i", "g.*")
-    digests = _digests("bullet")
+    cells = lines.select(_bullet(line).alias("bullet"), _words(line).alias("w")).withColumn("n", F.size("w"))
+    at = cells.select("bullet", "n", "w", F.posexplode("w").alias("i", "word"))
+    i = F.col("i")
     none_l, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
+    digests = at.select((i == F.col("n") - 1).cast("long").alias("stop"), "word", _pair(i).alias("pair"), *[d.alias(f"g{m}") for m, d in _digests(i).items()])
     rows = F.array(*[
-        F.struct(d.alias("gram"), (_pair() if m == 3 else none_l).alias("pair"), (F.col("word") if m == 3 else none_s).alias("word")) for m, d in digests.items()
+        F.struct(F.col(f"g{m}").alias("gram"), (F.col("pair") if m == 3 else none_l).alias("pair"), (F.col("word") if m == 3 else none_s).alias("word")) for m in LENGTHS
     ])
-    grams = at.select((F.col("i") == F.col("n") - 1).cast("long").alias("stop"), F.explode(rows).alias("r")).select("stop", "r.*")
+    grams = digests.select("stop", F.explode(rows).alias("r")).select("stop", "r.*")
     return grams.groupBy("gram", "pair", "word").agg((F.count(F.lit(1)) - F.sum("stop")).alias("inside"), F.sum("stop").alias("at_end"))
 
 
@@ -103,12 +96,17 @@ def judged(documents: DataFrame) -> DataFrame:
     tails = doubtful.select("key", (F.col("core") != F.col("plain")).alias("dots"), F.explode(F.array(*[
         F.struct(F.lit(dotted).alias("dotted"), last(F.col(c)).alias("line")) for c, dotted in (("core", False), ("plain", True))
     ])).alias("t")).select("key", "dots", "t.*").where("dots or not dotted")
-    tails = tails.select("key", "dots", "dotted", _bullet(F.col("line")).alias("bullet"), F.element_at(_grams(F.col("line")), -1).alias("g")).select("key", "dots", "dotted", "bullet", "g.*")
-    digests = _digests("bullet")
-    ends = tails.select("key", "dots", "dotted", "word", _pair().alias("pair"), F.explode(F.array(*[F.struct(F.lit(m).alias("k"), d.alias("gram")) for m, d in digests.items()])).alias("e"))
-    ends = ends.select("key", "dots", "dotted", "word", "pair", "e.*")
+    tails = tails.select("key", "dots", "dotted", _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w")).where(F.size("w") > 0)
+    end = F.size("w") - 1
+    digests = F.array(*[F.struct(F.lit(m).alias("k"), d.alias("gram")) for m, d in _digests(end).items()])
+    tails = materialize(tails.select("key", "dots", "dotted", F.element_at("w", -1).alias("word"), _pair(end).alias("pair"), digests.alias("grams")))
+    # of all n-grams only those of these ends, and the trigrams that share their first two words
+    wanted = tails.select(F.explode("grams.gram").alias("at")).union(tails.where("not dotted").select(F.col("pair").alias("at"))).distinct()
     counts = gram_counts(texts)
-    seen = lookup_join(ends, counts.select("gram", "inside", "at_end"), "gram", "left")
+    keyed = counts.select("*", F.posexplode(F.array("gram", "pair")).alias("by_pair", "at")).where("at is not null")
+    counts = materialize(keyed.join(wanted, "at", "left_semi"))
+    ends = tails.select("key", "dots", "dotted", "word", "pair", F.explode("grams").alias("e")).select("key", "dots", "dotted", "word", "pair", "e.*")
+    seen = lookup_join(ends, counts.where("by_pair = 0").select("gram", "inside", "at_end"), "gram", "left")
     # the end of the text itself is no evidence; before dots the n-gram flows on, with dots it stops
     flows = F.max(F.when(~F.col("dotted"), F.coalesce("inside", F.lit(0)))).alias("flows")
     stops = F.max(F.when(F.col("dotted") == F.col("dots"), F.greatest(F.coalesce("at_end", F.lit(0)) - 1, F.lit(0)))).alias("stops")
@@ -119,8 +117,7 @@ def judged(documents: DataFrame) -> DataFrame:
         F.max(F.when(short, F.struct("stops", "flows", "pair", "word"))).alias("tri"),
     ).select("key", "best", "tri.*")
     # longer words in place of the last one
-    used = tails.where("not dotted").select(_pair().alias("pair")).distinct()
-    places = counts.where("word is not null").join(used, "pair", "left_semi")
+    places = counts.where("by_pair = 1")
     stems = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(F.lit(1), i))
     starts = places.where("length(word) > 1").select("pair", F.explode(stems).alias("word"), (F.col("inside") + F.col("at_end")).alias("n"))
     starts = starts.groupBy(F.xxhash64("pair", "word").alias("stem")).agg(F.sum("n").alias("longer"))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sediment.llm import queries_text
+from sediment.llm import queries_text, queries_vectors
 
-MODULES = [queries_text]
+MODULES = [queries_text, queries_vectors]
 
 
 def queries():

@@ -5,9 +5,12 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from sediment.llm.conversations import conversations
+from sediment.llm.mixing import mixed
+from sediment.llm.packing import packed_documents, packing_report
 from sediment.llm.pii import ASKED, listed_people, redacted
 from sediment.llm.truncation import truncated, truncation_report
-from sediment.sources import table
+from sediment.llm.tokens import counted
+from sediment.sources import table, tables
 
 
 def p5_found(spark, d):
@@ -39,6 +42,31 @@ def p6_redacted(spark, d):
     return _with_pii(spark, d).select("table_name", "row_id", F.col("pii.clean").alias("content"), F.array_join("pii.kinds", ",").alias("kinds"))
 
 
+def p7_packed(spark, d):
+    """All documents laid into containers of each capacity of context_blocks."""
+    docs, blocks = tables(spark, d, "documents", "context_blocks")
+    return packed_documents(counted(docs.select("doc_id", "text")).select("doc_id", "tokens"), blocks)
+
+
+def p7_report(spark, d):
+    docs, blocks = tables(spark, d, "documents", "context_blocks")
+    return packing_report(packed_documents(counted(docs.select("doc_id", "text")).select("doc_id", "tokens"), blocks), blocks)
+
+
+def _mix(spark, d):
+    docs, targets = tables(spark, d, "documents", "mix_targets")
+    sized = counted(docs.where("trim(text) != ''").select("doc_id", "source", "text")).select("doc_id", "source", "tokens", F.sha2("text", 256).alias("key"))
+    return mixed(sized, targets)
+
+
+def p8_mix(spark, d):
+    return _mix(spark, d)[0]
+
+
+def p8_report(spark, d):
+    return _mix(spark, d)[1]
+
+
 def p9_found(spark, d):
     return truncated(table(spark, d, "documents")).select("doc_id").distinct()
 
@@ -47,7 +75,8 @@ def p9_report(spark, d):
     return truncation_report(table(spark, d, "documents"))
 
 
-QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted, "p9_found": p9_found, "p9_report": p9_report}
+QUERIES = {"p5_found": p5_found, "p5_conversations": p5_conversations, "p6_found": p6_found, "p6_redacted": p6_redacted, "p7_packed": p7_packed, "p7_report": p7_report, "p8_mix": p8_mix,
+           "p8_report": p8_report, "p9_found": p9_found, "p9_report": p9_report}
 
 _P5 = """
 WITH r AS (

@@ -40,8 +40,8 @@ def plan(texts: DataFrame, targets: DataFrame, total_tokens: int | None = None):
 def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = None, offset: float = OFFSET) -> tuple[DataFrame, DataFrame]:
     """(mix, report). documents is (doc_id, source, tokens, key), key being equal for equal texts.
 
-    mix is (doc_id, source, copy, tokens): the expected copies of a source's texts are added up in a fixed
-    pseudo-random order, one offset is added, and a text is emitted once for each whole number crossed, so
+    mix is (doc_id, source, copy, tokens): the expected copies of a source's texts are added up in order of
+    their size, so that all sizes are drawn alike, one offset is added, and a text is emitted once for each whole number crossed, so
     it is used the expected number of times, rounded up or down. report is (source, target_share,
     max_repeats, available, tokens, share) with the shares really reached. Documents without token, with a
     null source or one without target are not used; empty tables give an empty mix."""
@@ -51,8 +51,8 @@ def mixed(documents: DataFrame, targets: DataFrame, total_tokens: int | None = N
     rates = plan(texts, targets, total_tokens)
     table = spark.createDataFrame([(r["source"], float(r["copies"]), float(r["target_share"]), int(r["max_repeats"]), int(r["available"])) for r in rates], "source string, copies double, target_share double, max_repeats long, available long")
     used = texts.join(F.broadcast(table.where("copies > 0").select("source", "copies", "max_repeats")), "source").withColumn("turn", F.xxhash64("doc_id"))
-    seg = range_segments(used, ["source"], ["turn", "doc_id"])
-    at = carry_sum(seg, ["source"], ["turn", "doc_id"], F.lit(1).cast("long"), "before")
+    seg = range_segments(used, ["source"], ["tokens", "turn", "doc_id"])
+    at = carry_sum(seg, ["source"], ["tokens", "turn", "doc_id"], F.lit(1).cast("long"), "before")
     # before * copies is the prefix sum of expected copies; a product keeps it exact for any number of texts
     crossed = F.floor((F.col("before") + 1) * F.col("copies") + offset) - F.floor(F.col("before") * F.col("copies") + offset)
     times = F.least(crossed, F.col("max_repeats"))

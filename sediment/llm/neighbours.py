@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm.vectors import DIMENSION, one_per_copy, one_per_id, packed, unpacked, usable
 from sediment.operators.skew import lookup_join
+from sediment.runtime import materialize
 
 #: Vectors per pivot, and the limits of their number (8 MB of pivots at most).
 PER_PIVOT, FEWEST, MOST = 180, 16, 16_384
@@ -184,7 +185,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
         )
     else:
         met = base.sparkSession.createDataFrame([], "root long, near long, cosine double")
-    met = met.groupBy("root", "near").agg(F.max("cosine").alias("cosine"))
+    met = materialize(met.groupBy("root", "near").agg(F.max("cosine").alias("cosine")))  # read twice below
     # classes of copies: their first ids stand for the class
     first = Window.partitionBy("root").orderBy("member")
     heads = copies.withColumn("nth", F.row_number().over(first)).where(F.col("nth") <= k).drop("nth")

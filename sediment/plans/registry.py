@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sediment.plans import data_quality
+from sediment.plans import data_quality, text_queries
 
-MODULES = [data_quality]
+MODULES = [data_quality, text_queries]
 
 
 def queries():

@@ -21,9 +21,10 @@ from pyspark.sql import functions as F
 from sediment.llm.vectors import DIMENSION, one_per_copy, packed, unpacked, usable
 from sediment.operators.components import connected_components
 from sediment.operators.skew import lookup_join
+from sediment.runtime import materialize
 
 #: Rows on which splits are fitted, at most; all statistics use all rows.
-SAMPLE_ROWS = 40_000
+SAMPLE_ROWS = 20_000
 #: Leaves of the distributed part of the tree hold about this many rows.
 LEAF_ROWS = 1_500
 #: The distributed part has at most this many leaves (2 MB of centres a thousand); beyond, leaves get larger.
@@ -59,13 +60,18 @@ class Tree:
         self.children.append(None)
         self.sizes.append(0.0)
         self.spread.append(1.0)
-        self.centers = center[None] if self.centers is None else np.concatenate([self.centers, center[None]])
+        center = center.astype(np.float32)[None]
+        self.centers = center if self.centers is None else np.concatenate([self.centers, center])
         return len(self.children) - 1
 
     def route(self, x: np.ndarray, node: np.ndarray) -> np.ndarray:
         """The leaf below ``node`` of each row, choosing the nearer child on each level."""
+        kids = np.array([c or (-1, -1) for c in self.children]).reshape(-1, 2)
+        parts = [self._descend(x[a : a + 4096], node[a : a + 4096], kids) for a in range(0, len(x), 4096)]
+        return np.concatenate(parts) if parts else node.copy()
+
+    def _descend(self, x: np.ndarray, node: np.ndarray, kids: np.ndarray) -> np.ndarray:
         node = node.copy()
-        kids = np.array([c or (-1, -1) for c in self.children])
         open_ = np.flatnonzero(kids[node, 0] >= 0) if len(node) else np.zeros(0, int)
         while len(open_):
             k = kids[node[open_]]
@@ -242,13 +248,12 @@ def alike_components(base: DataFrame, tree: Tree, threshold: float, visits: int
         x = unpacked(t.column("vec"), d)[order]
         own = np.flatnonzero(np.asarray(t.column("own"))[order])
         label = np.arange(len(ids))
-        for at in range(0, len(own), 512):
-            block = own[at : at + 512]
+        for at in range(0, len(own), 128):
+            block = own[at : at + 128]
             s = x[block] @ x.T
-            i, j = np.nonzero(s >= threshold - 1e-5)
+            # rows that are joined already need no further pair
+            i, j = np.nonzero((s >= threshold - 1e-5) & (label[block][:, None] != label[None, :]))
             a = block[i]
-            keep = a != j
-            i, j, a = i[keep], j[keep], a[keep]
             near = s[i, j] < threshold + 1e-5
             if near.any():
                 exact = np.einsum("ij,ij->i", x[a[near]].astype(np.float64), x[j[near]].astype(np.float64))
@@ -256,9 +261,7 @@ def alike_components(base: DataFrame, tree: Tree, threshold: float, visits: int
                 good[near] = exact >= threshold
                 a, j = a[good], j[good]
             if len(a):
-                # one link per row and label is enough
-                link = np.unique(np.stack([np.concatenate([label[a], label[j]]), np.concatenate([label[j], label[a]])], 1), axis=0)
-                label = _components(len(ids), link[:, 0], link[:, 1])[label]
+                label = _components(len(ids), label[a], label[j])[label]
         size = np.bincount(label, minlength=len(ids))
         member = np.flatnonzero(size[label] > 1)
         return pa.table({"member": pa.array(ids[member], pa.int64()), "root": pa.array(ids[label[member]], pa.int64())})
@@ -277,14 +280,14 @@ def similar_groups(vectors: DataFrame, memories: DataFrame, threshold: float = 0
     reps, copies = one_per_copy(base.withColumn("same", F.xxhash64("category", "vec")))
     tree = fit_tree(base, dimension)
     pairs = alike_components(reps, tree, threshold)
-    spans = pairs.groupBy("member").agg(F.min("root").alias("low"), F.sort_array(F.collect_set("root")).alias("roots"))  # VISITS + 1 roots at most
-    joined = spans.persist(StorageLevel.MEMORY_AND_DISK)
-    roots = connected_components(joined.select(F.col("low").alias("src"), F.explode("roots").alias("dst")))
-    member = lookup_join(joined.select(F.col("member").alias("memory_id"), F.col("low").alias("node")), roots, "node").select("memory_id", F.col("component").alias("first_id"))
+    # VISITS + 1 roots at most for each member, and no more members of a root than a leaf has rows
+    spans = materialize(pairs.groupBy("member").agg(F.min("root").alias("low"), F.sort_array(F.collect_set("root")).alias("roots")))
+    roots = connected_components(spans.select(F.col("low").alias("src"), F.explode("roots").alias("dst")))
+    member = materialize(spans.select(F.col("member").alias("memory_id"), F.col("low").alias("node")).join(roots, "node").select("memory_id", F.col("component").alias("first_id")))
     mine = copies.select(F.col("member").alias("memory_id"), F.col("root").alias("node"))
     of_copy = lookup_join(mine, member.withColumnRenamed("memory_id", "node"), "node").select("memory_id", F.coalesce("first_id", "node").alias("first_id"))
     alone = copies.select(F.col("root").alias("memory_id"), F.col("root").alias("first_id")).distinct().join(member.select("memory_id"), "memory_id", "left_anti")
-    everyone = member.unionByName(of_copy).unionByName(alone)
+    everyone = materialize(member.unionByName(of_copy).unionByName(alone))
     large = everyone.groupBy("first_id").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= least).select("first_id")
     return lookup_join(everyone, large, "first_id", "left_semi").select("first_id", "memory_id")
 

@@ -170,7 +170,6 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
     n = base.count()
     query = (F.col("memory_id") % every == 0) if every > 1 else F.lit(True)
     reps, copies = one_per_copy(base)
-    copies = copies.persist(StorageLevel.MEMORY_AND_DISK)
     # a class is asked for if any of its members is
     wanted = copies.where(F.col("member") % every == 0).select(F.col("root").alias("memory_id")).distinct()
     if every > 1:

@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from sediment.operators.skew import lookup_join
+from sediment.runtime import materialize
 
 #: Id lists up to this length are broadcast (a few MB), longer ones are joined by a shuffle.
 BROADCAST_IDS = 300_000
@@ -81,7 +82,7 @@ def one_per_copy(base: DataFrame) -> tuple[DataFrame, DataFrame]:
     with the smallest id stands for all; copies is (member, root) of the others."""
     firsts = base.groupBy("same").agg(F.min("memory_id").alias("root"), F.max("memory_id").alias("last")).where("root != last").select("same", "root")
     copies = lookup_join(base.select("memory_id", "same"), firsts, "same", "inner").where("memory_id != root")
-    copies = copies.select(F.col("memory_id").alias("member"), "root").distinct()
+    copies = materialize(copies.select(F.col("memory_id").alias("member"), "root").distinct())
     return without_ids(base, copies.select(F.col("member").alias("memory_id"))), copies
 
 

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sediment.plans import belief_queries, data_quality, text_queries
+from sediment.plans import belief_queries, data_quality, retrieval_queries, text_queries
 
-MODULES = [data_quality, text_queries, belief_queries]
+MODULES = [data_quality, text_queries, belief_queries, retrieval_queries]
 
 
 def queries():

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sediment.plans import belief_queries, data_quality, retrieval_queries, text_queries
+from sediment.plans import belief_queries, data_quality, report_queries, retrieval_queries, text_queries
 
-MODULES = [data_quality, text_queries, belief_queries, retrieval_queries]
+MODULES = [data_quality, text_queries, belief_queries, retrieval_queries, report_queries]
 
 
 def queries():
@@ -16,4 +16,4 @@ def oracle_sql():
 
 
 def flagship(spark, directory):
-    return queries()["p3_found"](spark, directory)
+    return queries()["recall_topk"](spark, directory)

@@ -21,6 +21,9 @@ SUPPORT = 4
 #: A text is cut if at most this share of the occurrences stand at an end.
 MOST_AT_END = 0.04
 
+#: A sign of the cut lies within this many characters of the end.
+_END = 80
+_BLANKS = " \t\n\r\x0b\x0c\u00a0"
 _MARK = r"(?is)\s*(?:[\[<({]\s*(?:cut|truncated|more|snip|continued|cont\.?)\s*[\]>)}]|-{2,}\s*more\s*-{2,})\s*$"
 _ELLIPSIS = r"\s*(?:…|\.{3,})$"
 _STOP = r"[.!?。！？]['\"”’)\]*_`]*$"
@@ -29,7 +32,7 @@ _BREAK = "⏎"
 
 def prepared(documents: DataFrame) -> DataFrame:
     """(doc_id, source, key, body) of the texts that are neither null nor blank; key is a digest of body."""
-    body = F.regexp_replace(F.regexp_replace("text", r"\r\n?", "\n"), r"\s+$", "")
+    body = F.rtrim(F.regexp_replace("text", r"\r\n?", "\n"), F.lit(_BLANKS))
     return documents.select("doc_id", F.lower(F.trim("source")).alias("source"), body.alias("body")).where("body != ''").withColumn("key", F.xxhash64("body"))
 
 
@@ -81,25 +84,25 @@ def judged(documents: DataFrame) -> DataFrame:
     judged row by row; a text too rare to compare counts as whole."""
     docs = prepared(documents)
     texts = docs.groupBy("key").agg(F.first("body").alias("body"))
-    plain = F.regexp_replace("body", _MARK, "")
-    core = F.regexp_replace(plain, _ELLIPSIS, "")
+    end = lambda c: F.right(c, F.lit(_END))
+    without = lambda c, pattern: F.left(c, F.length(c) - F.length(F.regexp_extract(end(c), pattern, 0)))
+    plain = without(F.col("body"), _MARK)
+    core = without(F.col("plain"), _ELLIPSIS)
     opens, closes = (F.length(F.translate("body", c, "")) for c in ("}]", "{["))
     json = F.col("body").rlike(r"^[\[{]") & (opens != closes)
     fence = F.size(F.split("body", "```")) % 2 == 0
-    known = texts.select(
-        "key", plain.alias("plain"), core.alias("core"),
-        F.when(F.col("body").rlike(_MARK), "mark").when(json | fence | F.col("body").rlike("\ufffd$"), "structure").alias("sure"),
-    )
-    bare = ~F.col("core").rlike(_STOP) & ~F.col("core").rlike(r"[}\]>`]$")
+    sure = F.when(end(F.col("body")).rlike(_MARK), "mark").when(json | fence | F.col("body").endswith("\ufffd"), "structure")
+    known = texts.select("key", plain.alias("plain"), sure.alias("sure")).select("key", "plain", core.alias("core"), "sure")
+    bare = ~end(F.col("core")).rlike(_STOP) & ~end(F.col("core")).rlike(r"[}\]>`]$")
     doubtful = known.where("sure is null and core != ''").where((F.col("core") != F.col("plain")) | bare)
     last = lambda c: F.element_at(F.split(c, r"\n+"), -1)
     tails = doubtful.select("key", (F.col("core") != F.col("plain")).alias("dots"), F.explode(F.array(*[
         F.struct(F.lit(dotted).alias("dotted"), last(F.col(c)).alias("line")) for c, dotted in (("core", False), ("plain", True))
     ])).alias("t")).select("key", "dots", "t.*").where("dots or not dotted")
     tails = tails.select("key", "dots", "dotted", _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    end = F.size("w") - 1
-    digests = F.array(*[F.struct(F.lit(m).alias("k"), d.alias("gram")) for m, d in _digests(end).items()])
-    tails = materialize(tails.select("key", "dots", "dotted", F.element_at("w", -1).alias("word"), _pair(end).alias("pair"), digests.alias("grams")))
+    at = F.size("w") - 1
+    digests = F.array(*[F.struct(F.lit(m).alias("k"), d.alias("gram")) for m, d in _digests(at).items()])
+    tails = materialize(tails.select("key", "dots", "dotted", F.element_at("w", -1).alias("word"), _pair(at).alias("pair"), digests.alias("grams")))
     # of all n-grams only those of these ends, and the trigrams that share their first two words
     wanted = tails.select(F.explode("grams.gram").alias("at")).union(tails.where("not dotted").select(F.col("pair").alias("at"))).distinct()
     counts = gram_counts(texts)

@@ -9,8 +9,7 @@ together with the leavings of other groups.
 
 from __future__ import annotations
 
-from bisect import bisect_left, bisect_right, insort
-from collections.abc import Iterator
+from bisect import bisect_left, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,7 +20,7 @@ from sediment.runtime import materialize
 #: A group holds about this many containers' worth of items.
 GROUP_CONTAINERS = 128
 #: Fillings that the search of one group may look at.
-NODES = 20_000
+NODES = 2_000
 #: Containers filled less than this are packed again.
 WELL_FILLED = 0.98
 
@@ -42,41 +41,58 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
     return bins
 
 
-def fillings(sizes: list[int], order: list[int], room: int, most: int) -> Iterator[list[int]]:
+def dominates(a: list[int], b: list[int]) -> bool:
+    """Whether the sizes b can be shared out into parts that fit under different sizes of a: then a packing
+    with b is no better than one with a. Told by first fit, so some dominated sets are kept."""
+    room = sorted(a, reverse=True)
+    for s in sorted(b, reverse=True):
+        for i, r in enumerate(room):
+            if s <= r:
+                room[i] -= s
+                break
+        else:
+            return False
+    return True
+
+
+def fillings(sizes: list[int], order: list[int], room: int, most: int, first: bool) -> list[list[int]]:
     """Undominated fillings of ``room`` from the items of ``order`` (largest first), fullest first: maximal
-    sets (no further item fits) whose parts cannot be replaced by one unused item that fills better."""
-    found: list[tuple[int, int, list[int]]] = []
+    sets, to which no further item fits. ``most`` limits the sets looked at; with first the search ends at
+    one that leaves no room."""
+    found: list[tuple[int, list[int]]] = []
     neg = [-sizes[i] for i in order]
-    seen = [0]
+    seen = 0
 
-    def grow(at: int, left: int, taken: list[int]) -> None:
-        if seen[0] >= most:
-            return
-        seen[0] += 1
+    def grow(at: int, left: int, taken: list[int]) -> bool:
+        nonlocal seen
+        seen += 1
+        if seen > most:
+            return True
         start = max(at, bisect_left(neg, -left))
         if start >= len(order):
-            # dominated if an unused item of the set's whole size or a little more takes its place
-            found.append((left, len(taken), taken))
-            return
+            found.append((left, taken))
+            return first and left == 0
         last, tried = None, 0
         for p in range(start, len(order)):
             s = sizes[order[p]]
             if s == last:
                 continue  # equal items give equal fillings
             last = s
-            grow(p + 1, left - s, [*taken, order[p]])
+            if grow(p + 1, left - s, [*taken, order[p]]):
+                return True
             tried += 1
-            if (found and found[-1][0] == 0) or tried == 4:
+            if tried == 4:
                 break
+        return False
 
     grow(0, room, [])
-    found.sort(key=lambda x: (x[0], x[1]))
-    used_up: list[tuple[int, int]] = []
-    for left, n, taken in found:
-        if any(a == left and b <= n for a, b in used_up):
-            continue  # as full with no more items: dominated
-        used_up.append((left, n))
-        yield taken
+    found.sort(key=lambda x: (x[0], len(x[1])))
+    out: list[list[int]] = []
+    for _, taken in found[:40]:
+        mine = [sizes[i] for i in taken]
+        if not any(dominates([sizes[i] for i in o], mine) for o in out):
+            out.append(taken)
+    return out
 
 
 def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
@@ -89,41 +105,27 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[i
     budget = [nodes]
     order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
 
-    def search(left: list[int], bins: list[list[int]], waste: int, width: int) -> list[list[int]] | None:
-        """Depth first by limited discrepancy: ``width`` alternatives at each container."""
+    def search(left: list[int], bins: list[list[int]], waste: int, width: int) -> None:
+        """Depth first with up to ``width`` fillings at each container, so the last containers vary first."""
         nonlocal incumbent
-        while True:
-            if not left:
-                if len(bins) < len(incumbent):
-                    incumbent = list(bins)
-                return None
-            # the waste still allowed by a packing that beats the incumbent
+        if not left:
+            if len(bins) < len(incumbent):
+                incumbent = bins
+            return
+        head, rest = left[0], left[1:]
+        for taken in fillings(sizes, rest, capacity - sizes[head], 60 if width == 1 else 200, width == 1)[:width]:
+            # the waste that a packing may have that beats the incumbent
             allowed = capacity * (len(incumbent) - 1) - total
-            if waste > allowed or len(incumbent) <= bound or budget[0] <= 0:
-                return None
-            head, rest = left[0], left[1:]
-            options = []
-            for taken in fillings(sizes, rest, capacity - sizes[head], 200):
-                budget[0] -= 1
-                lost = capacity - sizes[head] - sum(sizes[i] for i in taken)
-                if waste + lost > allowed:
-                    break  # fullest first: the others lose more
-                options.append((taken, lost))
-                if len(options) == width:
-                    break
-            if not options:
-                return None
-            for taken, lost in options[1:]:
-                drop = set(taken)
-                search([i for i in rest if i not in drop], [*bins, [head, *taken]], waste + lost, 1)
-            taken, lost = options[0]
+            lost = capacity - sizes[head] - sum(sizes[i] for i in taken)
+            if waste + lost > allowed or len(incumbent) <= bound or budget[0] <= 0:
+                return  # fullest first: the others lose more
+            budget[0] -= 1
             drop = set(taken)
-            left = [i for i in rest if i not in drop]
-            bins = [*bins, [head, *taken]]
-            waste += lost
+            search([i for i in rest if i not in drop], [*bins, [head, *taken]], waste + lost, width)
 
-    for width in (1, 2, 3):
-        if len(incumbent) <= bound or budget[0] <= 0:
+    # each container is one level of recursion; beyond that depth best fit stands
+    for width in (1, 4) if len(incumbent) < 800 else ():
+        if len(incumbent) <= bound:
             break
         search(order, [], 0, width)
     return incumbent

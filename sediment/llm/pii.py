@@ -91,7 +91,7 @@ def _street(suffix: str) -> re.Pattern:
 RULES = [
     Rule("email", re.compile(r"(?:mailto:)?(?<![\w.+@/%-])[\w.+%-]{1,64}[@\uff20](?:[\w-]{1,63}\.){1,6}[^\W\d_]{2,24}\b(?!/)"), 0.9),
     Rule("email", re.compile(rf"(?:mailto:)?(?<![\w.+@/%-])[\w.+%-]{{1,64}}{_AT}(?:[\w-]{{1,63}}{_DOT}){{1,6}}[^\W\d_]{{2,24}}\b(?!/)", I), 0.8),
-    Rule("phone", re.compile(r"\btel:\+?[\d().\-]{7,24}(?:;ext=\d{1,6})?", I), 0.9),
+    Rule("phone", re.compile(r"\btel:\+?[\d().\-]{7,24}(?:;ext=\d{1,6})?", I), 1.4),
     Rule("phone", re.compile(rf"(?<![\w+])\+\d{{1,3}}(?:{_SEP}?\(?\d{{2,6}}\)?){{2,5}}(?!\d)"), 0.8, lambda s: 8 <= len(digits(s)) <= 15, 0.1),
     Rule("phone", re.compile(rf"(?<![\w.\-+(])(?:1{_SEP})?(?:\([2-9]\d\d\) ?|[2-9]\d\d{_SEP})[2-9]\d\d{_SEP}\d{{4}}(?![\w]|[.\-]\d)"), 0.55),
     Rule("phone", re.compile(r"(?<![\w.\-+])0\d{2,4}[ \-]\d{3,4}[ \-]\d{3,4}(?![\w]|[.\- ]\d)"), 0.55),

@@ -33,10 +33,10 @@ FILE_ROWS = 20_000
 PLACES = 6
 
 
-def pivots_of(base: DataFrame, dimension: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+def pivots_of(base: DataFrame, dimension: int, n: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
     """(pivots, expected rows of each one's file): a sample of about n vectors, and as many others, at
     most 8,192, on which the lengths of the files are estimated."""
-    m = int(min(MOST, max(FEWEST, n // PER_PIVOT)))
+    m = int(min(most, MOST, max(FEWEST, n // PER_PIVOT)))
     share = min(1.0, 1.2 * (m + min(n, 8_192)) / max(n, 1))
     picked = base.where(F.pmod(F.xxhash64("memory_id"), F.lit(1_000_000)) < int(share * 1_000_000) + 1).select("memory_id", "vec")
     rows = picked.limit(2 * (m + 8_192)).toArrow()
@@ -158,10 +158,11 @@ def _search(t: pa.Table, dimension: int, k: int, floor: float, rerank: int) -> p
     return pa.table({"root": pa.array(cols[0], pa.int64()), "near": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
 
 
-def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1, asked: int = POSTED, posted: int = POSTED, rerank: int = RERANK, dimension: int = DIMENSION) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1, asked: int = POSTED, posted: int = POSTED, rerank: int = RERANK, dimension: int = DIMENSION, most_pivots: int = MOST) -> DataFrame:
     """(memory_id, rank, near, cosine): of every memory whose id is divisible by ``every`` the k most
     similar other memories of the whole table by cosine, equal ones by smaller id; with floor only those
-    of at least that cosine.
+    of at least that cosine. Near copies are found with few files of many pivots; where neighbours are far,
+    recall needs a constant share of all rows, that is fewer pivots (most_pivots) and more files read (asked).
 
     Identical vectors are indexed once: as they tie, only the k + 1 smallest ids of each can be among
     anyone's k nearest. Repeated ids count once (rows that differ: the one with the smallest digest); null,
@@ -178,7 +179,7 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
     else:
         rows = reps.select("memory_id", F.lit(True).alias("query"), "vec")
     if n:
-        pivots, lengths = pivots_of(base, dimension, n)
+        pivots, lengths = pivots_of(base, dimension, n, most_pivots)
         met = postings(rows, pivots, lengths, dimension, posted, asked).groupBy("file", "a", "b").applyInArrow(
             lambda t: _search(t, dimension, k, floor, rerank), "root long, near long, cosine double"
         )

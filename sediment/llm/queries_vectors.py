@@ -8,8 +8,8 @@ from sediment.llm.grouping import leaf_report, similar_groups
 from sediment.llm.neighbours import mutual, nearest, recall
 from sediment.sources import tables
 
-#: For whole lists (not only near copies) a query reads this many inverted files.
-WIDE = 24
+#: For whole lists (not only near copies) a query reads this many inverted files of so many pivots.
+WIDE, PIVOTS = 24, 512
 
 
 def p1_found(spark, d):
@@ -28,7 +28,7 @@ def p2_found(spark, d):
 
 
 def _lists(v):
-    return nearest(v, every=50, asked=WIDE, rerank=4096)
+    return nearest(v, every=50, asked=WIDE, rerank=1024, most_pivots=PIVOTS)
 
 
 def p2_nearest(spark, d):

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as T
+from sediment.operators.segments import carry_lead, range_segments
 from sediment.operators.skew import lookup_join
 
 TRANSIENT = ["episodic", "session", "task_progress"]
@@ -153,3 +154,45 @@ def vault_files(memories: DataFrame) -> DataFrame:
     )
     m = memories.where("is_active and content is not null")
     return m.select("id", folder.alias("folder"), F.concat(T.slug(F.col("content"), 28), F.lit("-"), F.col("id"), F.lit(".md")).alias("file"), F.concat(head, F.lit("\n"), F.col("content")).alias("doc"))
+
+
+def vault_rows(files: DataFrame) -> DataFrame:
+    """(id, scope, category, importance, negative, content) of markdown files (doc) with front matter; files
+    without a numeric id, and keys other than these, are ignored."""
+    head = F.regexp_extract("doc", r"^---\n([\s\S]*?)\n---\n", 1)
+    value = lambda k: F.regexp_extract(head, rf'(?m)^{k}: "?(.*?)"?$', 1)
+    body = F.regexp_replace(F.regexp_replace("doc", r"^---\n[\s\S]*?\n---\n", ""), r"^\n", "")
+    rows = files.select(value("id").try_cast("long").alias("id"), value("scope").alias("scope"), value("category").alias("category"),
+                        value("importance").alias("importance"), (value("is_negative_constraint") == "true").alias("negative"), body.alias("content"))
+    return rows.where("id is not null")
+
+
+def vault_changes(files: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, action): what an import of the files would do: insert, update (other content) or nothing (no row)."""
+    old = memories.select("id", F.col("content").alias("old"), F.lit(True).alias("known"))
+    j = lookup_join(vault_rows(files).select("id", "content"), old, "id", "left")
+    action = F.when(F.col("known").isNull(), "insert").when(~F.col("old").eqNullSafe(F.col("content")), "update")
+    return j.select("id", action.alias("action")).where("action is not null")
+
+
+def pack_memories(rows: DataFrame) -> DataFrame:
+    """(id, content, scope) of the memory lines of a pack."""
+    return rows.where("kind = 'memory'").select(F.from_json("line", "id long, content string, scope string").alias("m")).select("m.*")
+
+
+def session_status(notes: DataFrame, as_of: Column, idle: str = "1 day") -> DataFrame:
+    """(session, status): abandoned if the same peer began another session before this one's last note,
+    active if the last note is younger than ``idle``, else ended."""
+    s = notes.where("session_id is not null and timestamp is not null").groupBy(F.col("session_id").alias("session")).agg(
+        F.min("timestamp").alias("began"), F.max("timestamp").alias("last"), F.min_by("peer", F.struct("timestamp", "id")).alias("peer"))
+    seg = range_segments(s, ["peer"], ["began", "session"])
+    nxt = carry_lead(seg, ["peer"], ["began", "session"], F.col("began"), "next")
+    left = F.coalesce(F.col("peer").isNotNull() & (F.col("next.v") < F.col("last")), F.lit(False))
+    status = F.when(left, "abandoned").when(F.col("last") > as_of - F.expr(f"interval {idle}"), "active").otherwise("ended")
+    return nxt.select("session", status.alias("status"))
+
+
+def aliases(memories: DataFrame) -> DataFrame:
+    """(alias, canonical): the latest name that a memory gives an alias."""
+    t = memories.select("id", "created_at", F.explode(T.triples(F.col("content"))).alias("t")).where("t.predicate = 'ALIAS_OF'")
+    return t.groupBy(F.col("t.subject").alias("alias")).agg(F.max_by("t.object", F.struct("created_at", "id")).alias("canonical"))

@@ -12,7 +12,7 @@ from sediment.operators import beliefs as B
 from sediment.operators import reports as P
 from sediment.operators.leaders import leader_clusters
 from sediment.plans.common import AS_OF_SQL, FACTS_SQL, LINKS_SQL, MEMORIES_SQL, facts, links, memories, now
-from sediment.plans.text_queries import _NORM, _ci
+from sediment.plans.text_queries import _ALIAS, _NORM, _PAREN, _ci
 from sediment.sources import table
 from sediment.streaming import activity, read_table
 
@@ -147,6 +147,24 @@ def ingest(spark, d):
     return n.select("id", route.alias("route"))
 
 
+def vault_import(spark, d):
+    """The exported files, some edited, read back against the store."""
+    files = P.vault_files(memories(spark, d)).withColumn("doc", F.when(F.col("id") % 7 == 0, F.concat("doc", F.lit(" edited"))).otherwise(F.col("doc")))
+    return P.vault_changes(files, memories(spark, d).where("id % 11 != 0"))
+
+
+def pack_import(spark, d):
+    return P.pack_memories(P.pack_rows(memories(spark, d), facts(spark, d)))
+
+
+def session_status(spark, d):
+    return P.session_status(table(spark, d, "notes"), now())
+
+
+def auto_alias(spark, d):
+    return P.aliases(memories(spark, d))
+
+
 def leader_cluster(spark, d):
     return leader_clusters(table(spark, d, "embeddings"), "vec_id", "embedding").groupBy("leader").agg(F.count(F.lit(1)).alias("n"))
 
@@ -162,7 +180,7 @@ def stream_activity(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (digest, doctor_audit, doctor_repair, standing_card, primer, active_rules, stats, reflect, graph_view, session_summary, rollup, usage_agg, project_hits, promotions, find_remediation, calibrate,
-              staleness, pack_export, pack_checksum, vault_export, leader_cluster, stream_activity, dream_delta, dream_synthesis, ingest)
+              staleness, pack_export, pack_checksum, vault_export, vault_import, pack_import, session_status, auto_alias, leader_cluster, stream_activity, dream_delta, dream_synthesis, ingest)
 }
 
 _M, _F, _MF = f"WITH {MEMORIES_SQL} ", f"WITH {FACTS_SQL} ", f"WITH {MEMORIES_SQL}, {FACTS_SQL} "
@@ -207,6 +225,15 @@ SELECT doc_id AS id, CASE WHEN nm IS NULL THEN 'unlinked' WHEN doc_id % 3 != 0 A
     "vault_export": _M + """, v AS (SELECT *, regexp_replace(substr(regexp_replace(trim(regexp_replace(lower(content), '[^A-Za-z0-9_\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 28), '-+$', '') AS s FROM m WHERE is_active AND content IS NOT NULL)
 SELECT id, CASE WHEN is_negative_constraint THEN 'rules' ELSE category || 's' END AS folder, CASE WHEN s = '' THEN 'memory' ELSE s END || '-' || id || '.md' AS file,
   concat_ws(chr(10), '---', 'id: "' || id || '"', 'scope: "' || scope || '"', 'category: "' || category || '"', 'importance: "' || importance || '"', 'is_negative_constraint: ' || is_negative_constraint, '---', '') || chr(10) || content AS doc FROM v""",
+    "vault_import": _M + "SELECT id, CASE WHEN id % 11 = 0 THEN 'insert' ELSE 'update' END AS action FROM m WHERE is_active AND content IS NOT NULL AND (id % 11 = 0 OR id % 7 = 0)",
+    "pack_import": _M + "SELECT id, content, scope FROM m WHERE is_active",
+    "session_status": f"""WITH s AS (SELECT session_id AS session, min(timestamp) AS began, max(timestamp) AS last, arg_min(coalesce(peer, chr(0)), (timestamp, id)) AS peer FROM notes WHERE session_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1),
+n AS (SELECT *, lead(began) OVER (PARTITION BY peer ORDER BY began, session) AS nxt FROM s)
+SELECT session, CASE WHEN peer != chr(0) AND coalesce(nxt < last, false) THEN 'abandoned' WHEN last > {AS_OF_SQL} - INTERVAL 1 DAY THEN 'active' ELSE 'ended' END AS status FROM n""",
+    "auto_alias": _M + f""", a AS (SELECT id, created_at, trim(content) AS c FROM m WHERE content IS NOT NULL),
+x AS (SELECT lower(regexp_extract(c, '{_ALIAS}', 1)) AS alias, regexp_extract(c, '{_ALIAS}', 2) AS o, created_at, id FROM a WHERE regexp_matches(c, '{_ALIAS}')
+  UNION ALL SELECT lower(regexp_extract(c, '{_PAREN}', 2)), regexp_extract(c, '{_PAREN}', 1), created_at, id FROM a WHERE regexp_matches(c, '{_PAREN}') AND NOT regexp_matches(c, '{_ALIAS}'))
+SELECT alias, arg_max(o, (created_at, id)) AS canonical FROM x GROUP BY alias""",
     "dream_delta": f"SELECT DISTINCT id, substr(sha256({_NORM}), 1, 16) AS fp FROM notes WHERE id > 1500 AND content IS NOT NULL AND {_ci('content', W.HABIT)}",
     "dream_synthesis": _M + """, e AS (SELECT DISTINCT id, category, unnest(tags) AS tag FROM m WHERE is_active),
 k AS (SELECT tag FROM (SELECT unnest(tags) AS tag FROM m WHERE category = 'reflection') GROUP BY tag HAVING count(*) >= 40)

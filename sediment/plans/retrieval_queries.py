@@ -61,8 +61,8 @@ def explain_belief(spark, d):
 
 
 def drift(spark, d):
-    """Notes that speak of a change, with the similarity threshold replaced by naming the same thing: the
-    active port or machine of a subject in a fact that the note contrasts with."""
+    """Notes whose wording marks a change of mind: the candidates for drift. How close a note is to a belief
+    is told by vectors, which notes do not have."""
     n = table(spark, d, "notes").where("content is not null").select("id", F.lower("content").alias("c")).distinct()
     contrast = F.lit(False)
     for w in W.CONTRAST:
@@ -89,6 +89,13 @@ def cosine(spark, d):
     return e.join(nxt, "vec_id").select("vec_id", F.round(R.cosine("embedding", "other"), 6).alias("cosine"))
 
 
+def l2_normalize(spark, d):
+    e = table(spark, d, "embeddings")
+    norm = F.sqrt(F.aggregate("embedding", F.lit(0.0), lambda s, x: s + x.cast("double") * x.cast("double")))
+    unit = F.transform("embedding", lambda x: x.cast("double") / norm)
+    return e.select("vec_id", F.round(norm, 6).alias("norm"), F.round(unit[0], 6).alias("first"), F.round(F.array_max(unit), 6).alias("largest"))
+
+
 def bq_quantize(spark, d):
     e = table(spark, d, "embeddings")
     return e.select("vec_id", F.array_join(R.bits("embedding", 64), ",").alias("words"))
@@ -140,7 +147,7 @@ def communities(spark, d):
 
 QUERIES = {
     f.__name__: f
-    for f in (bm25_search, validity_filter, hybrid_score, recall_topk, context_pack, explain_belief, drift, preflight, cosine, bq_quantize, hamming, bq_topk, embed_local, cooccurrence, resonance, ppr, communities)
+    for f in (bm25_search, validity_filter, hybrid_score, recall_topk, context_pack, explain_belief, drift, preflight, cosine, l2_normalize, bq_quantize, hamming, bq_topk, embed_local, cooccurrence, resonance, ppr, communities)
 }
 
 _M, _F, _L = f"WITH {MEMORIES_SQL}, ", f"WITH {FACTS_SQL}, ", f"{LINKS_SQL}, "
@@ -194,6 +201,7 @@ rw AS (SELECT rule, list_distinct(list_filter(regexp_split_to_array(regexp_repla
 ac AS (SELECT DISTINCT id, lower(content) AS a FROM notes WHERE lower(trim(role)) IN ('tool', 'function') AND content IS NOT NULL)
 SELECT id, count(*) AS rules FROM ac JOIN rw ON len(ws) > 0 AND len(list_filter(ws, lambda w: contains(a, w))) >= least(2, len(ws)) GROUP BY id""",
     "cosine": f"SELECT a.vec_id, round(greatest(-1.0, least(1.0, {_DOT.format('a.embedding', 'b.embedding')} / (sqrt({_DOT.format('a.embedding', 'a.embedding')}) * sqrt({_DOT.format('b.embedding', 'b.embedding')})))), 6) AS cosine FROM embeddings a JOIN embeddings b ON b.vec_id = a.vec_id + 1",
+    "l2_normalize": f"WITH n AS (SELECT vec_id, CAST(embedding AS DOUBLE[]) AS v, sqrt({_DOT.format('embedding', 'embedding')}) AS n FROM embeddings) SELECT vec_id, round(n, 6) AS norm, round(v[1] / n, 6) AS first, round(list_max(v) / n, 6) AS largest FROM n",
     "bq_quantize": f"SELECT vec_id, array_to_string({_BITS}, ',') AS words FROM embeddings",
     "hamming": f"WITH e AS (SELECT vec_id, {_BITS} AS x FROM embeddings), h AS (SELECT a.vec_id, bit_count(xor(a.x[1], b.x[1])) + bit_count(xor(a.x[2], b.x[2])) AS distance FROM e a JOIN e b ON b.vec_id = a.vec_id + 1) SELECT vec_id, distance, round(cos(distance / 64.0 * 3.141592653589793), 6) AS estimate, round(1 - distance / 64.0, 6) AS similarity FROM h",
     "bq_topk": f"WITH e AS (SELECT vec_id, {_BITS} AS x FROM embeddings), p AS (SELECT q.vec_id AS query_id, e.vec_id, bit_count(xor(e.x[1], q.x[1])) + bit_count(xor(e.x[2], q.x[2])) AS distance FROM e JOIN e q ON q.vec_id % 50 = 0 AND e.vec_id != q.vec_id), r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY distance, vec_id) AS rank FROM p) SELECT * FROM r WHERE rank <= 20",

@@ -11,6 +11,7 @@ from sediment.operators import graph as G
 from sediment.operators import retrieval as R
 from sediment.plans.common import AS_OF_SQL, FACTS_SQL, LINKS_SQL, MEMORIES_SQL, facts, links, memories, now
 from sediment.plans.text_queries import _in
+from sediment.runtime import materialize
 from sediment.sources import table
 
 
@@ -23,7 +24,7 @@ def _queries(spark, d):
 def _lexical(spark, d, top=50):
     m = memories(spark, d)
     text = F.concat_ws(" ", "content", "category", F.array_join("tags", " "))
-    return R.bm25(R.postings(m, "id", text), _queries(spark, d), top)
+    return R.bm25(materialize(R.postings(m, "id", text)), _queries(spark, d), top)  # read three times
 
 
 def bm25_search(spark, d):

@@ -45,12 +45,21 @@ def pivots_of(base: DataFrame, dimension: int, n: int, most: int = MOST) -> tupl
     _, first = np.unique(ids, return_index=True)
     order = first[np.random.default_rng(5).permutation(len(first))]
     p = x[order[:m]]
-    s = x[order] @ p.T
-    k = min(POSTED, len(p))
-    top = np.argpartition(-s, k - 1, axis=1)[:, :k] if len(p) > k else np.tile(np.arange(k), (len(s), 1))
+    top = first_pivots(x[order], p, min(POSTED, len(p)))
     return p, np.bincount(top.ravel(), minlength=len(p)) * (n / max(len(order), 1))
 
 
+def first_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
+    """Of each row the k nearest pivots in order, ties by number; a thousand rows at a time, so that memory
+    does not grow with rows times pivots."""
+    parts = [np.zeros((0, k), np.int64)]
+    for at in range(0, len(x), 1024):
+        s = x[at : at + 1024] @ pivots.T
+        top = np.argpartition(-s, k - 1, axis=1)[:, :k] if k < len(pivots) else np.tile(np.arange(k), (len(s), 1))
+        parts.append(np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(s, top, 1)), axis=1), 1))
+    return np.concatenate(parts)
+
+
 def postings(rows: DataFrame, pivots: np.ndarray, lengths: np.ndarray, dimension: int, posted: int = POSTED, asked: int = POSTED) -> DataFrame:
     """(file, a, b, block, reads, memory_id, perm, vec): rows (memory_id, query, vec) in the files of their
     first pivots. Every row is posted in ``posted`` files; a query also reads the files of its first
@@ -64,9 +73,7 @@ def postings(rows: DataFrame, pivots: np.ndarray, lengths: np.ndarray, dimension
             x = unpacked(b.column(2), dimension)
             if not len(x):
                 continue
-            s = x @ p.T
-            top = np.argpartition(-s, width - 1, axis=1)[:, :width] if width < len(p) else np.tile(np.arange(width), (len(x), 1))
-            top = np.take_along_axis(top, np.lexsort((top, -np.take_along_axis(s, top, 1)), axis=1), 1)
+            top = first_pivots(x, p, width)
             perm = np.full((len(x), ORDERED), -1, np.int32)
             perm[:, : min(width, ORDERED)] = top[:, :ORDERED]
             ids = np.asarray(b.column(0))

@@ -73,14 +73,13 @@ def drift(spark, d):
 
 def preflight(spark, d):
     """Tool notes (actions) against standing prohibitions: blocked if at least two of a prohibition's words
-    occur. Distinct prohibitions are few and bounded; they are reduced to their words first."""
+    occur. Every distinct prohibition counts; they are reduced to their words first."""
     neg = memories(spark, d).where("is_negative_constraint and is_active and content is not null")
     c = F.lower("content")
-    neg = neg.where(c.rlike("jangan|dilarang|never|tidak boleh|do not")).select(c.alias("rule")).distinct().orderBy("rule").limit(1000)
-    rid = neg.select("rule", F.array_distinct(F.filter(F.split(F.regexp_replace("rule", "jangan|dilarang|never|tidak boleh|do not|harus", " "), r"[^a-z0-9]+"), lambda w: F.length(w) >= 4)).alias("ws")).where("size(ws) > 0")
+    neg = neg.where(c.rlike("jangan|dilarang|never|tidak boleh|do not")).select(c.alias("rule")).distinct()
+    ws = F.filter(F.split(F.regexp_replace("rule", "jangan|dilarang|never|tidak boleh|do not|harus", " "), r"[^a-z0-9]+"), lambda w: F.length(w) >= 4)
     act = table(spark, d, "notes").where("lower(trim(role)) in ('tool', 'function') and content is not null").select("id", F.lower("content").alias("a")).distinct()
-    hits = act.join(F.broadcast(rid), F.size(F.filter("ws", lambda w: F.col("a").contains(w))) >= F.least(F.lit(2), F.size("ws")))
-    return hits.groupBy("id").agg(F.count(F.lit(1)).alias("rules"))
+    return R.rules_met(act, neg.select(ws.alias("ws")))
 
 
 def cosine(spark, d):

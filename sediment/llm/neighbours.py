@@ -31,6 +31,8 @@ RERANK = 256
 FILE_ROWS = 20_000
 #: Cosines are compared after rounding to this many places, so that equal vectors tie.
 PLACES = 6
+#: Brute force sends out so many queries for a pass over all rows, and compares so many at once with a batch of rows.
+PASS_QUERIES, AT_ONCE = 20_000, 256
 
 
 def pivots_of(base: DataFrame, dimension: int, n: int, most: int = MOST) -> tuple[np.ndarray, np.ndarray]:
@@ -212,31 +214,50 @@ def mutual(near: DataFrame, least: float) -> DataFrame:
     return pair.groupBy("memory_id_a", "memory_id_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-def recall(vectors: DataFrame, found: DataFrame, k: int = 5, queries: int = 2_000, dimension: int = DIMENSION) -> DataFrame:
-    """(queries, expected, missed, recall) of lists made by nearest(), against brute force: at most
-    ``queries`` of the memories in found are compared with all rows, block by block."""
-    base = one_per_id(usable(vectors, dimension).withColumn("same", F.xxhash64("vec"))).select("memory_id", "vec")
-    spark = base.sparkSession
-    asked = found.select("memory_id").distinct().orderBy(F.xxhash64("memory_id")).limit(queries)
-    rows = base.join(F.broadcast(asked), "memory_id").dropDuplicates(["memory_id"]).toArrow()
-    qid, q = np.asarray(rows.column(0)), unpacked(rows.column(1), dimension)
-    shared = spark.sparkContext.broadcast((qid, q))
+def recall(vectors: DataFrame, found: DataFrame, k: int = 5, every: int = 50, dimension: int = DIMENSION) -> DataFrame:
+    """(queries, expected, missed, recall) of lists made by nearest() with the same ``every``, against brute
+    force: each usable memory whose id is divisible by it is compared with all rows, whether anything was
+    found for it or not. Queries are sent out PASS_QUERIES at a time, with one pass over all rows for each."""
+    base = one_per_id(usable(vectors, dimension).withColumn("same", F.xxhash64("vec"))).select("memory_id", "vec").persist(StorageLevel.MEMORY_AND_DISK)  # equal repeats stay
+    asked = base.where(F.col("memory_id") % every == 0).dropDuplicates(["memory_id"])
+    parts = max(1, -(-asked.count() // PASS_QUERIES))
+    true = None
+    for p in range(parts):
+        rows = asked.where(F.pmod(F.xxhash64("memory_id"), F.lit(parts)) == p).toArrow()
+        one = _brute(base, np.asarray(rows.column(0)), unpacked(rows.column(1), dimension), k, dimension)
+        true = one if true is None else true.union(one)
+    best = Window.partitionBy("memory_id").orderBy(F.desc("cosine"), "near")
+    true = true.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    hit = true.join(found.select("memory_id", "near", F.lit(1).alias("hit")), ["memory_id", "near"], "left")
+    return hit.agg(F.countDistinct("memory_id").alias("queries"), F.count(F.lit(1)).alias("expected"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missed"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)), 4).alias("recall"))
+
+
+def _brute(base: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, dimension: int) -> DataFrame:
+    """(memory_id, near, cosine): the k best rows of each part of base for every query, equal ones by smaller id."""
+    shared = base.sparkSession.sparkContext.broadcast((qid, q))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         qi, qx = shared.value
+        have = np.zeros(0, int), np.zeros(0, np.int64), np.zeros(0)
         for b in batches:
-            ids, x = np.asarray(b.column(0)), unpacked(b.column(1), dimension)
-            if not len(ids) or not len(qi):
-                continue
-            s = qx @ x.T
-            s[qi[:, None] == ids[None, :]] = -2
-            m = min(k + 3, len(ids))
-            best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(ids) else np.tile(np.arange(m), (len(qi), 1))
-            i, j = np.repeat(np.arange(len(qi)), m), best.ravel()
-            cos = np.round(np.einsum("ij,ij->i", qx[i].astype(np.float64), x[j].astype(np.float64)), PLACES)
-            yield pa.RecordBatch.from_arrays([pa.array(qi[i], pa.int64()), pa.array(ids[j], pa.int64()), pa.array(cos, pa.float64())], names=["memory_id", "near", "cosine"])
+            ids, first = np.unique(np.asarray(b.column(0)), return_index=True)
+            x = unpacked(b.column(1), dimension)[first]
+            new = [have]
+            for a in range(0, len(qi), AT_ONCE) if len(ids) else ():
+                s = qx[a : a + AT_ONCE] @ x.T
+                s[qi[a : a + AT_ONCE, None] == ids[None, :]] = -2
+                floor = np.partition(s, -k, axis=1)[:, -k] if k < len(ids) else np.full(len(s), -1.5)
+                # all that may tie with the k-th after rounding
+                i, j = np.nonzero((s >= floor[:, None] - 1e-5) & (s > -1.5))
+                cos = [np.einsum("ij,ij->i", qx[a + i[c : c + 65_536]].astype(np.float64), x[j[c : c + 65_536]].astype(np.float64)) for c in range(0, len(i), 65_536)]
+                new.append((a + i, ids[j], np.round(np.concatenate(cos), PLACES) if cos else np.zeros(0)))
+            i, near, cos = (np.concatenate(c) for c in zip(*new))
+            order = np.lexsort((near, -cos, i))
+            order = order[np.r_[True, (np.diff(i[order]) != 0) | (np.diff(near[order]) != 0)][: len(order)]]  # repeats of one id
+            i, near, cos = i[order], near[order], cos[order]
+            take = np.arange(len(i)) - np.searchsorted(i, i) < k
+            have = i[take], near[take], cos[take]
+        if len(have[0]):
+            yield pa.RecordBatch.from_arrays([pa.array(qi[have[0]], pa.int64()), pa.array(have[1], pa.int64()), pa.array(have[2], pa.float64())], names=["memory_id", "near", "cosine"])
 
-    best = Window.partitionBy("memory_id").orderBy(F.desc("cosine"), "near")
-    true = base.mapInArrow(run, "memory_id long, near long, cosine double").where("memory_id != near").distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
-    hit = true.join(found.select("memory_id", "near", F.lit(1).alias("hit")), ["memory_id", "near"], "left")
-    return hit.agg(F.countDistinct("memory_id").alias("queries"), F.count(F.lit(1)).alias("expected"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missed"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)), 4).alias("recall"))
+    return base.mapInArrow(run, "memory_id long, near long, cosine double")

@@ -2,6 +2,9 @@
 
 import datetime as dt
 
+import numpy as np
+
+from sediment.llm import neighbours
 from sediment.operators import retrieval
 from sediment.plans import registry
 
@@ -27,3 +30,19 @@ def test_preflight_counts_every_prohibition(spark, tmp_path):
 def test_rules_met_without_rules(spark):
     texts = spark.createDataFrame([(1, "a")], "id long, a string")
     assert retrieval.rules_met(texts, spark.createDataFrame([], "ws array<string>")).count() == 0
+
+
+def test_recall_counts_memories_without_a_list_and_every_query(spark, monkeypatch):
+    rng = np.random.default_rng(4)
+    rows = [(i, [float(x) for x in rng.normal(size=8)]) for i in range(2300)]
+    rows += [(i, rows[7][1]) for i in range(2300, 2320)] + [rows[0]] * 9
+    v = spark.createDataFrame(rows, "memory_id long, vector array<float>").repartition(3)
+    x = np.array([r[1] for r in rows[:2320]])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, neighbours.PLACES)
+    np.fill_diagonal(s, -2)
+    true = [(i, int(j)) for i in range(len(x)) for j in np.lexsort((np.arange(len(x)), -s[i]))[:5]]
+    found = spark.createDataFrame([p for p in true if p[0] not in (3, 8)], "memory_id long, near long")
+    monkeypatch.setattr(neighbours, "PASS_QUERIES", 1000)
+    r = neighbours.recall(v, found, every=1, dimension=8).first()
+    assert (r.queries, r.expected) == (2320, 5 * 2320) and 10 <= r.missed <= 12  # a tie may round the other way

@@ -55,6 +55,8 @@ class Tree:
     centers: np.ndarray | None = None
     sizes: list[float] = field(default_factory=list)
     spread: list[float] = field(default_factory=list)
+    #: Exact means of the leaves, if the tree was settled.
+    means: dict[int, np.ndarray] = field(default_factory=dict)
 
     def add(self, center: np.ndarray) -> int:
         self.children.append(None)
@@ -149,9 +151,12 @@ def _measure(base: DataFrame, tree: Tree) -> dict[int, tuple[int, np.ndarray]]:
     return {r[0]: (r[1], np.frombuffer(r[2], np.float64)) for r in parts.groupBy("node").applyInArrow(merge, "node long, n long, s binary").collect()}
 
 
-def fit_tree(base: DataFrame, dimension: int = DIMENSION, leaf_rows: int = LEAF_ROWS, compact: float = 0.85, sample_rows: int = SAMPLE_ROWS) -> Tree:
+def fit_tree(base: DataFrame, dimension: int = DIMENSION, leaf_rows: int = LEAF_ROWS, compact: float = 0.85, sample_rows: int = SAMPLE_ROWS, whole: float | None = None) -> Tree:
     """The distributed part of the tree over (category, vec). A node is split while it has more than
-    leaf_rows rows (twice that, if its mean cosine to the centre is at least ``compact``)."""
+    leaf_rows rows (twice that, if its mean cosine to the centre is at least ``compact``).
+
+    With ``whole`` a node of at least that mean cosine is never split, whatever its size, and sizes, spread and
+    means are those of the leaves as the finished tree routes rows to them."""
     counts = {r[0]: r[1] for r in base.groupBy("category").count().orderBy(F.desc("count")).limit(MAX_LEAVES).collect()}
     total = sum(counts.values())
     tree = Tree(dimension)
@@ -169,7 +174,14 @@ def fit_tree(base: DataFrame, dimension: int = DIMENSION, leaf_rows: int = LEAF_
         tree.sizes[tree.roots[c]] = counts[c]
     home = np.array([tree.roots[c] for c in cats], dtype=int)
     leaf_rows = max(leaf_rows, total * 2 // MAX_LEAVES)
-    todo = [i for i in tree.roots.values() if tree.sizes[i] > leaf_rows]
+    stuck: set[int] = set()
+
+    def loose() -> list[int]:
+        nonlocal home
+        home = tree.route(sample, np.array([tree.roots[c] for c in cats], dtype=int))
+        return [i for i in _settle(base, tree) if tree.sizes[i] > leaf_rows and tree.spread[i] > 1.0 - whole and i not in stuck]
+
+    todo = [i for i in tree.roots.values() if tree.sizes[i] > leaf_rows] if whole is None else loose()
     while todo:
         grown = []
         for i in todo:
@@ -178,17 +190,36 @@ def fit_tree(base: DataFrame, dimension: int = DIMENSION, leaf_rows: int = LEAF_
             if fit is not None:
                 tree.children[i] = (tree.add(fit[0][0]), tree.add(fit[0][1]))
                 grown += tree.children[i]
+            else:
+                stuck.add(i)
         if not grown:
-            break
+            todo = [] if whole is None else loose()
+            continue
         for i, (n, s) in _measure(base, tree).items():
             tree.sizes[i] = n
             tree.spread[i] = 1.0 - np.linalg.norm(s) / n
             tree.centers[i] = unit(s)
         home = tree.route(sample, home)
-        todo = [i for i in grown if tree.sizes[i] > leaf_rows * (1 if tree.spread[i] > 1.0 - compact else 2)]
+        if whole is None:
+            todo = [i for i in grown if tree.sizes[i] > leaf_rows * (1 if tree.spread[i] > 1.0 - compact else 2)]
+        else:
+            todo = [i for i in grown if tree.sizes[i] > leaf_rows and tree.spread[i] > 1.0 - whole]
+            todo = todo or loose()
     return tree
 
 
+def _settle(base: DataFrame, tree: Tree) -> list[int]:
+    """The leaves, their sizes, spread and means counted without moving a centre."""
+    leaves = [n for r in tree.roots.values() for n in tree.leaves(r)]
+    for i in leaves:
+        tree.sizes[i] = 0.0
+    for i, (n, s) in _measure(base, tree).items():
+        tree.sizes[i] = n
+        tree.spread[i] = 1.0 - np.linalg.norm(s) / n
+        tree.means[i] = unit(s)
+    return leaves
+
+
 def placed(base: DataFrame, tree: Tree, visits: int) -> DataFrame:
     """(category, leaf, own, memory_id, vec): each row in the leaf with the nearest centre (own) and as a
     visitor in the ``visits`` next ones of its category."""
@@ -292,15 +323,16 @@ def similar_groups(vectors: DataFrame, memories: DataFrame, threshold: float = 0
     return lookup_join(everyone, large, "first_id", "left_semi").select("first_id", "memory_id")
 
 
-def leaf_report(vectors: DataFrame, memories: DataFrame, compact: float = 0.8, typical: int = 3, least: int = 2, dimension: int = DIMENSION) -> DataFrame:
+def leaf_report(vectors: DataFrame, memories: DataFrame, compact: float = 0.8, typical: int = 3, least: int = 1, dimension: int = DIMENSION, leaf_rows: int = LEAF_ROWS) -> DataFrame:
     """(category, leaf, n, radius, cohesion, typical): the leaves of the whole bisecting k-means tree with
     at least ``least`` rows: size, smallest and mean cosine to the centre, and the ids nearest to it.
 
-    Within each leaf of the distributed tree the node with the largest dispersion is split again and again
-    until every leaf's mean cosine to its centre is at least ``compact``. Identical vectors count with all
-    their rows."""
+    Nodes are split again and again until every leaf's mean cosine to its centre is at least ``compact``, large
+    ones in the distributed tree and small ones inside a task. A compact node stays whole whatever its size;
+    beyond leaf_rows it is summed up where its rows are. Identical vectors count with all their rows."""
     base = categorized(vectors, memories, dimension).persist(StorageLevel.MEMORY_AND_DISK)
-    tree = fit_tree(base, dimension)
+    tree = fit_tree(base, dimension, leaf_rows, whole=compact)
+    large = {i: m for i, m in tree.means.items() if tree.children[i] is None and tree.sizes[i] > leaf_rows and tree.spread[i] <= 1.0 - compact}
     names = {n: c for c, r in tree.roots.items() for n in tree.leaves(r)}
 
     def run(t: pa.Table) -> pa.Table:
@@ -328,4 +360,38 @@ def leaf_report(vectors: DataFrame, memories: DataFrame, compact: float = 0.8, t
         kinds = [pa.string(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.int64())]
         return pa.table([pa.array(list(c), k) for c, k in zip(cols, kinds)], names=["category", "leaf", "n", "radius", "cohesion", "typical"])
 
-    return placed(base, tree, 0).groupBy("leaf").applyInArrow(run, "category string, leaf long, n long, radius double, cohesion double, typical array<long>")
+    shared = base.sparkSession.sparkContext.broadcast(tree)
+
+    def routed(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, np.ndarray, np.ndarray]]:
+        t = shared.value
+        for b in batches:
+            x = unpacked(b.column(2), dimension)
+            if len(x):
+                yield b, x, t.route(x, np.array([t.roots[c] for c in b.column(1).to_pylist()]))
+
+    def small(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, _, node in routed(batches):
+            mine = np.flatnonzero(~np.isin(node, list(large)))
+            yield pa.RecordBatch.from_arrays([pa.array(node[mine], pa.int64()), b.column(0).take(pa.array(mine)), b.column(2).take(pa.array(mine))], names=["leaf", "memory_id", "vec"])
+
+    def parts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b, x, node in routed(batches):
+            ids = np.asarray(b.column(0))
+            for i in np.unique(node[np.isin(node, list(large))]).tolist():
+                mine = np.flatnonzero(node == i)
+                s = x[mine] @ large[i]
+                best = np.lexsort((ids[mine], -s))[:typical]
+                row = (names[i], i, int(ids[mine].min()), len(mine), float(s.min()), float(s.sum()), [{"s": -float(s[k]), "id": int(ids[mine[k]])} for k in best])
+                kinds = [pa.string(), pa.int64(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.list_(pa.struct([("s", pa.float64()), ("id", pa.int64())]))]
+                yield pa.RecordBatch.from_arrays([pa.array([v], k) for v, k in zip(row, kinds)], names=["category", "node", "leaf", "n", "low", "total", "best"])
+
+    rows = base.select("memory_id", "category", "vec")
+    out = rows.mapInArrow(small, "leaf long, memory_id long, vec binary").groupBy("leaf").applyInArrow(run, "category string, leaf long, n long, radius double, cohesion double, typical array<long>")
+    if not large or least > max(tree.sizes[i] for i in large):
+        return out
+    sums = rows.mapInArrow(parts, "category string, node long, leaf long, n long, low double, total double, best array<struct<s:double,id:long>>")
+    merged = sums.groupBy("category", "node").agg(
+        F.min("leaf").alias("leaf"), F.sum("n").alias("n"), F.min("low").alias("radius"), (F.sum("total") / F.sum("n")).alias("cohesion"),
+        F.transform(F.slice(F.array_sort(F.flatten(F.collect_list("best"))), 1, typical), lambda b: b["id"]).alias("typical"),  # some rows a batch
+    ).where(F.col("n") >= least)
+    return out.unionByName(merged.drop("node"))

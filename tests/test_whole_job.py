@@ -4,7 +4,7 @@ import datetime as dt
 
 import numpy as np
 
-from sediment.llm import neighbours
+from sediment.llm import grouping, neighbours
 from sediment.operators import retrieval
 from sediment.plans import registry
 
@@ -46,3 +46,15 @@ def test_recall_counts_memories_without_a_list_and_every_query(spark, monkeypatc
     monkeypatch.setattr(neighbours, "PASS_QUERIES", 1000)
     r = neighbours.recall(v, found, every=1, dimension=8).first()
     assert (r.queries, r.expected) == (2320, 5 * 2320) and 10 <= r.missed <= 12  # a tie may round the other way
+
+
+def test_compact_leaves_stay_whole_at_any_size(spark):
+    rng = np.random.default_rng(6)
+    a, b = np.eye(8)[0], np.eye(8)[1]
+    vs = [a + rng.normal(size=8) * 0.05 for _ in range(300)] + [b + rng.normal(size=8) * 0.05 for _ in range(300)] + [-a + rng.normal(size=8) * 0.05 for _ in range(200)] + [-b]
+    v = spark.createDataFrame([(i, [float(y) for y in x]) for i, x in enumerate(vs)], "memory_id long, vector array<float>").repartition(4)
+    m = spark.createDataFrame([(i, "fact" if i < 300 else "rule" if i < 800 else "event", None) for i in range(len(vs))], "id long, category string, updated_at timestamp")
+    keep = lambda rows: sorted((r.category, r.leaf, r.n, round(r.radius, 4), round(r.cohesion, 4), r.typical) for r in rows)
+    small = keep(grouping.leaf_report(v, m, dimension=8, leaf_rows=10_000).collect())
+    large = keep(grouping.leaf_report(v, m, dimension=8, leaf_rows=40).collect())
+    assert small == large and sorted(r[2] for r in large) == [1, 200, 300, 300]

@@ -3,9 +3,10 @@
 import datetime as dt
 
 import numpy as np
+import pytest
 
 from sediment.llm import grouping, neighbours
-from sediment.operators import retrieval
+from sediment.operators import leaders, retrieval
 from sediment.plans import registry
 
 AT = dt.datetime(2025, 1, 1)
@@ -58,3 +59,29 @@ def test_compact_leaves_stay_whole_at_any_size(spark):
     small = keep(grouping.leaf_report(v, m, dimension=8, leaf_rows=10_000).collect())
     large = keep(grouping.leaf_report(v, m, dimension=8, leaf_rows=40).collect())
     assert small == large and sorted(r[2] for r in large) == [1, 200, 300, 300]
+
+
+@pytest.mark.parametrize("spread", [0.1, 1.0])
+def test_leaders_do_not_depend_on_blocks(spark, monkeypatch, spread):
+    rng = np.random.default_rng(9)
+    centres = rng.normal(size=(6, 8))
+    x = [centres[k % 6] + rng.normal(size=8) * spread for k in range(400)]
+    vectors = [[float(v) for v in y] for y in x]
+    vectors[50], vectors[51], vectors[52] = None, [0.0] * 8, [1.0, 0.0]
+    want, seen = {}, {}
+    for i, v in enumerate(vectors):
+        v = np.array(v if v is not None else [])
+        v = v / np.linalg.norm(v) if v.any() else v
+        known = seen.setdefault(len(v), [])
+        best = max(known, key=lambda e: e[1] @ v, default=None) if v.any() else None
+        if best is not None and best[1] @ v >= 0.55:
+            want[i] = best[0]
+        else:
+            want[i] = i
+            if v.any():
+                known.append((i, v))
+    df = spark.createDataFrame(list(enumerate(vectors)), "id long, v array<double>").repartition(5)
+    for size in (64_000_000, 100):
+        monkeypatch.setattr(leaders, "PASS_BYTES", size)
+        for block in (16, 4096):
+            assert {r.id: r.leader for r in leaders.leader_clusters(df, "id", "v", block_rows=block).collect()} == want

@@ -121,14 +121,29 @@ def slugify(spark, d):
     return m.select("id", T.slug(F.col("content")).alias("slug"))
 
 
+#: Around a name: no ASCII word character before or after it.
+BEFORE, AFTER = "(?iu)(?<![A-Za-z0-9_])(?:", ")(?![A-Za-z0-9_])"
+
+
 def resolve_aliases(spark, d):
-    """Subjects of several words get their initials as alias; in contents the alias, bounded by non-words, is
-    replaced by the full name. The alias table is bounded (the fixed table of personas)."""
-    p = table(spark, d, "personas").where("name is not null").select(F.lower("name").alias("alias"), F.concat(F.lit("person-"), "id").alias("canonical"))
+    """Names in contents, bounded by the ends or by ASCII characters that are no word's and regardless of case:
+    who is named, and the text with every name replaced. Longer names go first, equal ones to all who bear them and
+    in the text to the smallest id. The alias table is bounded (the fixed table of personas)."""
+    p = table(spark, d, "personas").where("trim(name) != ''").groupBy(F.lower(F.trim("name")).alias("alias")).agg(F.min("id").alias("id"), F.collect_set(F.concat(F.lit("person-"), "id")).alias("people"))
+    names = sorted((r.alias for r in p.select("alias").collect()), key=lambda x: (-len(x), x))
     m = memories(spark, d).where("content is not null").select("id", "content")
-    words = m.select("id", F.explode(F.array_distinct(F.regexp_extract_all(F.lower("content"), F.lit(r"[\p{L}-]+ [\p{L}-]+"), 0))).alias("alias"))
-    hit = words.join(F.broadcast(p), "alias")
-    return hit.groupBy("id").agg(F.array_join(F.sort_array(F.collect_set("canonical")), ",").alias("people"))
+    found = F.regexp_extract_all("content", F.lit(BEFORE + ("|".join(map(_literal, names)) or r"\b\B") + AFTER), 0)
+    hit = m.select("id", "content", found.alias("found")).where("size(found) > 0")
+    each = hit.select("id", "content", F.explode(F.array_distinct(F.transform("found", F.lower))).alias("alias")).join(F.broadcast(p.withColumnRenamed("id", "first")), "alias")
+    g = each.groupBy("id", "content").agg(F.flatten(F.collect_list("people")).alias("people"), F.array_sort(F.collect_list(F.struct((-F.length("alias")).alias("n"), "alias", "first"))).alias("names"))
+    # special characters are escaped as _literal does
+    pattern = lambda x: F.concat(F.lit(BEFORE), F.regexp_replace(x["alias"], r"([^\p{L}\p{N}\s])", r"\\$1"), F.lit(AFTER))
+    text = F.aggregate("names", F.col("content"), lambda t, x: F.regexp_replace(t, pattern(x), F.concat(F.lit("person-"), x["first"].cast("string"))))
+    return g.select("id", F.array_join(F.sort_array(F.array_distinct("people")), ",").alias("people"), text.alias("text"))
+
+
+def _literal(s: str) -> str:
+    return "".join(c if c.isalnum() or c.isspace() else "\\" + c for c in s)
 
 
 def usage_multiplier(spark, d):

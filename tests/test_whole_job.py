@@ -85,3 +85,18 @@ def test_leaders_do_not_depend_on_blocks(spark, monkeypatch, spread):
         monkeypatch.setattr(leaders, "PASS_BYTES", size)
         for block in (16, 4096):
             assert {r.id: r.leader for r in leaders.leader_clusters(df, "id", "v", block_rows=block).collect()} == want
+
+
+def test_aliases_at_every_position(spark, tmp_path):
+    texts = ["When Talia Quillmere is away", "ask scribe-2, then SCRIBE-2 scribe-2!", "zoë ummerdal and Talia Quillmere-Noll", "xscribe-2 scribe-21 Talia  Quillmere", "Talia Quillmere Talia Quillmere"]
+    rows = [(k, t, "fact", 0, AT, True) for k, t in enumerate(texts)]
+    spark.createDataFrame(rows, "id long, content string, category string, access_count int, updated_at timestamp, is_active boolean").write.parquet(f"{tmp_path}/memories.parquet")
+    names = [(1, "Talia Quillmere"), (2, "scribe-2"), (3, "Zoë Ummerdal"), (4, "Talia Quillmere-Noll"), (5, None)]
+    spark.createDataFrame(names, "id long, name string").write.parquet(f"{tmp_path}/personas.parquet")
+    got = {r.id: (r.people, r.text) for r in registry.queries()["resolve_aliases"](spark, str(tmp_path)).collect()}
+    assert got == {
+        0: ("person-1", "When person-1 is away"),
+        1: ("person-2", "ask person-2, then person-2 person-2!"),
+        2: ("person-3,person-4", "person-3 and person-4"),
+        4: ("person-1", "person-1 person-1"),
+    }

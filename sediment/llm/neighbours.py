@@ -17,7 +17,7 @@ from pyspark import StorageLevel
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from sediment.llm.vectors import DIMENSION, one_per_copy, one_per_id, packed, unpacked, usable
+from sediment.llm.vectors import BROADCAST_IDS, DIMENSION, one_per_copy, one_per_id, packed, unpacked, usable
 from sediment.operators.skew import lookup_join
 from sediment.runtime import materialize
 
@@ -183,7 +183,8 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
     # a class is asked for if any of its members is
     wanted = copies.where(F.col("member") % every == 0).select(F.col("root").alias("memory_id")).distinct()
     if every > 1:
-        rows = reps.select("memory_id", "vec", "same").join(wanted.withColumn("also", F.lit(True)), "memory_id", "left")
+        also = wanted.withColumn("also", F.lit(True))
+        rows = reps.select("memory_id", "vec").join(F.broadcast(also) if wanted.count() <= BROADCAST_IDS else also, "memory_id", "left")
         rows = rows.select("memory_id", (query | F.coalesce("also", F.lit(False))).alias("query"), "vec")
     else:
         rows = reps.select("memory_id", F.lit(True).alias("query"), "vec")

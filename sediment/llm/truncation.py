@@ -3,7 +3,8 @@
 Words keep their punctuation, digits count by their number only, and a line break is a word. Of every
 text the trigrams inside (another word of the line follows) and at ends (a line break or the end of the
 text follows) are counted, once per distinct text. A text whose last trigram is frequent inside but
-almost never at an end was cut; where longer n-grams are known well enough, they decide. A last word that was cut itself is told by the longer words that usually stand in its place.
+almost never at an end was cut; where longer n-grams are known well enough, they decide. A last word that
+was cut itself is told by the longer words that usually stand in its place.
 """
 
 from __future__ import annotations
@@ -21,24 +22,48 @@ SUPPORT = 4
 #: A text is cut if at most this share of the occurrences stand at an end.
 MOST_AT_END = 0.04
 
-#: A sign of the cut lies within this many characters of the end.
-_END = 80
+#: So many wanted n-grams are broadcast (some 40 MB); more are looked up in the counts of all n-grams.
+BROADCAST_GRAMS = 1_000_000
+
 _BLANKS = " \t\n\r\x0b\x0c\u00a0"
-_MARK = r"(?is)\s*(?:[\[<({]\s*(?:cut|truncated|more|snip|continued|cont\.?)\s*[\]>)}]|-{2,}\s*more\s*-{2,})\s*$"
-_ELLIPSIS = r"\s*(?:…|\.{3,})$"
-_STOP = r"[.!?。！？]['\"”’)\]*_`]*$"
+# Words that stand in brackets where a text was cut, and characters that close a sentence.
+_CUT_SIGN = r"(?i)^\s*(?:cut|truncated|more|snip|continued|cont\.?)\s*[\]>)}]$"
+_STOPS, _CLOSERS, _CLOSED = [".", "!", "?", "。", "！", "？"], "'\"”’)]*_`", ["}", "]", ">", "`"]
 _BREAK = "⏎"
 
 
 def prepared(documents: DataFrame) -> DataFrame:
     """(doc_id, source, key, body) of the texts that are neither null nor blank; key is a digest of body."""
-    body = F.rtrim(F.regexp_replace("text", r"\r\n?", "\n"), F.lit(_BLANKS))
+    body = _bare(F.regexp_replace("text", r"\r\n?", "\n"))
     return documents.select("doc_id", F.lower(F.trim("source")).alias("source"), body.alias("body")).where("body != ''").withColumn("key", F.xxhash64("body"))
 
 
+def _bare(c: Column, chars: str = _BLANKS) -> Column:
+    return F.rtrim(c, F.lit(chars))
+
+
+def _shorter(c: Column, n: Column | int) -> Column:
+    return F.left(c, F.length(c) - n)
+
+
+def without_mark(texts: DataFrame) -> DataFrame:
+    """texts with ``plain``, the body without a sign of the cut at its end ([cut], <truncated>, -- more --) and
+    the blanks before it. Told from the last opening bracket or the last dashes on, wherever they stand, by
+    operations that take time in proportion to the text."""
+    sign = F.substring_index(F.translate("body", "<({", "[[["), "[", -1)
+    dashes = texts.withColumn("sign", sign).withColumn("a", _bare(F.col("body"), "-")).withColumn("b", _bare(F.col("a")))
+    dashes = dashes.withColumn("c", F.when((F.length("body") - F.length("a") >= 2) & (F.lower(F.right("b", F.lit(4))) == "more"), _bare(_shorter(F.col("b"), 4)))).withColumn("d", _bare(F.col("c"), "-"))
+    bracketed = (F.length("sign") < F.length("body")) & F.col("sign").rlike(_CUT_SIGN)
+    plain = F.when(bracketed, _bare(_shorter(F.col("body"), F.length("sign") + 1))).when(F.length("c") - F.length("d") >= 2, _bare(F.col("d"))).otherwise(F.col("body"))
+    return dashes.withColumn("plain", plain).drop("sign", "a", "b", "c", "d")
+
+
+def _shaped(c: Column) -> Column:
+    return F.translate(F.lower(c), "012345678", "999999999")
+
+
 def _words(line: Column) -> Column:
-    shaped = F.translate(F.lower(line), "012345678", "999999999")
-    return F.array_remove(F.split(shaped, r"\s+"), "")
+    return F.array_remove(F.split(line, r"\s+"), "")
 
 
 def _bullet(line: Column) -> Column:
@@ -47,69 +72,81 @@ def _bullet(line: Column) -> Column:
     return F.regexp_extract(line, r"^\s*([^\w\s]*)", 1)
 
 
-def _back(at: Column, m: int) -> list[Column]:
-    """The m words that end at index ``at`` of the column w; line breaks stand before the first."""
-    return [F.coalesce(F.get("w", at - o), F.lit(_BREAK)) for o in range(m - 1, -1, -1)]
+def _lines(rows: DataFrame, *keep: str) -> DataFrame:
+    """rows with the words w of their column line, the digests h of the words and the line's bullet."""
+    cells = rows.select(*keep, _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w"))
+    return cells.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+
+
+def _back(at: Column, o: int) -> Column:
+    """Digest of the word o places before index ``at``; line breaks stand before the first."""
+    return F.coalesce(F.get("h", at - o), F.xxhash64(F.lit(_BREAK)))
 
 
-def _digests(at: Column) -> dict[int, Column]:
-    return {m: F.xxhash64(*_back(at, m)) if m == LENGTHS[0] else F.xxhash64(F.col("bullet"), *_back(at, m)) for m in LENGTHS}
+def _place(at: Column) -> list[Column]:
+    """Digests of the trigram that ends at index ``at``, of its first two words and of the two pairs before it."""
+    return [
+        F.xxhash64(_back(at, 2), _back(at, 1), _back(at, 0)).alias("g3"), F.xxhash64(_back(at, 2), _back(at, 1)).alias("pair"),
+        F.xxhash64(_back(at, 4), _back(at, 3)).alias("b5"), F.xxhash64(_back(at, 6), _back(at, 5)).alias("b7"),
+    ]
 
 
-def _pair(at: Column) -> Column:
-    return F.xxhash64(*_back(at - 1, 2), F.lit("pair"))
+def _longer(rows: DataFrame) -> DataFrame:
+    """rows with the digests g5 and g7 of the longer n-grams at their places."""
+    return rows.withColumn("g5", F.xxhash64("bullet", "b5", "g3")).withColumn("g7", F.xxhash64("bullet", "b7", "g5")).drop("b5", "b7")
 
 
-def gram_counts(texts: DataFrame) -> DataFrame:
-    """(gram, pair, word, inside, at_end) for all n-grams of the distinct texts; word and the digest of
-    the two words before it are given for trigrams only. Combined before the shuffle."""
-    line = F.col("line")
-    lines = texts.select(F.explode(F.split("body", r"\n+")).alias("line")).where("trim(line) != ''")
-    cells = lines.select(_bullet(line).alias("bullet"), _words(line).alias("w")).withColumn("n", F.size("w"))
-    at = cells.select("bullet", "n", "w", F.posexplode("w").alias("i", "word"))
-    i = F.col("i")
+def gram_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
+    """(gram, pair, word, inside, at_end) of the n-grams of the distinct texts: the trigrams whose first two
+    words are wanted, with their last word and the digest of the two before it, and the wanted longer n-grams.
+    wanted is (need), distinct digests of pairs and longer n-grams. A bounded number of them is broadcast and
+    sieves the n-grams before they are counted; otherwise all are counted, combined before the shuffle, and
+    then looked up."""
+    lines = texts.select(F.explode(F.split(_shaped(F.col("body")), "\n")).alias("line"))
+    cells = _lines(lines).withColumn("n", F.size("w"))
+    at = cells.select("bullet", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), (i == F.col("n") - 1).cast("long").alias("stop"), *_place(i)))).alias("p")).select("bullet", "p.*")
+    few = wanted.count() <= BROADCAST_GRAMS
+    if few:
+        at = at.join(F.broadcast(wanted), F.col("pair") == F.col("need"), "left_semi")
     none_l, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
-    digests = at.select((i == F.col("n") - 1).cast("long").alias("stop"), "word", _pair(i).alias("pair"), *[d.alias(f"g{m}") for m, d in _digests(i).items()])
-    rows = F.array(*[
-        F.struct(F.col(f"g{m}").alias("gram"), (F.col("pair") if m == 3 else none_l).alias("pair"), (F.col("word") if m == 3 else none_s).alias("word")) for m in LENGTHS
-    ])
-    grams = digests.select("stop", F.explode(rows).alias("r")).select("stop", "r.*")
-    return grams.groupBy("gram", "pair", "word").agg((F.count(F.lit(1)) - F.sum("stop")).alias("inside"), F.sum("stop").alias("at_end"))
+    rows = [F.struct(F.col("g3").alias("gram"), "pair", "word", F.col("pair").alias("need"))]
+    rows += [F.struct(F.col(g).alias("gram"), none_l.alias("pair"), none_s.alias("word"), F.col(g).alias("need")) for g in ("g5", "g7")]
+    grams = _longer(at).select("stop", F.explode(F.array(*rows)).alias("r")).select("stop", "r.*")
+    if few:
+        grams = grams.join(F.broadcast(wanted), "need", "left_semi")
+    counts = grams.groupBy("gram", "pair", "word", "need").agg((F.count(F.lit(1)) - F.sum("stop")).alias("inside"), F.sum("stop").alias("at_end"))
+    return (counts if few else lookup_join(counts, wanted, "need", "left_semi")).drop("need")
 
 
 def judged(documents: DataFrame) -> DataFrame:
     """(doc_id, source, reason) of every text that is not blank; reason is null for whole texts, else
     ``mark`` (a sign put there by the cut), ``structure`` (an open JSON value or code fence, or a damaged
     last character), ``words`` (the last n-gram) or ``part`` (the last word). Repeated doc_ids are
-    judged row by row; a text too rare to compare counts as whole."""
+    judged row by row; a text too rare to compare counts as whole. Texts are read to their end, of any length."""
     docs = prepared(documents)
-    texts = docs.groupBy("key").agg(F.first("body").alias("body"))
-    end = lambda c: F.right(c, F.lit(_END))
-    without = lambda c, pattern: F.left(c, F.length(c) - F.length(F.regexp_extract(end(c), pattern, 0)))
-    plain = without(F.col("body"), _MARK)
-    core = without(F.col("plain"), _ELLIPSIS)
+    ids = materialize(docs.select("doc_id", "source", "key"))
+    texts = materialize(docs.groupBy("key").agg(F.first("body").alias("body")))  # read twice
     opens, closes = (F.length(F.translate("body", c, "")) for c in ("}]", "{["))
     json = F.col("body").rlike(r"^[\[{]") & (opens != closes)
-    fence = F.size(F.split("body", "```")) % 2 == 0
-    sure = F.when(end(F.col("body")).rlike(_MARK), "mark").when(json | fence | F.col("body").endswith("\ufffd"), "structure")
-    known = texts.select("key", plain.alias("plain"), sure.alias("sure")).select("key", "plain", core.alias("core"), "sure")
-    bare = ~end(F.col("core")).rlike(_STOP) & ~end(F.col("core")).rlike(r"[}\]>`]$")
-    doubtful = known.where("sure is null and core != ''").where((F.col("core") != F.col("plain")) | bare)
-    last = lambda c: F.element_at(F.split(c, r"\n+"), -1)
-    tails = doubtful.select("key", (F.col("core") != F.col("plain")).alias("dots"), F.explode(F.array(*[
-        F.struct(F.lit(dotted).alias("dotted"), last(F.col(c)).alias("line")) for c, dotted in (("core", False), ("plain", True))
+    fence = ((F.length("body") - F.length(F.replace("body", F.lit("```"), F.lit("")))) / 3).cast("long") % 2 == 1
+    known = without_mark(texts).withColumn("sure", F.when(F.col("plain") != F.col("body"), "mark").when(json | fence | F.col("body").endswith("\ufffd"), "structure")).drop("body")
+    dots = F.when(F.col("plain").endswith("…"), _bare(_shorter(F.col("plain"), 1))).when(F.col("plain").endswith("..."), _bare(_bare(F.col("plain"), "."))).otherwise(F.col("plain"))
+    known = known.withColumn("core", dots).withColumn("dots", F.col("core") != F.col("plain"))
+    bare = ~F.right(_bare(F.col("core"), _CLOSERS), F.lit(1)).isin(_STOPS) & ~F.right("core", F.lit(1)).isin(_CLOSED)
+    last = lambda c: _shaped(F.substring_index(c, "\n", -1))
+    known = known.withColumn("doubtful", F.col("sure").isNull() & (F.col("core") != "") & (F.col("dots") | bare))
+    # of the texts that do not end in a clear way the last lines; not filtered before, as that would repeat the expressions
+    known = materialize(known.select("key", "sure", "dots", "doubtful", *[F.when(F.col("doubtful"), last(c)).alias(c) for c in ("core", "plain")]))
+    tails = known.where("doubtful").select("key", "dots", F.explode(F.array(*[
+        F.struct(F.lit(dotted).alias("dotted"), F.col(c).alias("line")) for c, dotted in (("core", False), ("plain", True))
     ])).alias("t")).select("key", "dots", "t.*").where("dots or not dotted")
-    tails = tails.select("key", "dots", "dotted", _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w")).where(F.size("w") > 0)
-    at = F.size("w") - 1
-    digests = F.array(*[F.struct(F.lit(m).alias("k"), d.alias("gram")) for m, d in _digests(at).items()])
-    tails = materialize(tails.select("key", "dots", "dotted", F.element_at("w", -1).alias("word"), _pair(at).alias("pair"), digests.alias("grams")))
-    # of all n-grams only those of these ends, and the trigrams that share their first two words
-    wanted = tails.select(F.explode("grams.gram").alias("at")).union(tails.where("not dotted").select(F.col("pair").alias("at"))).distinct()
-    counts = gram_counts(texts)
-    keyed = counts.select("*", F.posexplode(F.array("gram", "pair")).alias("by_pair", "at")).where("at is not null")
-    counts = materialize(keyed.join(wanted, "at", "left_semi"))
-    ends = tails.select("key", "dots", "dotted", "word", "pair", F.explode("grams").alias("e")).select("key", "dots", "dotted", "word", "pair", "e.*")
-    seen = lookup_join(ends, counts.where("by_pair = 0").select("gram", "inside", "at_end"), "gram", "left")
+    tails = _lines(tails, "key", "dots", "dotted")
+    tails = materialize(_longer(tails.select("key", "dots", "dotted", "bullet", F.get("w", F.size("w") - 1).alias("word"), *_place(F.size("w") - 1))).drop("bullet")).where("word is not null")
+    wanted = tails.select(F.explode(F.array("pair", "g5", "g7")).alias("need")).distinct()
+    counts = materialize(gram_counts(texts, wanted))  # read twice
+    grams = F.array(*[F.struct(F.lit(m).alias("k"), F.col(f"g{m}").alias("gram")) for m in LENGTHS])
+    ends = tails.select("key", "dots", "dotted", "word", "pair", F.explode(grams).alias("e")).select("key", "dots", "dotted", "word", "pair", "e.*")
+    seen = lookup_join(ends, counts.select("gram", "inside", "at_end"), "gram", "left")
     # the end of the text itself is no evidence; before dots the n-gram flows on, with dots it stops
     flows = F.max(F.when(~F.col("dotted"), F.coalesce("inside", F.lit(0)))).alias("flows")
     stops = F.max(F.when(F.col("dotted") == F.col("dots"), F.greatest(F.coalesce("at_end", F.lit(0)) - 1, F.lit(0)))).alias("stops")
@@ -118,19 +155,19 @@ def judged(documents: DataFrame) -> DataFrame:
     longest = by_k.groupBy("key").agg(
         F.max(F.when(F.col("stops") + F.col("flows") >= SUPPORT, F.struct("k", "stops", "flows"))).alias("best"),
         F.max(F.when(short, F.struct("stops", "flows", "pair", "word"))).alias("tri"),
-    ).select("key", "best", "tri.*")
-    # longer words in place of the last one
-    places = counts.where("by_pair = 1")
-    stems = F.transform(F.sequence(F.lit(1), F.length("word") - 1), lambda i: F.col("word").substr(F.lit(1), i))
-    starts = places.where("length(word) > 1").select("pair", F.explode(stems).alias("word"), (F.col("inside") + F.col("at_end")).alias("n"))
-    starts = starts.groupBy(F.xxhash64("pair", "word").alias("stem")).agg(F.sum("n").alias("longer"))
-    whole = lookup_join(longest.withColumn("stem", F.xxhash64("pair", "word")), starts, "stem", "left")
+    ).select("key", "best", "tri.*").withColumn("stem", F.xxhash64("pair", "word"))
+    # longer words in place of the last one: of each word only the beginnings as long as a last word after its pair
+    lengths = tails.where("not dotted").groupBy("pair").agg(F.collect_set(F.length("word")).alias("lengths"))
+    places = lookup_join(counts.where("pair is not null and length(word) > 1").select("pair", "word", (F.col("inside") + F.col("at_end")).alias("n")), lengths, "pair", "inner")
+    stems = F.transform(F.filter("lengths", lambda n: n < F.length("word")), lambda n: F.xxhash64("pair", F.left("word", n)))
+    starts = places.select(F.explode(stems).alias("stem"), "n").groupBy("stem").agg(F.sum("n").alias("longer"))
+    whole = lookup_join(longest, starts, "stem", "left")
     cut_words = F.col("best").isNotNull() & (F.col("best.stops") <= MOST_AT_END * (F.col("best.stops") + F.col("best.flows")))
     longer = F.coalesce("longer", F.lit(0))
     cut_part = (longer >= SUPPORT) & (F.greatest(F.col("flows") - 1, F.col("stops") - 1) <= MOST_AT_END * longer)
     found = whole.select("key", F.when(cut_words, "words").when(cut_part, "part").alias("guess")).where("guess is not null")
     sure = known.where("sure is not null").select("key", F.col("sure").alias("guess"))
-    return lookup_join(docs.select("doc_id", "source", "key"), found.unionByName(sure), "key", "left").select("doc_id", "source", F.col("guess").alias("reason"))
+    return lookup_join(ids, found.unionByName(sure), "key", "left").select("doc_id", "source", F.col("guess").alias("reason"))
 
 
 def truncated(documents: DataFrame) -> DataFrame:

@@ -25,8 +25,10 @@ from sediment.runtime import materialize
 PER_PIVOT, FEWEST, MOST = 180, 16, 16_384
 #: Pivots kept of each permutation, and inverted files a vector is posted in.
 ORDERED, POSTED = 8, 3
-#: Of each file the best by footrule are compared with the full vectors (more where distances tie).
-RERANK = 256
+#: Of each file the best by footrule are compared with the full vectors: so many, or this share of a longer file.
+RERANK, SHARE = 128, 0.25
+#: Bytes of vectors that are gathered at once to be compared.
+GATHER_BYTES = 16_000_000
 #: Longer inverted files are cut into blocks.
 FILE_ROWS = 20_000
 #: Cosines are compared after rounding to this many places, so that equal vectors tie.
@@ -62,58 +64,66 @@ def first_pivots(x: np.ndarray, pivots: np.ndarray, k: int) -> np.ndarray:
     return np.concatenate(parts)
 
 
-def postings(rows: DataFrame, pivots: np.ndarray, lengths: np.ndarray, dimension: int, posted: int = POSTED, asked: int = POSTED) -> DataFrame:
-    """(file, a, b, block, reads, memory_id, perm, vec): rows (memory_id, query, vec) in the files of their
-    first pivots. Every row is posted in ``posted`` files; a query also reads the files of its first
-    ``asked`` pivots. (a, b) is the pair of blocks of a file that a task handles."""
-    shared = rows.sparkSession.sparkContext.broadcast((pivots, np.maximum(1, np.ceil(lengths / FILE_ROWS)).astype(np.int64)))
+def postings(rows: DataFrame, pivots: np.ndarray, lengths: np.ndarray, dimension: int, posted: int = POSTED, asked: int = POSTED, ordered: int = ORDERED, every: int = 1) -> DataFrame:
+    """(file, a, b, reads, posts, memory_id, perm, vec): rows (memory_id, query, vec) in the files of their
+    first pivots. Every row is posted in ``posted`` files; a query reads the files of its first ``asked`` pivots.
+    Queries of a file are cut into blocks a and posted rows into blocks b of about FILE_ROWS, and every pair of
+    blocks is a task, so nothing is cut off: a query goes to all blocks of a file, a posted row to all blocks of
+    queries (one in ``every`` rows)."""
+    blocks = np.maximum(1, np.ceil(lengths / FILE_ROWS)).astype(np.int64)
+    askers = np.maximum(1, np.ceil(lengths * (asked / posted / every) / FILE_ROWS)).astype(np.int64)
+    shared = rows.sparkSession.sparkContext.broadcast((pivots, blocks, askers))
+
+    def each(n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Numbers of the rows, each repeated n times, and the place of every repeat."""
+        at = np.repeat(np.arange(len(n)), n)
+        return at, np.arange(len(at)) - np.repeat(np.cumsum(n) - n, n)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        p, blocks = shared.value
-        width = min(max(ORDERED, posted, asked), len(p))
+        p, n_b, n_a = shared.value
+        width = min(max(ordered, posted, asked), len(p))
         for b in batches:
             x = unpacked(b.column(2), dimension)
             if not len(x):
                 continue
             top = first_pivots(x, p, width)
-            perm = np.full((len(x), ORDERED), -1, np.int32)
-            perm[:, : min(width, ORDERED)] = top[:, :ORDERED]
-            ids = np.asarray(b.column(0))
-            query = np.asarray(b.column(1))
-            files, row, reads, posts = [], [], [], []
+            perm = np.full((len(x), ordered), -1, np.int32)
+            perm[:, : min(width, ordered)] = top[:, :ordered]
+            ids, query = np.asarray(b.column(0)), np.asarray(b.column(1))
+            parts = []
             for j in range(width):
-                wanted = (query & (j < asked)) if j >= posted else np.ones(len(x), bool)
-                at = np.flatnonzero(wanted)
-                files.append(top[at, j])
-                row.append(at)
-                reads.append(query[at] & (j < asked))
-                posts.append(np.full(len(at), j < posted))
-            file, r, rd, ps = (np.concatenate(v) for v in (files, row, reads, posts))
-            n = blocks[file]
-            block = (ids[r] * 2654435761 % 4294967291) % n
-            other = np.concatenate([np.arange(k) for k in n]) if len(n) else n
-            rep = np.repeat(np.arange(len(n)), n)
-            lo, hi = np.minimum(block[rep], other), np.maximum(block[rep], other)
-            rr = r[rep]
-            for at in range(0, len(rr), 4096):
+                reads, posts = query & (j < asked), j < posted
+                row = np.flatnonzero(reads | posts)
+                file, r = top[row, j], reads[row]
+                mine, home = ids[row] * 40503 % 4294967291 % n_a[file], ids[row] * 2654435761 % 4294967291 % n_b[file]
+                at, k = each(np.where(r, n_b[file], 0))  # as a query, in the block of its own also as a row
+                parts.append((file[at], mine[at], k, r[at], posts & (k == home[at]), row[at]))
+                if posts:
+                    at, k = each(n_a[file])
+                    own = r[at] & (k == mine[at])
+                    at, k = at[~own], k[~own]
+                    parts.append((file[at], k, home[at], np.zeros(len(at), bool), np.ones(len(at), bool), row[at]))
+            file, qa, db, rd, ps, row = (np.concatenate(v) for v in zip(*parts))
+            for at in range(0, len(row), 4096):
                 c = slice(at, at + 4096)
                 yield pa.RecordBatch.from_arrays(
-                    [pa.array(file[rep][c], pa.int64()), pa.array(lo[c], pa.int64()), pa.array(hi[c], pa.int64()), pa.array(block[rep][c], pa.int64()), pa.array(rd[rep][c]), pa.array(ps[rep][c]),
-                     pa.array(ids[rr[c]], pa.int64()), packed(perm[rr[c]].view(np.float32)), packed(x[rr[c]])],
-                    names=["file", "a", "b", "block", "reads", "posts", "memory_id", "perm", "vec"],
+                    [pa.array(file[c], pa.int64()), pa.array(qa[c], pa.int64()), pa.array(db[c], pa.int64()), pa.array(rd[c]), pa.array(ps[c]), pa.array(ids[row[c]], pa.int64()),
+                     packed(perm[row[c]].view(np.float32)), packed(x[row[c]])],
+                    names=["file", "a", "b", "reads", "posts", "memory_id", "perm", "vec"],
                 )
 
-    return rows.select("memory_id", "query", "vec").mapInArrow(run, "file long, a long, b long, block long, reads boolean, posts boolean, memory_id long, perm binary, vec binary")
+    return rows.select("memory_id", "query", "vec").mapInArrow(run, "file long, a long, b long, reads boolean, posts boolean, memory_id long, perm binary, vec binary")
 
 
 def _closeness(perm: np.ndarray, rows: np.ndarray, data: np.ndarray) -> np.ndarray:
     """For rows x data the sum over shared pivots of the smaller of the two weights, where the pivot at
-    place i weighs ORDERED - i: the footrule distance is a constant minus twice that."""
+    place i of a permutation of w pivots weighs w - i: the footrule distance is a constant minus twice that."""
+    ordered = perm.shape[1]
     out = np.zeros((len(rows), len(data)), np.int16)
-    weight = np.tile(np.arange(ORDERED, 0, -1, dtype=np.int16), (max(len(rows), len(data)), 1))
+    weight = np.tile(np.arange(ordered, 0, -1, dtype=np.int16), (max(len(rows), len(data)), 1))
 
     def by_pivot(which: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        flat, at, w = perm[which].ravel(), np.repeat(np.arange(len(which)), ORDERED), weight[: len(which)].ravel()
+        flat, at, w = perm[which].ravel(), np.repeat(np.arange(len(which)), ordered), weight[: len(which)].ravel()
         order = np.argsort(flat, kind="stable")
         keys, first = np.unique(flat[order], return_index=True)
         return keys, np.append(first, len(order)), at[order], w[order]
@@ -128,33 +138,48 @@ def _closeness(perm: np.ndarray, rows: np.ndarray, data: np.ndarray) -> np.ndarr
     return out
 
 
-def _search(t: pa.Table, dimension: int, k: int, floor: float, rerank: int) -> pa.Table:
+def _met_before(perm: np.ndarray, q: np.ndarray, data: np.ndarray, file: int, asked: int, posted: int) -> np.ndarray:
+    """Of q x data the pairs that another file, nearer to the query, holds as well."""
+    mine = perm[q][:, :asked]
+    earlier = np.cumsum(mine == file, axis=1) == 0  # a query's pivots before this one
+    out = np.zeros((len(q), len(data)), bool)
+    for i in range(mine.shape[1]):
+        rows = np.flatnonzero(earlier[:, i] & (mine[:, i] >= 0))
+        for j in range(min(posted, perm.shape[1])):
+            out[rows] |= mine[rows, i][:, None] == perm[data, j][None, :]
+    return out
+
+
+def _search(t: pa.Table, dimension: int, k: int, floor: float, rerank: int, share: float = 0.0, asked: int = POSTED, posted: int = POSTED, ordered: int = ORDERED) -> pa.Table:
+    """(root, near, cosine): of each query of a file the k best rows of the file. The rows are ranked by the
+    footrule distance of the permutations alone; only of the best ``rerank`` of them (or ``share`` of the file,
+    if that is more; equal distances by smaller id) the vectors are fetched and compared. Pairs that meet in
+    several files are ranked in the one nearest to the query."""
     _, first = np.unique(np.asarray(t.column("memory_id")), return_index=True)
     t = t.take(pa.array(first))
-    ids, block = np.asarray(t.column("memory_id")), np.asarray(t.column("block"))
+    ids = np.asarray(t.column("memory_id"))
     reads, posts = np.asarray(t.column("reads")), np.asarray(t.column("posts"))
     x = unpacked(t.column("vec"), dimension)
-    perm = unpacked(t.column("perm"), ORDERED).view(np.int32)
-    apart = t.column("a")[0].as_py() != t.column("b")[0].as_py()
+    perm = unpacked(t.column("perm"), ordered).view(np.int32)
+    file = t.column("file")[0].as_py()
     data = np.flatnonzero(posts)
     found = []
     queries = np.flatnonzero(reads)
-    for at in range(0, len(queries), 512):
-        q = queries[at : at + 512]
-        s = x[q] @ x[data].T
-        s[ids[q][:, None] == ids[data][None, :]] = -2
-        if apart:
-            s[block[q][:, None] == block[data][None, :]] = -2
-        if len(data) > rerank:
-            near = _closeness(perm, q, data)
-            cut = np.partition(near, len(data) - rerank, axis=1)[:, len(data) - rerank]
-            s[near < cut[:, None]] = -2
-        s[s < floor - 1e-5] = -2
-        m = min(k + 8, len(data))
-        best = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < len(data) else np.tile(np.arange(len(data)), (len(q), 1))
-        i = np.repeat(np.arange(len(q)), best.shape[1])
-        j = best.ravel()
-        ok = s[i, j] > -1.5
+    most = min(len(data), max(rerank, int(np.ceil(share * len(data)))))
+    step = int(np.clip(GATHER_BYTES // max(1, most * dimension * 4), 1, 512))
+    for at in range(0, len(queries), step) if len(data) else ():
+        q = queries[at : at + step]
+        near = _closeness(perm, q, data).astype(np.int64)
+        near[(ids[q][:, None] == ids[data][None, :]) | _met_before(perm, q, data, file, asked, posted)] = -1
+        order = near * len(data) - np.arange(len(data))  # equal distances by smaller id
+        best = np.argpartition(-order, most - 1, axis=1)[:, :most] if most < len(data) else np.tile(np.arange(most), (len(q), 1))
+        s = np.matmul(x[data[best]], x[q][:, :, None])[:, :, 0]
+        s[(np.take_along_axis(near, best, 1) < 0) | (s < floor - 1e-5)] = -2
+        m = min(k + 8, most)
+        top = np.argpartition(-s, m - 1, axis=1)[:, :m] if m < most else np.tile(np.arange(most), (len(q), 1))
+        i = np.repeat(np.arange(len(q)), m)
+        j = np.take_along_axis(best, top, 1).ravel()
+        ok = np.take_along_axis(s, top, 1).ravel() > -1.5
         i, j = i[ok], data[j[ok]]
         cos = np.round(np.einsum("ij,ij->i", x[q[i]].astype(np.float64), x[j].astype(np.float64)), PLACES)
         order = np.lexsort((ids[j], -cos, i))
@@ -167,11 +192,12 @@ def _search(t: pa.Table, dimension: int, k: int, floor: float, rerank: int) -> p
     return pa.table({"root": pa.array(cols[0], pa.int64()), "near": pa.array(cols[1], pa.int64()), "cosine": pa.array(cols[2], pa.float64())})
 
 
-def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1, asked: int = POSTED, posted: int = POSTED, rerank: int = RERANK, dimension: int = DIMENSION, most_pivots: int = MOST) -> DataFrame:
+def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1, asked: int = POSTED, posted: int = POSTED, rerank: int = RERANK, share: float = SHARE, ordered: int = ORDERED, dimension: int = DIMENSION, most_pivots: int = MOST) -> DataFrame:
     """(memory_id, rank, near, cosine): of every memory whose id is divisible by ``every`` the k most
     similar other memories of the whole table by cosine, equal ones by smaller id; with floor only those
     of at least that cosine. Near copies are found with few files of many pivots; where neighbours are far,
-    recall needs a constant share of all rows, that is fewer pivots (most_pivots) and more files read (asked).
+    recall needs a constant share of all rows, that is fewer pivots (most_pivots) and more files read (asked). Files
+    are ranked by footrule distance, and the best ``rerank`` or ``share`` of each compared by their vectors.
 
     Identical vectors are indexed once: as they tie, only the k + 1 smallest ids of each can be among
     anyone's k nearest. Repeated ids count once (rows that differ: the one with the smallest digest); null,
@@ -190,8 +216,8 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
         rows = reps.select("memory_id", F.lit(True).alias("query"), "vec")
     if n:
         pivots, lengths = pivots_of(base, dimension, n, most_pivots)
-        met = postings(rows, pivots, lengths, dimension, posted, asked).groupBy("file", "a", "b").applyInArrow(
-            lambda t: _search(t, dimension, k, floor, rerank), "root long, near long, cosine double"
+        met = postings(rows, pivots, lengths, dimension, posted, asked, ordered, every).groupBy("file", "a", "b").applyInArrow(
+            lambda t: _search(t, dimension, k, floor, rerank, share, asked, posted, ordered), "root long, near long, cosine double"
         )
     else:
         met = base.sparkSession.createDataFrame([], "root long, near long, cosine double")
@@ -215,10 +241,9 @@ def mutual(near: DataFrame, least: float) -> DataFrame:
     return pair.groupBy("memory_id_a", "memory_id_b").agg(F.count(F.lit(1)).alias("n")).where("n = 2").drop("n")
 
 
-def recall(vectors: DataFrame, found: DataFrame, k: int = 5, every: int = 50, dimension: int = DIMENSION) -> DataFrame:
-    """(queries, expected, missed, recall) of lists made by nearest() with the same ``every``, against brute
-    force: each usable memory whose id is divisible by it is compared with all rows, whether anything was
-    found for it or not. Queries are sent out PASS_QUERIES at a time, with one pass over all rows for each."""
+def true_lists(vectors: DataFrame, k: int = 5, every: int = 50, dimension: int = DIMENSION) -> DataFrame:
+    """(memory_id, near, cosine): the k nearest of each usable memory whose id is divisible by ``every``, by brute
+    force against all rows. Queries are sent out PASS_QUERIES at a time, with one pass over all rows for each."""
     base = one_per_id(usable(vectors, dimension).withColumn("same", F.xxhash64("vec"))).select("memory_id", "vec").persist(StorageLevel.MEMORY_AND_DISK)  # equal repeats stay
     asked = base.where(F.col("memory_id") % every == 0).dropDuplicates(["memory_id"])
     parts = max(1, -(-asked.count() // PASS_QUERIES))
@@ -228,11 +253,22 @@ def recall(vectors: DataFrame, found: DataFrame, k: int = 5, every: int = 50, di
         one = _brute(base, np.asarray(rows.column(0)), unpacked(rows.column(1), dimension), k, dimension)
         true = one if true is None else true.union(one)
     best = Window.partitionBy("memory_id").orderBy(F.desc("cosine"), "near")
-    true = true.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k)
+    return true.distinct().withColumn("nth", F.row_number().over(best)).where(F.col("nth") <= k).drop("nth")
+
+
+def missed(true: DataFrame, found: DataFrame) -> DataFrame:
+    """(queries, expected, missed, recall) of lists (memory_id, near) against true ones, of memories for which
+    nothing was found as well."""
     hit = true.join(found.select("memory_id", "near", F.lit(1).alias("hit")), ["memory_id", "near"], "left")
     return hit.agg(F.countDistinct("memory_id").alias("queries"), F.count(F.lit(1)).alias("expected"), F.sum(F.when(F.col("hit").isNull(), 1).otherwise(0)).alias("missed"), F.round(F.sum(F.coalesce("hit", F.lit(0))) / F.count(F.lit(1)), 4).alias("recall"))
 
 
+def recall(vectors: DataFrame, found: DataFrame, k: int = 5, every: int = 50, dimension: int = DIMENSION) -> DataFrame:
+    """(queries, expected, missed, recall) of lists made by nearest() with the same ``every``, against brute
+    force: each usable memory whose id is divisible by it counts, whether anything was found for it or not."""
+    return missed(true_lists(vectors, k, every, dimension), found)
+
+
 def _brute(base: DataFrame, qid: np.ndarray, q: np.ndarray, k: int, dimension: int) -> DataFrame:
     """(memory_id, near, cosine): the k best rows of each part of base for every query, equal ones by smaller id."""
     shared = base.sparkSession.sparkContext.broadcast((qid, q))

@@ -92,7 +92,7 @@ def brute_nearest(vectors, k):
 
 def test_nearest_against_brute_force(spark):
     v, _, usable, _ = fixture(spark)
-    near = neighbours.nearest(v, 5, asked=16, posted=16, rerank=10_000, dimension=D).collect()
+    near = neighbours.nearest(v, 5, asked=8, share=0.5, ordered=16, dimension=D).collect()
     got = {}
     for r in sorted(near, key=lambda r: (r.memory_id, r["rank"])):
         got.setdefault(r.memory_id, []).append(r.near)
@@ -117,7 +117,7 @@ def test_mutual_pairs_and_blocks(spark, monkeypatch):
 
 def test_some_queries_and_recall(spark):
     v, _, usable, _ = fixture(spark)
-    found = neighbours.nearest(v, 5, every=50, asked=16, posted=16, rerank=10_000, dimension=D)
+    found = neighbours.nearest(v, 5, every=50, asked=8, share=0.5, ordered=16, dimension=D)
     assert {r.memory_id for r in found.collect()} == {i for i in usable if i % 50 == 0}
     r = neighbours.recall(v, found, dimension=D).first()
     assert r.queries == len([i for i in usable if i % 50 == 0]) and r.recall >= 0.95

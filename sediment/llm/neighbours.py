@@ -24,7 +24,7 @@ from sediment.runtime import materialize
 #: Vectors per pivot, and the limits of their number (8 MB of pivots at most).
 PER_PIVOT, FEWEST, MOST = 180, 16, 16_384
 #: Pivots kept of each permutation, and inverted files a vector is posted in.
-ORDERED, POSTED = 8, 3
+ORDERED, POSTED = 16, 3
 #: Of each file the best by footrule are compared with the full vectors: so many, or this share of a longer file.
 RERANK, SHARE = 128, 0.25
 #: Bytes of vectors that are gathered at once to be compared.

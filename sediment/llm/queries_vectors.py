@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from sediment.llm.grouping import leaf_report, similar_groups
+from sediment.llm.grouping import group_recall, leaf_report, similar_groups
 from sediment.llm.neighbours import missed, mutual, nearest, true_lists
 from sediment.runtime import materialize
 from sediment.sources import tables
@@ -27,6 +27,12 @@ def p1_leaves(spark, d):
     return leaf_report(v, m)
 
 
+def p1_recall(spark, d):
+    """How many of the alike pairs of every memory whose id is divisible by 50 lie in one cluster of p1_found (pairs included)."""
+    v, m = tables(spark, d, "memory_vectors", "memories")
+    return group_recall(v, m)
+
+
 def p2_found(spark, d):
     (v,) = tables(spark, d, "memory_vectors")
     return mutual(nearest(v, floor=FLOOR), FLOOR)
@@ -52,7 +58,7 @@ def p2_recall(spark, d):
     return whole.union(close)
 
 
-QUERIES = {"p1_found": p1_found, "p1_leaves": p1_leaves, "p2_found": p2_found, "p2_nearest": p2_nearest, "p2_recall": p2_recall}
+QUERIES = {"p1_found": p1_found, "p1_leaves": p1_leaves, "p1_recall": p1_recall, "p2_found": p2_found, "p2_nearest": p2_nearest, "p2_recall": p2_recall}
 
 _UNIT = """
 WITH u AS (

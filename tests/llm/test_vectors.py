@@ -2,6 +2,7 @@
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from sediment.llm import grouping, neighbours
 from sediment.llm.vectors import packed, unit_rows, unpacked
@@ -62,18 +63,54 @@ def test_groups_equal_brute_force(spark):
     assert got == brute_groups(usable, cats, 0.72) and len(got) > 20
 
 
-def test_groups_over_many_leaves(spark, monkeypatch):
+def rows_of(v, m):
+    return grouping.categorized(v, m, D).select("memory_id", F.col("category").alias("grp"), F.lit(True).alias("own"), "vec").persist()
+
+
+def test_groups_over_many_leaves(spark):
     v, m, usable, cats = fixture(spark, 3, 20, 300)
-    monkeypatch.setattr(grouping, "LEAF_ROWS", 60)
-    base = grouping.categorized(v, m, D).persist()
+    base = rows_of(v, m)
     tree = grouping.fit_tree(base, D, leaf_rows=60)
-    assert sum(len(tree.leaves(r)) for r in tree.roots.values()) > 4
-    sizes = grouping._measure(base, tree)
-    assert sum(n for n, _ in sizes.values()) == base.count()
+    leaves = tree.all_leaves()
+    assert len(leaves) > 4 and sum(tree.sizes[i] for i in leaves) == base.count()
+    assert all(tree.sizes[i] <= 60 or (tree.spread[i] <= 0.15 and tree.sizes[i] <= 120) for i in leaves)
+    placed = grouping.placed(base, tree, 3)
+    own = placed.where("own").groupBy("memory_id").agg(F.collect_set("leaf").alias("l")).collect()
+    assert len(own) == base.count() and all(1 <= len(r.l) <= 2 for r in own)
+    want = {i for _, i in brute_groups(usable, cats, 0.72)}
+    members = {r.member for r in grouping.alike_components(placed, 0.72, D, 2000).collect()}
+    assert len(want & members) >= 0.99 * len(want)
+
+
+def test_leaves_too_large_for_a_task_become_trees(spark, monkeypatch):
+    v, m, usable, cats = fixture(spark, 5, 60, 900)
+    for name, value in (("MAX_LEAVES", 8), ("TASK_ROWS", 90), ("LEAF_ROWS", 30), ("SAMPLE_ROWS", 512)):
+        monkeypatch.setattr(grouping, name, value)
+    rows = grouping.in_leaves(rows_of(v, m), D, 1).cache()
+    assert any(r.leaf.count("/") > 1 for r in rows.select("leaf").distinct().collect())
+    assert rows.where("own").groupBy("leaf").count().agg(F.max("count")).first()[0] <= 270  # 90 by the tree, the others by the nearest centre
+    assert {r.memory_id for r in rows.where("own").collect()} >= {i for i in usable if i in cats}
     want = brute_groups(usable, cats, 0.72)
-    pairs = grouping.alike_components(base, tree, 0.72)
-    members = {r.member for r in pairs.collect()}
-    assert len({i for _, i in want} & members) >= 0.97 * len({i for _, i in want})
+    assert len(want & {tuple(r) for r in grouping.similar_groups(v, m, 0.72, 3, D).collect()}) >= 0.97 * len(want)
+    leaves = grouping.leaf_report(v, m, 0.8, 3, 1, D).collect()
+    assert sum(r.n for r in leaves) == len([i for i in usable if i in cats]) and all(r.cohesion >= 0.8 - 1e-6 for r in leaves)
+
+
+def test_any_number_of_categories(spark):
+    rng = np.random.default_rng(8)
+    vs = rng.normal(size=(20_000, 4))
+    v = spark.createDataFrame([(3 * i + k, [float(y) for y in x]) for i, x in enumerate(vs) for k in range(3)], "memory_id long, vector array<float>")
+    m = spark.createDataFrame([(3 * i + k, f"c{i}", None) for i in range(len(vs)) for k in range(3)], "id long, category string, updated_at timestamp")
+    got = grouping.similar_groups(v, m, dimension=4)
+    assert got.count() == 60_000 and got.where("first_id != memory_id - memory_id % 3").count() == 0
+
+
+def test_group_recall_counts_pairs(spark):
+    v, m, usable, cats = fixture(spark)
+    r = grouping.group_recall(v, m, 0.72, 1, D).first()
+    ids = [i for i in usable if i in cats]
+    pairs = sum(i != j and cats[i] == cats[j] and usable[i] @ usable[j] >= 0.72 for i in ids for j in ids)
+    assert (r.queries, r.expected) == (len(ids), pairs) and r.missed == 0 and r.recall == 1.0
 
 
 def test_leaves_are_compact_and_whole(spark):

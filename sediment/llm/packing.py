@@ -9,7 +9,7 @@ together with the leavings of other groups.
 
 from __future__ import annotations
 
-from bisect import bisect_left, insort
+from bisect import bisect_left, bisect_right, insort
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -21,6 +21,12 @@ from sediment.runtime import materialize
 GROUP_CONTAINERS = 128
 #: Fillings that the search of one group may look at.
 NODES = 2_000
+#: (fillings tried at each container, partial sets looked at for them): plain completion first, then with returns.
+SEARCHES = ((1, 60), (4, 200))
+#: Item sizes tried at a place of a filling before all of them are.
+NARROW = 4
+#: Capacities are a small table; more rows than this are refused, not cut.
+MOST_CAPACITIES = 1_000
 #: Containers filled less than this are packed again.
 WELL_FILLED = 0.98
 
@@ -55,126 +61,146 @@ def dominates(a: list[int], b: list[int]) -> bool:
     return True
 
 
-def fillings(sizes: list[int], order: list[int], room: int, most: int, first: bool) -> list[list[int]]:
-    """Undominated fillings of ``room`` from the items of ``order`` (largest first), fullest first: maximal
-    sets, to which no further item fits. ``most`` limits the sets looked at; with first the search ends at
-    one that leaves no room."""
+def _grow(sizes: list[int], order: list[int], neg: list[int], room: int, most: int, wide: int, full: bool) -> tuple[list[tuple[int, list[int]]], int, bool]:
+    """(maximal sets with the room they leave, partial sets seen, whether all sets were seen)."""
     found: list[tuple[int, list[int]]] = []
-    neg = [-sizes[i] for i in order]
-    seen = 0
-
-    def grow(at: int, left: int, taken: list[int]) -> bool:
-        nonlocal seen
+    seen, whole = 0, True
+    stack: list[tuple[int, int, list[int]]] = [(0, room, [])]
+    while stack:
+        at, left, taken = stack.pop()
+        if seen == most:
+            return found, seen, False
         seen += 1
-        if seen > most:
-            return True
-        start = max(at, bisect_left(neg, -left))
-        if start >= len(order):
+        p = max(at, bisect_left(neg, -left))
+        if p >= len(order):
             found.append((left, taken))
-            return first and left == 0
-        last, tried = None, 0
-        for p in range(start, len(order)):
-            s = sizes[order[p]]
-            if s == last:
-                continue  # equal items give equal fillings
-            last = s
-            if grow(p + 1, left - s, [*taken, order[p]]):
-                return True
-            tried += 1
-            if tried == 4:
-                break
-        return False
-
-    grow(0, room, [])
+            if full and not left:
+                return found, seen, False
+            continue
+        options = []
+        while p < len(order) and len(options) < wide:
+            options.append(p)
+            p = bisect_right(neg, neg[p], p)  # equal items give equal fillings
+        whole &= p >= len(order)
+        stack += [(q + 1, left - sizes[order[q]], [*taken, order[q]]) for q in reversed(options)]
+    return found, seen, whole
+
+
+def fillings(sizes: list[int], order: list[int], room: int, most: int, keep: int) -> tuple[list[list[int]], bool]:
+    """(sets, all): the ``keep`` fullest undominated fillings of ``room`` from the items of ``order`` (largest first),
+    maximal sets, to which no further item fits. At most about ``most`` partial sets are looked at, first those that
+    take one of the NARROW largest sizes at each place, then any; ``all`` tells whether no filling was left out.
+    For a single filling the search ends at one that leaves no room."""
+    neg = [-sizes[i] for i in order]
+    found, seen, whole = _grow(sizes, order, neg, room, most, NARROW, keep == 1)
+    if not whole and seen < most and not (keep == 1 and any(not left for left, _ in found)):
+        found, _, whole = _grow(sizes, order, neg, room, most, len(order), keep == 1)
     found.sort(key=lambda x: (x[0], len(x[1])))
     out: list[list[int]] = []
-    for _, taken in found[:40]:
+    for at, (_, taken) in enumerate(found):
+        if len(out) == keep:
+            return out, False
         mine = [sizes[i] for i in taken]
         if not any(dominates([sizes[i] for i in o], mine) for o in out):
             out.append(taken)
-    return out
+    return out, whole
 
 
-def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> list[list[int]]:
-    """Containers as lists of item indices, every item in exactly one, none above capacity. All sizes must
-    lie between 1 and capacity. Stops at the lower bound or after ``nodes`` fillings; the incumbent found by
-    then is never worse than best fit."""
+def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
+    """(containers, proved): containers as lists of item indices, every item in exactly one, none above capacity;
+    proved if no packing has fewer. All sizes must lie between 1 and capacity.
+
+    Depth first over the fillings around the largest item left, so the last containers vary first; a branch ends
+    where its waste shows that it cannot beat the best packing known. Stops at the lower bound or after ``nodes``
+    fillings; what is found by then is never worse than best fit."""
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
     bound = -(-total // capacity)
-    budget = [nodes]
-    order = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
-
-    def search(left: list[int], bins: list[list[int]], waste: int, width: int) -> None:
-        """Depth first with up to ``width`` fillings at each container, so the last containers vary first."""
-        nonlocal incumbent
-        if not left:
-            if len(bins) < len(incumbent):
-                incumbent = bins
-            return
-        head, rest = left[0], left[1:]
-        for taken in fillings(sizes, rest, capacity - sizes[head], 60 if width == 1 else 200, width == 1)[:width]:
-            # the waste that a packing may have that beats the incumbent
-            allowed = capacity * (len(incumbent) - 1) - total
-            lost = capacity - sizes[head] - sum(sizes[i] for i in taken)
-            if waste + lost > allowed or len(incumbent) <= bound or budget[0] <= 0:
-                return  # fullest first: the others lose more
-            budget[0] -= 1
-            drop = set(taken)
-            search([i for i in rest if i not in drop], [*bins, [head, *taken]], waste + lost, width)
-
-    # each container is one level of recursion; beyond that depth best fit stands
-    for width in (1, 4) if len(incumbent) < 800 else ():
-        if len(incumbent) <= bound:
+    budget, proved = nodes, False
+    first = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
+    for width, most in SEARCHES:
+        if len(incumbent) <= bound or proved:
             break
-        search(order, [], 0, width)
-    return incumbent
+        proved = True  # until something is left out
+        frames: list[tuple[list[int], list[list[int]], int, list[list[int]]]] = []
+        step: tuple[list[int], list[list[int]], int] | None = (first, [], 0)
+        while step or frames:
+            if step:
+                left, bins, waste = step
+                options, whole = fillings(sizes, left[1:], capacity - sizes[left[0]], most, width)
+                proved &= whole
+                frames.append((left, bins, waste, options[::-1]))
+                step = None
+            left, bins, waste, options = frames[-1]
+            if not options:
+                frames.pop()
+                continue
+            taken = options.pop()
+            lost = capacity - sizes[left[0]] - sum(sizes[i] for i in taken)
+            if waste + lost > capacity * (len(incumbent) - 1) - total:
+                frames.pop()  # fullest first: the others lose more
+                continue
+            if budget <= 0 or len(incumbent) <= bound:
+                proved = False
+                break
+            budget -= 1
+            drop = {left[0], *taken}
+            rest, filled = [i for i in left if i not in drop], [*bins, [left[0], *taken]]
+            if rest:
+                step = (rest, filled, waste + lost)
+            elif len(filled) < len(incumbent):
+                incumbent = filled
+    return incumbent, proved or len(incumbent) <= bound
 
 
 def _pack_groups(items: DataFrame, nodes: int) -> DataFrame:
-    """items (block_name, capacity, grp, doc_id, part, first_token, size) with the container ``box`` in grp and its filling."""
+    """items (block_name, capacity, grp, doc_id, part, first_token, size) with the container ``box`` in grp, its filling
+    and whether no packing of the group has fewer containers."""
 
     def run(t: pa.Table) -> pa.Table:
         t = t.sort_by([("doc_id", "ascending"), ("part", "ascending")])
         sizes, capacity = t.column("size").to_pylist(), t.column("capacity")[0].as_py()
         box, full = [0] * len(sizes), [0] * len(sizes)
-        for b, members in enumerate(complete(sizes, capacity, nodes)):
+        boxes, proved = complete(sizes, capacity, nodes)
+        for b, members in enumerate(boxes):
             total = sum(sizes[i] for i in members)
             for i in members:
                 box[i], full[i] = b, total
-        return t.append_column("box", pa.array(box, pa.int64())).append_column("filled", pa.array(full, pa.int64()))
+        return t.append_column("box", pa.array(box, pa.int64())).append_column("filled", pa.array(full, pa.int64())).append_column("proved", pa.array([proved] * len(sizes), pa.bool_()))
 
-    schema = "block_name string, capacity long, grp string, doc_id long, part long, first_token long, size long, box long, filled long"
+    schema = "block_name string, capacity long, grp string, doc_id long, part long, first_token long, size long, box long, filled long, proved boolean"
     return items.select("block_name", "capacity", "grp", "doc_id", "part", "first_token", "size").groupBy("block_name", "grp").applyInArrow(run, schema)
 
 
 def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers: int = GROUP_CONTAINERS, nodes: int = NODES, rounds: int = 3) -> DataFrame:
-    """(block_name, container, doc_id, part, first_token, size): every document laid into containers of
-    each capacity.
+    """(block_name, container, doc_id, part, first_token, size, proved): every document laid into containers of
+    each capacity; proved tells whether the items its container was packed with have no packing in fewer containers.
 
     sizes is (doc_id, tokens); of repeated doc_ids the largest counts, documents without token take no
     room and have no row. capacities is the small table (name, token_limit), whose null and non-positive
     limits are left out. A document is split only if it is larger than the capacity: into full containers
     and one rest, which is packed like any other item. first_token is the part's place in the document."""
     spark = sizes.sparkSession
-    caps = [(r[0], int(r[1])) for r in capacities.where("name is not null and token_limit > 0").groupBy("name").agg(F.max("token_limit")).orderBy("name").limit(1000).collect()]
+    caps = [(r[0], int(r[1])) for r in capacities.where("name is not null and token_limit > 0").groupBy("name").agg(F.max("token_limit")).orderBy("name").limit(MOST_CAPACITIES + 1).collect()]
+    if len(caps) > MOST_CAPACITIES:
+        raise ValueError(f"more than {MOST_CAPACITIES} capacities")
     docs = materialize(sizes.where("doc_id is not null and tokens > 0").groupBy("doc_id").agg(F.max("tokens").alias("tokens")))
     total = docs.agg(F.sum("tokens")).first()[0] or 0
-    out = "block_name string, container string, doc_id long, part long, first_token long, size long"
+    out = "block_name string, container string, doc_id long, part long, first_token long, size long, proved boolean"
     if not caps or not total:
         return spark.createDataFrame([], out)
     limits = F.broadcast(spark.createDataFrame([(n, c, max(1, round(total / (c * group_containers)))) for n, c in caps], "block_name string, capacity long, groups long"))
     pieces = docs.join(limits).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / F.col("capacity")) - 1)))
     first = F.col("part") * F.col("capacity")
     pieces = pieces.select("block_name", "capacity", "groups", "doc_id", "part", first.alias("first_token"), F.least("capacity", F.col("tokens") - first).alias("size"))
-    whole = pieces.where("size = capacity").select("block_name", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), "doc_id", "part", "first_token", "size")
+    whole = pieces.where("size = capacity").select("block_name", F.concat_ws("-", F.lit("w"), "doc_id", "part").alias("container"), "doc_id", "part", "first_token", "size", F.lit(True).alias("proved"))
     todo = pieces.where("size < capacity").withColumn("grp", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc_id", "part"), F.col("groups"))))
     done = whole
     for r in range(rounds):
         packed = materialize(_pack_groups(todo, nodes))
         last = r == rounds - 1
         good = packed if last else packed.where(F.col("filled") >= WELL_FILLED * F.col("capacity"))
-        done = done.unionByName(good.select("block_name", F.concat_ws("-", "grp", "box").alias("container"), "doc_id", "part", "first_token", "size"))
+        done = done.unionByName(good.select("block_name", F.concat_ws("-", "grp", "box").alias("container"), "doc_id", "part", "first_token", "size", "proved"))
         if last:
             break
         rest = packed.where(F.col("filled") < WELL_FILLED * F.col("capacity"))
@@ -182,13 +208,17 @@ def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers:
         if not left:
             break
         again = F.broadcast(spark.createDataFrame([(n, max(1, round(left.get(n, 0) / (c * group_containers)))) for n, c in caps], "block_name string, groups long"))
-        todo = rest.drop("grp", "box", "filled").join(again, "block_name").withColumn("grp", F.concat(F.lit(f"{r + 1}-"), F.pmod(F.xxhash64("part", "doc_id"), F.col("groups"))))
+        todo = rest.drop("grp", "box", "filled", "proved").join(again, "block_name").withColumn("grp", F.concat(F.lit(f"{r + 1}-"), F.pmod(F.xxhash64("part", "doc_id"), F.col("groups"))))
     return done
 
 
 def packing_report(packed: DataFrame, capacities: DataFrame) -> DataFrame:
-    """(block_name, containers, items, tokens, unused): unused is the share of room left over."""
-    caps = F.broadcast(capacities.where("token_limit > 0").groupBy(F.col("name").alias("block_name")).agg(F.max("token_limit").alias("capacity")).limit(1000))
-    per = packed.groupBy("block_name", "container").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("tokens"))
-    total = per.groupBy("block_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"))
-    return total.join(caps, "block_name").select("block_name", "containers", "items", "tokens", F.round(1 - F.col("tokens") / (F.col("containers") * F.col("capacity")), 6).alias("unused"))
+    """(block_name, containers, least, proved, items, tokens, unused): least is a bound below which no packing can go,
+    proved the share of containers of groups packed with as few as possible, unused the share of room left over."""
+    caps = F.broadcast(capacities.where("name is not null and token_limit > 0").groupBy(F.col("name").alias("block_name")).agg(F.max("token_limit").alias("capacity")))  # MOST_CAPACITIES at most
+    per = packed.groupBy("block_name", "container").agg(F.count(F.lit(1)).alias("items"), F.sum("size").alias("tokens"), F.min("proved").alias("proved"))
+    total = per.groupBy("block_name").agg(F.count(F.lit(1)).alias("containers"), F.sum("items").alias("items"), F.sum("tokens").alias("tokens"), F.avg(F.col("proved").cast("int")).alias("proved"))
+    room = F.col("containers") * F.col("capacity")
+    return total.join(caps, "block_name").select(
+        "block_name", "containers", F.ceil(F.col("tokens") / F.col("capacity")).alias("least"), F.round("proved", 6).alias("proved"), "items", "tokens", F.round(1 - F.col("tokens") / room, 6).alias("unused")
+    )

@@ -54,6 +54,7 @@ def p7_report(spark, d):
 
 
 def _mix(spark, d):
+    """Texts are counted once: mixed() keeps the sizes in a table."""
     docs, targets = tables(spark, d, "documents", "mix_targets")
     sized = counted(docs.where("trim(text) != ''").select("doc_id", "source", "text")).select("doc_id", "source", "tokens", F.sha2("text", 256).alias("key"))
     return mixed(sized, targets)

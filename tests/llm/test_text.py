@@ -5,6 +5,7 @@ from datetime import datetime, timedelta
 
 import pytest
 from oracle import duck, spark_rows
+from pyspark.sql import functions as F
 
 from sediment.llm import conversations as C
 from sediment.llm import mixing, packing, pii, truncation
@@ -119,7 +120,7 @@ def test_containers(seed):
     rng = random.Random(seed)
     capacity = rng.choice([10, 50, 97])
     sizes = [rng.randint(1, capacity) for _ in range(rng.choice([0, 1, 40, 120]))]
-    bins = packing.complete(sizes, capacity)
+    bins, _ = packing.complete(sizes, capacity)
     assert sorted(i for b in bins for i in b) == list(range(len(sizes)))
     assert all(sum(sizes[i] for i in b) <= capacity for b in bins)
     assert -(-sum(sizes) // capacity) <= len(bins) <= len(packing.best_fit(sizes, capacity))
@@ -127,7 +128,43 @@ def test_containers(seed):
 
 def test_completion_beats_best_fit():
     sizes, capacity = [6, 6, 5, 5, 5, 4, 4, 4, 3, 3, 3, 2] * 4, 10
-    assert len(packing.complete(sizes, capacity)) == -(-sum(sizes) // capacity)
+    assert len(packing.complete(sizes, capacity)[0]) == -(-sum(sizes) // capacity)
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_proved_packings_are_the_best(seed):
+    rng = random.Random(seed)
+    capacity, sizes = 20, [rng.randint(3, 14) for _ in range(9)]
+
+    def fewest(left, bins):
+        if not left:
+            return len(bins)
+        out, seen = len(left) + len(bins), set()
+        for k, room in enumerate(bins):
+            if left[0] <= room and room not in seen:
+                seen.add(room)
+                out = min(out, fewest(left[1:], [*bins[:k], room - left[0], *bins[k + 1 :]]))
+        return min(out, fewest(left[1:], [*bins, capacity - left[0]]))
+
+    bins, proved = packing.complete(sizes, capacity)
+    assert proved and len(bins) == fewest(sorted(sizes, reverse=True), [])
+
+
+def test_many_containers_are_searched_without_recursion():
+    rng = random.Random(1)
+    sizes = [rng.randint(26, 70) for _ in range(2500)]
+    bins, _ = packing.complete(sizes, 100, nodes=3000)
+    assert len(bins) > 900 and sorted(i for b in bins for i in b) == list(range(2500)) and len(bins) <= len(packing.best_fit(sizes, 100))
+
+
+def test_too_many_capacities_or_targets_are_refused(spark, monkeypatch):
+    monkeypatch.setattr(packing, "MOST_CAPACITIES", 1)
+    monkeypatch.setattr(mixing, "MOST_TARGETS", 1)
+    sizes = spark.createDataFrame([(1, 5)], "doc_id long, tokens long")
+    with pytest.raises(ValueError):
+        packing.packed_documents(sizes, spark.createDataFrame([("a", 9), ("b", 10)], "name string, token_limit int"))
+    with pytest.raises(ValueError):
+        mixing.wanted(spark.createDataFrame([("a", 0.5, 1), ("b", 0.5, 1)], "source string, target_share double, max_repeats int"))
 
 
 def test_packing_is_a_round_trip(spark):
@@ -177,6 +214,38 @@ def test_mix_reaches_its_shares(spark):
     assert {r.source: r.tokens for r in capped}["b"] == pytest.approx(3 * got["b"].available, rel=0.01)
 
 
+def test_a_text_whose_first_copy_has_no_target_is_used(spark):
+    df = spark.createDataFrame([(1, "nope", 5, "k1"), (2, "a", 5, "k1"), (3, "a", 5, "k2")], "doc_id long, source string, tokens long, key string")
+    mix, _ = mixing.mixed(df, spark.createDataFrame([("a", 1.0, 2)], "source string, target_share double, max_repeats int"))
+    assert sorted((r.doc_id, r["copy"]) for r in mix.collect()) == [(2, 1), (2, 2), (3, 1), (3, 2)]
+
+
+@pytest.mark.parametrize("seed", [0, 7])
+def test_mix_equals_plain_systematic_sampling(spark, seed):
+    rng = random.Random(9)
+    docs = [(i, rng.choice(["a", "B ", "c", "x"]), rng.randint(1, 40), f"k{rng.randint(0, 500)}") for i in range(700)]
+    df = spark.createDataFrame(docs, "doc_id long, source string, tokens long, key string").repartition(4)
+    targets = [("a", 0.5, 2), ("b", 0.25, 3), ("c", 0.25, 4), ("none", 0.1, 2)]
+    mix, _ = mixing.mixed(df, spark.createDataFrame(targets, "source string, target_share double, max_repeats int"), seed=seed)
+    first = {}
+    for i, s, n, k in sorted(docs):
+        if s.strip().lower() in "abc":
+            first.setdefault(k, (i, s.strip().lower(), n))
+    have = {}
+    for _, s, n in first.values():
+        have[s] = have.get(s, 0) + n
+    rows = mixing.plan([{"source": s, "target_share": w, "max_repeats": m} for s, w, m in targets], have, None, seed)
+    turn = {r.doc_id: r.t for r in df.select("doc_id", F.xxhash64("doc_id", F.lit(seed)).alias("t")).collect()}
+    want = []
+    for r in rows:
+        texts = sorted((n, turn[i], i) for i, s, n in first.values() if s == r["source"])
+        for k, (_, _, i) in enumerate(texts):
+            times = int((k + 1) * r["copies"] + r["offset"]) - int(k * r["copies"] + r["offset"])
+            want += [(i, c + 1) for c in range(min(times, r["max_repeats"]))]
+    assert sorted((r.doc_id, r["copy"]) for r in mix.collect()) == sorted(want)
+    assert len({r["offset"] for r in rows}) == 4
+
+
 def test_mix_of_nothing(spark):
     df = spark.createDataFrame([], "doc_id long, source string, tokens long, key string")
     mix, report = mixing.mixed(df, spark.createDataFrame(TARGETS, "source string, target_share double, max_repeats int"))

@@ -8,8 +8,10 @@ from __future__ import annotations
 
 import re
 import unicodedata
-from collections.abc import Callable, Iterable
+from bisect import bisect_left
+from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
+from functools import lru_cache
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -21,6 +23,8 @@ PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[ID]", "addr
 ASKED = ("email", "phone", "identity", "address", "name")
 #: Gazetteers with more names than this are refused: they are sent to every task.
 MAX_NAMES = 200_000
+#: A task remembers so many texts of at most that length (some 30 MB) and what became of them.
+REMEMBERED, SHORT = 50_000, 300
 
 
 def digits(s: str) -> str:
@@ -62,16 +66,17 @@ class Rule:
 
 I = re.IGNORECASE
 _NEAR = {
-    "phone": re.compile(r"\b(?:call|phone|tel|telp|telepon|ring|dial|number|nomor|hubungi|kontak|contact|lewat|pager|sms|whatsapp|fax|mobile|hp)\b", I),
-    "identity": re.compile(r"\b(?:ssn|social security|identity|identitas|passport|paspor|nik|ktp|national id|tax id|sin|bsn|doc|form|formulir|applicant|pemohon|verify|badge|licen[cs]e|id)\b", I),
-    "address": re.compile(r"\b(?:address|addr|alamat|ship|send|moved|rumah|parcel|office|kantor|lives?|invoice|tinggal|deliver|printed report)\b", I),
+    "phone": re.compile(r"\b(?:call(?:ed|s)?|phone|tel|telp|telepon|ring|dial|number|nomor|hubungi|kontak|contact|reach|via|lewat|pager|sms|text|whatsapp|fax|mobile|cell|hp)\b", I),
+    "identity": re.compile(r"\b(?:ssn|social security|identity|identitas|passport|paspor|nik|ktp|national id|tax id|sin|bsn|doc|document|dokumen|form|formulir|applicant|pemohon|verify|verified|verifikasi|badge|licen[cs]e|id)\b", I),
+    "address": re.compile(r"\b(?:address|addr|alamat|ship(?:ped)?|sen[dt]|mail(?:ed)?|post(?:ed)?|kirim|moved|pindah|rumah|parcel|paket|office|kantor|lives?|invoice|tinggal|deliver(?:ed)?|visit|report)\b", I),
     "card": re.compile(r"\b(?:card|visa|mastercard|kartu|credit|debit)\b", I),
     "bank": re.compile(r"\b(?:iban|account|rekening|bank)\b", I),
 }
 #: Machine numbers: one of these words directly before, or a unit directly after, a number.
 _MACHINE_BEFORE = re.compile(
     r"(?:\b(?:timeouts?|versions?|v|follows|builds?|seq|sequence|shards?|spans?|traces?|checksums?|commits?|runs?|ports?|releases?|rows?|columns?|dated|slots?|hash|step|offset|serial|tile|layer|item|exit|rows=|size=)(?: (?:set to|no\.?|number|is|was|of))?|@|0x|/)[ #:=]*$", I)
-_MACHINE_AFTER = re.compile(r"^ ?(?:ticks?|hops?|rows|bytes|ms|milliseconds|seconds|files|matched)\b", I)
+#: Units and counted things: a number before them counts something.
+_MACHINE_AFTER = re.compile(r"^ ?(?:(?-i:[num]?s)|(?:milli|micro|nano)?seconds?|minutes?|hours?|days?|ticks?|hops?|cycles?|steps?|times?|rows?|lines?|columns?|items?|records?|files?|bytes?|[kmgt]i?b|tokens?|requests?|errors?|matched)\b", I)
 
 _SEP = r"[ .\-\u2010\u2011\u2012\u2013]"
 _WORDS = "zero|oh|one|two|three|four|five|six|seven|eight|nine|nol|satu|dua|tiga|empat|lima|enam|tujuh|delapan|sembilan"
@@ -114,46 +119,94 @@ RULES = [
 ]
 
 SPOKEN = next(r for r in RULES if "zero|oh" in r.pattern.pattern)
+RULES_BY_KIND = {k: [r for r in RULES if r.kind == k] for k in PLACEHOLDER}
+NUMBER_RULES = [r for r in RULES if r.kind in ("phone", "identity", "payment_card", "bank_account") and r is not SPOKEN]
 
 # Forms of address before a name, in English and Indonesian.
 TITLES = ["Mr", "Mrs", "Ms", "Miss", "Dr", "Prof", "Pak", "Bapak", "Bu", "Ibu", "Mbak", "Mas", "Sdr", "Sdri", "Tuan", "Nyonya"]
-# Wordings that only a person's name follows.
-INTRODUCTIONS = ["spoke with", "according to", "lunch with", "author:", "name:", "nama:", "signer=", "signed by", "kontak", "surat untuk", "data pemohon:", "opened by", "contact is", "it's", "my name is", "nama saya", "the reviewer", "greets", "reach", "attn:", "cc:"]
+# Wordings after which two capitalized words are a person: verbs of meeting and speaking, authorship and
+# letters, keys of records, English and Indonesian.
+INTRODUCTIONS = [
+    "spoke with", "spoke to", "talked to", "talked with", "met with", "lunch with", "according to", "bertemu", "menurut", "greets", "reach", "kontak", "contact is",
+    "opened by", "signed by", "written by", "reviewed by", "approved by", "ditulis oleh", "disetujui oleh", "the reviewer", "letter to", "letter for", "surat untuk", "surat kepada",
+    "it's", "my name is", "nama saya",
+    "name:", "nama:", "author:", "penulis:", "signer:", "applicant:", "data pemohon:", "pemohon:", "attn:", "cc:", "name=", "author=", "signer=", "applicant=", "pemohon=",
+]
 
 
 def fold(s: str) -> str:
     return "".join(c for c in unicodedata.normalize("NFKD", s) if not unicodedata.combining(c))
 
 
-def name_rules(people: Iterable[str]) -> list[Rule]:
-    """Rules for the given full names: every first word counts as a given, every last one as a family
-    name, in any combination; names not listed are found by a title or an introduction before them."""
-    given, family = set(), set()
-    for p in people:
-        words = p.split()
-        if len(words) > 1:
-            given |= {words[0], fold(words[0])}
-            family |= {words[-1], fold(words[-1])}
-    if len(given) + len(family) > MAX_NAMES:
-        raise ValueError(f"more than {MAX_NAMES} names")
-    alt = lambda xs: "(?:" + "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x))) + ")"
-    title = alt(TITLES) + r"\.?"
-    cap = r"[A-Z\u00c0-\u00de][\w\u00c0-\u024f'\u2019-]+"
-    word, end = r"(?<![\w@.-])", r"(?![\w@]|-\w|\.\w)"
-    rules = [
-        Rule("name", re.compile(rf"{word}(?:{title} ){cap}(?: (?:[A-Z]\. )?{cap})?{end}"), 0.6),
-        Rule("name", re.compile(rf"(?i:\b(?:{'|'.join(map(re.escape, INTRODUCTIONS))})) ?((?:[A-Z]\. |{cap} )(?:[A-Z]\. )?{cap}){end}"), 0.6, group=1),
-    ]
-    if given:
-        g, s = alt(given), alt(family)
-        rules += [
-            Rule("name", re.compile(rf"{word}(?:{title} )?{g} (?:[A-Z]\. ){{0,2}}{s}{end}", I), 0.95),
-            Rule("name", re.compile(rf"{word}{s}, {g}{end}", I), 0.95),
-            Rule("name", re.compile(rf"{word}(?:[A-Z]\. ){{1,2}}{s}{end}", I), 0.9),
-            Rule("name", re.compile(rf"{word}{title} (?:{g}|{s}){end}", I), 0.9),
-            Rule("name", re.compile(rf"(?i:\b(?:{'|'.join(map(re.escape, INTRODUCTIONS))})) ?((?i:{g}|{s})){end}"), 0.55, group=1),
-        ]
-    return rules
+def words(low: str) -> set[str]:
+    return set(_LETTERS.findall(low))
+
+
+def _any_of(xs: Iterable[str]) -> str:
+    return "(?:" + "|".join(re.escape(x) for x in sorted(xs, key=lambda x: (-len(x), x))) + ")"
+
+
+_LETTERS, _DIGIT = re.compile(r"[^\W\d_]+"), re.compile(r"\d")
+_AT_WORD = re.compile(r"[\[({]\s?at\s?[\])}]")
+_TITLE, _TITLE_WORDS = _any_of(TITLES) + r"\.?", {t.lower() for t in TITLES}
+_INTRODUCED = rf"(?i:\b{_any_of(INTRODUCTIONS)})"
+_CAP = r"[A-Z\u00c0-\u00de][\w\u00c0-\u024f'\u2019-]+"
+_WORD, _END = r"(?<![\w@.-])", r"(?![\w@]|-\w|\.\w)"
+TITLED = Rule("name", re.compile(rf"{_WORD}(?:{_TITLE} ){_CAP}(?: (?:[A-Z]\. )?{_CAP})?{_END}"), 0.6)
+INTRODUCED = Rule("name", re.compile(rf"{_INTRODUCED} ?((?:[A-Z]\. |{_CAP} )(?:[A-Z]\. )?{_CAP}){_END}"), 0.6, group=1)
+#: One of these words stands in every street address, and in every number that is spelled out.
+_STREET_WORDS = {"street", "str", "st", "road", "rd", "avenue", "ave", "boulevard", "blvd", "lane", "ln", "row", "close", "drive", "dr", "court", "ct", "way", "terrace", "place", "square", "crescent",
+                 "gardens", "hill", "mews", "jl", "jln", "jalan", "gang", "gg"}
+_NUMBER_WORDS = set(_WORDS.split("|"))
+
+
+class Names:
+    """Rules for the given full names: every first word counts as a given, every last one as a family name, in any
+    combination; names not listed are found by a title or an introduction before them. A text is only searched
+    for the names whose words occur in it, so the number of names hardly matters for its cost."""
+
+    def __init__(self, people: Iterable[str]):
+        given, family = set(), set()
+        for p in people:
+            words = p.split()
+            if len(words) > 1:
+                given |= {words[0].lower(), fold(words[0]).lower()}
+                family |= {words[-1].lower(), fold(words[-1]).lower()}
+        if len(given) + len(family) > MAX_NAMES:
+            raise ValueError(f"more than {MAX_NAMES} names")
+        self.given, self.family = self._by_word(given), self._by_word(family)
+        self.listed = lru_cache(maxsize=4_096)(self._listed)
+
+    @staticmethod
+    def _by_word(names: set[str]) -> dict[str, list[str]]:
+        """Names by the first word in them, as words() cuts them."""
+        out: dict[str, list[str]] = {}
+        for n in names:
+            for w in sorted(words(n))[:1]:
+                out.setdefault(w, []).append(n)
+        return out
+
+    @staticmethod
+    def _listed(given: tuple[str, ...], family: tuple[str, ...]) -> list[Rule]:
+        g, s = _any_of(given), _any_of(family)
+        initials = r"(?:[A-Z]\. )"
+        both = [Rule("name", re.compile(rf"{_WORD}(?:{_TITLE} )?{g} {initials}{{0,2}}{s}{_END}", I), 0.95), Rule("name", re.compile(rf"{_WORD}{s}, {g}{_END}", I), 0.95)] if given and family else []
+        short = [Rule("name", re.compile(rf"{_WORD}{initials}{{1,2}}{s}{_END}", I), 0.9)] if family else []
+        one = _any_of((*given, *family))
+        return both + short + [Rule("name", re.compile(rf"{_WORD}{_TITLE} {one}{_END}", I), 0.9), Rule("name", re.compile(rf"{_INTRODUCED} ?((?i:{one})){_END}"), 0.55, group=1)]
+
+    def rules(self, low: str, seen: set[str]) -> list[Rule]:
+        """Rules worth trying on a text in lower case with these words."""
+        out = []
+        if not seen.isdisjoint(_TITLE_WORDS):
+            out.append(TITLED)
+        if any(i in low for i in INTRODUCTIONS):
+            out.append(INTRODUCED)
+        found = [tuple(sorted(n for w in seen & known.keys() for n in known[w] if n in low)) for known in (self.given, self.family)]
+        return out + (self.listed(*found) if any(found) else [])
+
+
+name_rules = Names
 
 
 def score(rule: Rule, text: str, a: int, b: int) -> float:
@@ -171,37 +224,46 @@ def score(rule: Rule, text: str, a: int, b: int) -> float:
     return got
 
 
-def spans(text: str, names: list[Rule], threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
+def _worth_trying(text: str, names: Names) -> list[Rule]:
+    """Rules that can match the text, told by the signs and words they need."""
+    low = text.lower()
+    seen = words(low)
+    n_digits = len(_DIGIT.findall(text))
+    out = []
+    if "@" in text or "\uff20" in text or ("at" in low and _AT_WORD.search(low)):
+        out += RULES_BY_KIND["email"]
+    if n_digits >= 6:
+        out += NUMBER_RULES
+    if not seen.isdisjoint(_NUMBER_WORDS):
+        out.append(SPOKEN)
+    if n_digits and not seen.isdisjoint(_STREET_WORDS):
+        out += RULES_BY_KIND["address"]
+    return out + names.rules(low, seen)
+
+
+def spans(text: str, names: Names, threshold: float = THRESHOLD) -> list[tuple[int, int, str]]:
     """Non-overlapping (start, end, kind) in order; of overlapping spans the higher score wins, then the
     longer, then the earlier one. Names inside e-mail addresses lose against the address."""
     proposed = []
-    n_digits = sum(map(text.count, "0123456789"))
-    for rule in RULES:
-        if rule.kind == "email":
-            if "@" not in text and "\uff20" not in text and "at" not in text:
-                continue
-        elif n_digits < (1 if rule.kind == "address" else 6) and rule is not SPOKEN:
-            continue
+    for rule in _worth_trying(text, names):
         for m in rule.pattern.finditer(text):
             s = score(rule, text, *m.span(rule.group))
             if s >= threshold:
                 proposed.append((-s - (rule.kind == "email"), m.start(rule.group) - m.end(rule.group), m.start(rule.group), m.end(rule.group), rule.kind))
-    for rule in names:
-        for m in rule.pattern.finditer(text):
-            s = score(rule, text, *m.span(rule.group))
-            if s >= threshold:
-                proposed.append((-s, m.start(rule.group) - m.end(rule.group), m.start(rule.group), m.end(rule.group), rule.kind))
     if not proposed:
         return []
     proposed.sort()
     kept: list[tuple[int, int, str]] = []
+    ends: list[int] = []  # of the spans kept, in order of place
     for _, _, a, b, kind in proposed:
-        if all(b <= x or a >= y for x, y, _ in kept):
-            kept.append((a, b, kind))
-    return sorted(kept)
+        at = bisect_left(ends, a + 1)
+        if at == len(kept) or kept[at][0] >= b:
+            kept.insert(at, (a, b, kind))
+            ends.insert(at, b)
+    return kept
 
 
-def redact(text: str | None, names: list[Rule]) -> tuple[str | None, list[str]]:
+def redact(text: str | None, names: Names) -> tuple[str | None, list[str]]:
     """The text with placeholders and the sorted distinct kinds found. Null stays null."""
     if not text:
         return text, []
@@ -229,9 +291,22 @@ def redacted(df: DataFrame, text: str, people: list[str]) -> DataFrame:
     Null and empty texts come out unchanged with no kinds; texts of any length are processed whole."""
 
     @F.pandas_udf("clean string, kinds array<string>")
-    def run(batch: pd.Series) -> pd.DataFrame:
-        names = name_rules(people)
-        out = [redact(t, names) for t in batch]
-        return pd.DataFrame({"clean": [x[0] for x in out], "kinds": [x[1] for x in out]})
+    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        names = Names(people)
+        known: dict[str, tuple[str | None, list[str]]] = {}  # short texts met before
+
+        def one(t: str | None) -> tuple[str | None, list[str]]:
+            if t is None or len(t) > SHORT:
+                return redact(t, names)
+            got = known.get(t)
+            if got is None:
+                if len(known) >= REMEMBERED:
+                    known.clear()
+                got = known[t] = redact(t, names)
+            return got
+
+        for batch in batches:
+            out = [one(t) for t in batch]
+            yield pd.DataFrame({"clean": [x[0] for x in out], "kinds": [x[1] for x in out]})
 
     return df.withColumn("pii", run(F.col(text)))

@@ -76,7 +76,8 @@ CASES = [
     ("SSN 912 34 5678.", "[ID]."), ("verify 912-34-5678 first", "verify [ID] first"), ("paspor ZZ 290 0295", "[ID]"), ("NIK 0051490283231332", "[ID]"), ("QQ 72 86 29 D", "[ID]"),
     ("at Flat 6A, 50 Cooper's Rd., Marrowfield today", "at [ADDRESS] today"), ("Jl. Kenanga 190, RT 02/RW 03.", "[ADDRESS]."), ("9 old mill lane, apt 4", "[ADDRESS]"),
     ("As Ada Lovering put it", "As [NAME] put it"), ("LOVERING, ADA", "[NAME]"), ("Z. Grunberg and Bu Ada", "[NAME] and [NAME]"), ("Mr Unknownsson said", "[NAME] said"),
-    ("IBAN GB82 WEST 1234 5698 7654 32", "IBAN [BANK_ACCOUNT]"), ("card 4111 1111 1111 1111", "card [CARD]"),
+    ("JOHN.DOE [AT] EXAMPLE [DOT] COM", "[EMAIL]"), ("call ＋４４ now or +４４ ７７００ ９００１２３", "call ＋４４ now or [PHONE]"), ("I met with Sarah Connor today", "I met with [NAME] today"),
+    ("call 312-555-0143 S. Lovering", "call [PHONE] [NAME]"), ("IBAN GB82 WEST 1234 5698 7654 32", "IBAN [BANK_ACCOUNT]"), ("card 4111 1111 1111 1111", "card [CARD]"),
 ]
 CLEAN = [
     "Shard 705-47-5816 was moved", "Timeout set to 843.203.6393 ticks", "Checksum 1850640095 matched", "Span 0064139147674039 closed late.", "build 356-200-51", "Pinned @core/lib@40.7.18 in the file",
@@ -109,6 +110,15 @@ def test_long_texts_take_linear_time():
         pii.redact(text, NAMES)
 
 
+def test_many_names_cost_no_more_and_nothing_is_missed():
+    people = [f"Given{chr(97 + i % 26)}{i} Family{i}" for i in range(5_000)]
+    names = pii.name_rules(people)
+    assert pii.redact("Givena0 Family4999 and G. Family77.", pii.name_rules([p.replace("0", "o").translate(str.maketrans("123456789", "abcdefghi")) for p in people]))[1] == []
+    spelled = ["".join(c if not c.isdigit() else "abcdefghij"[int(c)] for c in p) for p in people]
+    names = pii.name_rules(spelled)
+    assert pii.redact(f"ask {spelled[17]} or {spelled[4_321].split()[1].upper()}, {spelled[5].split()[0]}!", names)[0] == "ask [NAME] or [NAME]!"
+
+
 def test_redacted_column(spark):
     df = spark.createDataFrame([(1, None, "p"), (2, "", "p"), (3, "call +44 7700 900123", "p")], "id long, content string, pii string")
     got = {r.id: (r.pii.clean, r.pii.kinds) for r in pii.redacted(df, "content", []).collect()}

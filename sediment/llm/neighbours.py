@@ -19,7 +19,7 @@ from pyspark.sql import functions as F
 
 from sediment.llm.vectors import BROADCAST_IDS, DIMENSION, one_per_copy, one_per_id, packed, unpacked, usable
 from sediment.operators.skew import lookup_join
-from sediment.runtime import materialize
+from sediment.runtime import materialize, shuffle_partitions
 
 #: Vectors per pivot, and the limits of their number (8 MB of pivots at most).
 PER_PIVOT, FEWEST, MOST = 180, 16, 16_384
@@ -29,6 +29,8 @@ ORDERED, POSTED = 16, 3
 RERANK, SHARE = 128, 0.25
 #: Bytes of vectors that are gathered at once to be compared.
 GATHER_BYTES = 16_000_000
+#: Bytes of postings in a shuffle partition.
+PARTITION_BYTES = 64_000_000
 #: Longer inverted files are cut into blocks.
 FILE_ROWS = 20_000
 #: Cosines are compared after rounding to this many places, so that equal vectors tie.
@@ -216,7 +218,10 @@ def nearest(vectors: DataFrame, k: int = 5, floor: float = -1.0, every: int = 1,
         rows = reps.select("memory_id", F.lit(True).alias("query"), "vec")
     if n:
         pivots, lengths = pivots_of(base, dimension, n, most_pivots)
-        met = postings(rows, pivots, lengths, dimension, posted, asked, ordered, every).groupBy("file", "a", "b").applyInArrow(
+        posts = postings(rows, pivots, lengths, dimension, posted, asked, ordered, every)
+        size = n * (posted + asked / every) * (4 * (dimension + ordered) + 60)
+        parts = max(shuffle_partitions(base.sparkSession), int(size // PARTITION_BYTES))
+        met = posts.repartition(parts, "file", "a", "b").groupBy("file", "a", "b").applyInArrow(
             lambda t: _search(t, dimension, k, floor, rerank, share, asked, posted, ordered), "root long, near long, cosine double"
         )
     else:

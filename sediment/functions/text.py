@@ -128,7 +128,9 @@ def slug(c: Column, longest: int = 32) -> Column:
 
 
 def block_name_ok(c: Column) -> Column:
-    return c.rlike(r"^[a-z][a-z0-9_]{0,63}$")
+    """1 to 64 letters, digits, underscores, hyphens or dots; no reserved name and no two dots in a row."""
+    name = F.trim(c)
+    return name.rlike(r"^[A-Za-z0-9_.-]{1,64}$") & ~name.isin(W.RESERVED_BLOCKS) & ~name.contains("..")
 
 
 def commit_class(subject: Column) -> Column:

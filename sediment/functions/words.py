@@ -24,8 +24,8 @@ MULTI_VALUED = ["LIKES", "DISLIKES", "LOVES", "HATES", "PREFERS", "USES", "NEEDS
 CANONICAL_PREDICATES = {
     "PREFERS": ["PREFER", "PREFERS"],
     "LIKES": ["LIKE", "LIKES", "SUKA", "GEMAR", "LOVES", "LOVE"],
-    "DISLIKES": ["DISLIKE", "DISLIKES", "BENCI", "TIDAK_SUKA", "DOES_NOT_LIKE", "DOESN'T_LIKE", "HATE", "HATES"],
-    "REJECTS": ["DOES_NOT_PREFER", "DOESN'T_PREFER"],
+    "DISLIKES": ["DISLIKE", "DISLIKES", "BENCI", "TIDAK_SUKA", "DOES_NOT_LIKE", "DOESNT_LIKE", "DOESN'T_LIKE", "HATE", "HATES"],
+    "REJECTS": ["DOES_NOT_PREFER", "DOESNT_PREFER", "DOESN'T_PREFER"],
     "USES": ["USE", "USES", "MENGGUNAKAN", "MEMAKAI"],
     "RUNS_ON": ["BERJALAN_DI"],
     "DEPLOYS_TO": ["MENDEPLOY_KE"],
@@ -76,5 +76,9 @@ DEFAULT_INTENT = ("general_recall", 0.70, "recall")
 # Half-lives of a memory's recency in days.
 HALF_LIFE = {"preference": 180.0, "hardware": 180.0, "architecture": 180.0, "rule": 180.0, "task_progress": 1.0, "episodic": 1.0, "session": 1.0}
 DEFAULT_HALF_LIFE = 14.0
+# Names no context block may have.
+RESERVED_BLOCKS = ["__proto__", "constructor", "prototype"]
+# Wordings of a standing prohibition, and words of it that say nothing.
+PROHIBITED = ["jangan", "dilarang", "never", "tidak boleh", "do not"]
 # Wordings that mark a change of mind.
 CONTRAST = ["bukan", "instead", "switch", "migrasi", "replace", "jangan"]

@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 from sediment.operators.segments import carry_lag, carry_last, carry_lead, range_segments
 
 KEY = ["subject", "predicate"]
+#: Single-valued predicates are a small fixed table; a state has a slot for each. More are refused, not cut.
+MOST_PREDICATES = 1_000
 
 
 def clean_text(c: Column | str) -> Column:
@@ -57,7 +59,9 @@ def entity_states(triples: DataFrame, kinds: DataFrame) -> DataFrame:
 
     The change logs of the subject's attributes are split at the union of their boundary dates, and
     equal neighbours are coalesced; attributes is the sorted list of ``predicate=object``."""
-    names = [r[0] for r in kinds.where("not is_multi_valued").select("predicate").distinct().orderBy("predicate").limit(1000).collect()]
+    names = [r[0] for r in kinds.where("not is_multi_valued").select("predicate").distinct().orderBy("predicate").limit(MOST_PREDICATES + 1).collect()]
+    if len(names) > MOST_PREDICATES:
+        raise ValueError(f"more than {MOST_PREDICATES} single-valued predicates")
     versions = attribute_versions(triples, kinds)
     if not names:
         return versions.limit(0).select("subject", "valid_from", "valid_until", F.array(F.col("object")).alias("attributes"))

@@ -6,12 +6,10 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as T
+from sediment.functions import words as W
 from sediment.operators.segments import carry_lead, range_segments
 from sediment.operators.skew import lookup_join
 
-TRANSIENT = ["episodic", "session", "task_progress"]
-
-
 def seniority() -> Column:
     return F.when(F.col("importance") == "critical", 2).when(F.col("importance") == "high", 1).otherwise(0)
 
@@ -32,7 +30,7 @@ def audit(facts: DataFrame, memories: DataFrame, orphans: DataFrame, as_of: Colu
 
 def standing_card(facts: DataFrame, memories: DataFrame, limit: int = 15) -> DataFrame:
     """(rank, subject, predicate, object): sure facts of active declarative memories, the weightiest first."""
-    sure = memories.where("is_active and memory_type = 'declarative' and coalesce(confidence, 1.0) >= 0.85").where(~F.col("category").isin(TRANSIENT))
+    sure = memories.where("is_active and memory_type = 'declarative' and coalesce(confidence, 1.0) >= 0.85").where(~F.col("category").isin(W.NOISE_CATEGORIES))
     m = sure.select(F.col("id").alias("memory_id"), seniority().alias("s"), "access_count")
     t = lookup_join(facts.where("is_active and memory_id is not null").select("id", "subject", "predicate", "object", "memory_id", "created_at"), m, "memory_id", "inner")
     top = t.orderBy(F.desc("s"), F.desc("access_count"), F.desc("created_at"), F.desc("id")).limit(limit)
@@ -94,15 +92,51 @@ def project_hits(events: DataFrame) -> DataFrame:
     return events.groupBy("id", "project").agg(F.count(F.lit(1)).alias("hits"), F.max("at").alias("last"))
 
 
-def promotions(hits: DataFrame, used: DataFrame, least: int = 3, limit: int = 20) -> DataFrame:
-    """(id, projects, helped): what at least ``least`` projects use, most used first."""
-    p = hits.groupBy("id").agg(F.count(F.lit(1)).alias("projects")).where(F.col("projects") >= least)
-    return p.join(used.select("id", "helped"), "id").orderBy(F.desc("projects"), F.desc("helped"), "id").limit(limit)
+def promotions(hits: DataFrame, used: DataFrame, memories: DataFrame, least: int = 3, limit: int = 20) -> DataFrame:
+    """(id, projects, helped): active memories that are not global and that at least ``least`` projects use, most
+    used first; projects is their sorted list."""
+    own = memories.where("is_active and scope != 'global'").select("id")
+    p = hits.groupBy("id").agg(F.countDistinct("project").alias("n"), F.array_join(F.sort_array(F.collect_set("project")), ",").alias("projects")).where(F.col("n") >= least)
+    j = p.join(own, "id", "left_semi").join(used.select("id", "helped"), "id", "left")
+    return j.select("id", "projects", "n", F.coalesce("helped", F.lit(0)).alias("helped")).orderBy(F.desc("n"), F.desc("helped"), "id").limit(limit)
 
 
 def playbooks(symptoms: DataFrame, remedies: DataFrame) -> DataFrame:
-    """(id, pattern): remedies whose pattern occurs in a symptom. remedies is a bounded table of plain patterns."""
-    return symptoms.join(F.broadcast(remedies), F.col("text").contains(F.col("pattern"))).select("id", "pattern")
+    """(id, pattern): for each symptom (id, text) the remedies (pattern) that occur in it as plain text, or that hold
+    the whole of a symptom of four characters or more.
+
+    A pattern that lies in a text lies between two of its characters, so texts and patterns meet by the first
+    word in the pattern that has GRAM letters or digits or more, cut to them: distinct texts are cut into such pieces at
+    every position of their words. Patterns without such a word are few in kind and met by all texts, so they are
+    looked up among distinct texts only. No pattern and no text is left out."""
+    texts, pats = symptoms.where("trim(text) != ''").select(F.trim("text").alias("text")).distinct(), remedies.where("pattern != ''").select("pattern").distinct()
+    held = _contained(pats.withColumnRenamed("pattern", "inner"), texts.withColumnRenamed("text", "outer")).select(F.col("outer").alias("text"), F.col("inner").alias("pattern"))
+    whole = _contained(texts.where("length(text) >= 4").withColumnRenamed("text", "inner"), pats.withColumnRenamed("pattern", "outer")).select(F.col("inner").alias("text"), F.col("outer").alias("pattern"))
+    met = held.union(whole).distinct()
+    return symptoms.select("id", F.trim("text").alias("text")).distinct().join(met, "text").select("id", "pattern")
+
+
+#: Characters by which texts and the patterns in them are brought together.
+GRAM = 4
+
+
+def _contained(inner: DataFrame, outer: DataFrame) -> DataFrame:
+    """(inner, outer): which of the distinct texts ``inner`` occur in which of the distinct texts ``outer``.
+
+    Of an inner text the longest run of letters and digits gives the piece of GRAM characters that an outer text must
+    hold; shorter ones use the whole run."""
+    run = r"[\p{L}\p{N}]+"
+    longest = F.element_at(F.array_sort(F.transform(F.regexp_extract_all("inner", F.lit(run), 0), lambda w: F.struct(F.length(w).alias("n"), w.alias("w")))), -1)["w"]
+    keyed = inner.withColumn("w", F.try_element_at(F.regexp_extract_all("inner", F.lit(run), 0), F.lit(1))).where("w is not null").withColumn("w", longest)
+    keyed = keyed.select("inner", F.substring("w", 1, GRAM).alias("piece"))
+    sizes = F.array(*[F.lit(k) for k in range(1, GRAM + 1)])
+    wanted = keyed.select("piece").distinct()
+    words = outer.select("outer", F.explode(F.array_distinct(F.regexp_extract_all("outer", F.lit(run), 0))).alias("w"))
+    cut = words.select("w").distinct().select("w", F.explode(F.array_distinct(F.flatten(F.transform(F.sequence(F.lit(1), F.length("w")), lambda i: F.transform(sizes, lambda k: F.col("w").substr(i, k)))))).alias("piece"))
+    has = cut.join(wanted, "piece", "left_semi")
+    pairs = words.join(has, "w").select("outer", "piece").distinct().join(keyed, "piece").where(F.col("outer").contains(F.col("inner"))).select("inner", "outer").distinct()
+    bare = inner.where(~F.col("inner").rlike(run))
+    return pairs.unionByName(bare.join(outer, F.col("outer").contains(F.col("inner"))).select("inner", "outer"))
 
 
 def calibrated(queries: DataFrame, trajectories: DataFrame, limit: int = 5) -> DataFrame:

@@ -88,13 +88,14 @@ def project_hits(spark, d):
 
 def promotions(spark, d):
     log = _log(spark, d)
-    return P.promotions(P.project_hits(log), P.usage(log))
+    return P.promotions(P.project_hits(log), P.usage(log), memories(spark, d))
 
 
 def find_remediation(spark, d):
-    """Patterns are the distinct failure reasons' first two words (bounded table); symptoms are all notes."""
+    """Patterns are the distinct failure reasons, whole and by their first two words; symptoms are all notes."""
     m = memories(spark, d).where("failure_reason is not null")
-    r = m.select(F.substring_index(F.lower(F.trim("failure_reason")), " ", 2).alias("pattern")).where("length(pattern) >= 4").distinct().orderBy("pattern").limit(500)
+    whole = F.lower(F.trim("failure_reason"))
+    r = m.select(F.explode(F.array(whole, F.substring_index(whole, " ", 2))).alias("pattern")).where("length(pattern) >= 4").distinct()
     n = table(spark, d, "notes").where("content is not null").select("id", F.lower("content").alias("text")).distinct()
     return P.playbooks(n, r)
 
@@ -211,9 +212,12 @@ SELECT coalesce(a.session, b.session) AS session, coalesce(memories, 0) AS memor
     "rollup": _M + f", r AS (SELECT *, row_number() OVER (PARTITION BY source_session ORDER BY created_at, id) AS rn FROM m WHERE is_active AND source_session IS NOT NULL AND content IS NOT NULL) SELECT source_session AS session, {_KIND} AS kind, count(*) AS n FROM r WHERE rn <= 50 GROUP BY ALL",
     "usage_agg": f"WITH {_LOG} {_USAGE}",
     "project_hits": f"WITH {_LOG} SELECT id, project, count(*) AS hits, max(at_ms) AS last FROM g GROUP BY ALL",
-    "promotions": f"WITH {_LOG}, u AS ({_USAGE}), p AS (SELECT id, count(DISTINCT project) AS projects FROM g GROUP BY id) SELECT id, projects, helped FROM p JOIN u USING (id) WHERE projects >= 3 ORDER BY 2 DESC, 3 DESC, 1 LIMIT 20",
-    "find_remediation": _M + """, r AS (SELECT DISTINCT array_to_string(string_split(lower(trim(failure_reason)), ' ')[1:2], ' ') AS pattern FROM m WHERE failure_reason IS NOT NULL AND length(array_to_string(string_split(lower(trim(failure_reason)), ' ')[1:2], ' ')) >= 4 ORDER BY 1 LIMIT 500)
-SELECT n.id, pattern FROM (SELECT DISTINCT id, lower(content) AS text FROM notes WHERE content IS NOT NULL) n JOIN r ON contains(text, pattern)""",
+    "promotions": f"WITH {MEMORIES_SQL}, {_LOG}, u AS ({_USAGE}), p AS (SELECT id, count(DISTINCT project) AS n, string_agg(DISTINCT project::VARCHAR, ',' ORDER BY project::VARCHAR) AS projects FROM g GROUP BY id) "
+    "SELECT p.id, projects, n, helped FROM p JOIN u USING (id) JOIN m ON m.id = p.id WHERE n >= 3 AND m.is_active AND m.scope != 'global' ORDER BY 3 DESC, 4 DESC, 1 LIMIT 20",
+    "find_remediation": _M + """, w AS (SELECT DISTINCT lower(trim(failure_reason)) AS w FROM m WHERE failure_reason IS NOT NULL),
+r AS (SELECT DISTINCT pattern FROM (SELECT w AS pattern FROM w UNION ALL SELECT array_to_string(string_split(w, ' ')[1:2], ' ') FROM w) WHERE length(pattern) >= 4),
+n AS (SELECT DISTINCT id, trim(lower(content)) AS text FROM notes WHERE trim(content) != '')
+SELECT DISTINCT n.id, pattern FROM n JOIN r ON contains(text, pattern) OR (length(text) >= 4 AND contains(pattern, text))""",
     "calibrate": _M + """, q AS (SELECT lower(trim(working_style)) AS whole, min(id) AS query_id FROM personas WHERE working_style IS NOT NULL GROUP BY working_style),
 qw AS (SELECT query_id, whole, unnest(list_distinct(list_filter(regexp_split_to_array(whole, '[^a-z0-9_./-]+'), lambda w: length(w) > 2))) AS w FROM q),
 tw AS (SELECT id, lower(content) AS goal, unnest(list_distinct(regexp_split_to_array(lower(content), '[^a-z0-9_./-]+'))) AS w FROM m WHERE content IS NOT NULL),

@@ -196,7 +196,7 @@ ORACLE = {
     "recall_topk": _M + _HYBRID.replace("@LEAST@", "0.2") + " SELECT query_id, id, score, rank FROM rk WHERE rank <= 5",
     "explain_belief": _M + _HYBRID.replace("@LEAST@", "0.1") + ", t5 AS (SELECT query_id, max(score) AS top, count(*) AS evidence FROM rk WHERE rank <= 5 GROUP BY 1) SELECT query_id, top, evidence, CASE WHEN top < 0.35 THEN 'ABSTAIN' WHEN top >= 0.6 THEN 'SUPPORTED' ELSE 'WEAK' END AS verdict FROM t5",
     "drift": "SELECT DISTINCT id FROM notes WHERE content IS NOT NULL AND (" + " OR ".join(f"contains(lower(content), '{w}')" for w in W.CONTRAST) + ")",
-    "preflight": _M + """ru AS (SELECT DISTINCT lower(content) AS rule FROM m WHERE is_negative_constraint AND is_active AND regexp_matches(lower(content), 'jangan|dilarang|never|tidak boleh|do not') ORDER BY 1 LIMIT 1000),
+    "preflight": _M + """ru AS (SELECT DISTINCT lower(content) AS rule FROM m WHERE is_negative_constraint AND is_active AND regexp_matches(lower(content), 'jangan|dilarang|never|tidak boleh|do not')),
 rw AS (SELECT rule, list_distinct(list_filter(regexp_split_to_array(regexp_replace(rule, 'jangan|dilarang|never|tidak boleh|do not|harus', ' ', 'g'), '[^a-z0-9]+'), lambda w: length(w) >= 4)) AS ws FROM ru),
 ac AS (SELECT DISTINCT id, lower(content) AS a FROM notes WHERE lower(trim(role)) IN ('tool', 'function') AND content IS NOT NULL)
 SELECT id, count(*) AS rules FROM ac JOIN rw ON len(ws) > 0 AND len(list_filter(ws, lambda w: contains(a, w))) >= least(2, len(ws)) GROUP BY id""",

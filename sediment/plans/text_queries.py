@@ -56,8 +56,10 @@ def redact(spark, d):
 
 
 def canonicalize_entity(spark, d):
-    t = facts(spark, d)
-    return t.where("object is not null").select("id", T.canonical_units(F.concat(F.col("object"), F.lit(" with 16384 MB of RAM;"))).alias("canonical"))
+    """Objects as stored and with sizes of several spellings behind them."""
+    sizes = F.array(*[F.lit(x) for x in ("", " with 16384 MB of RAM;", " 512 Kb..", "  2 TB ,", " 1500mb", " 8 GB disk")])
+    t = facts(spark, d).where("object is not null").select("id", F.concat("object", F.element_at(sizes, (F.col("id") % 6 + 1).cast("int"))).alias("object"))
+    return t.select("id", T.canonical_units(F.col("object")).alias("canonical"))
 
 
 def tokenize(spark, d):
@@ -66,7 +68,7 @@ def tokenize(spark, d):
 
 
 def hash_fnv1a(spark, d):
-    s = facts(spark, d).where("subject is not null and subject rlike '^[ -~]*$'").select("subject").distinct()
+    s = facts(spark, d).where("subject is not null").select("subject").distinct()
     return s.select("subject", T.fnv1a(F.col("subject"), 0x1337).alias("h"))
 
 
@@ -200,11 +202,15 @@ ORACLE = {
     "is_negative": _WITH + f"SELECT id, {_NEG} AS negative, CASE WHEN {_NEG} OR category IN ('rule', 'negative_constraint') THEN 'imperative' ELSE 'declarative' END AS kind FROM m",
     "outcome_detect": _WITH + f"SELECT id, CASE WHEN {_ci('content', W.FAILURE)} THEN 'failure' ELSE 'neutral' END AS detected, CASE WHEN {_ci('content', W.FAILURE)} THEN content END AS reason FROM m",
     "redact": f"SELECT DISTINCT id, {_REDACT} AS clean, {' + '.join(_red_n)} AS n_redacted FROM notes WHERE content IS NOT NULL",
-    "canonicalize_entity": f"WITH {FACTS_SQL} SELECT id, object || ' with 16gb of RAM' AS canonical FROM t WHERE object IS NOT NULL",
+    "canonicalize_entity": f"WITH {FACTS_SQL}, " + """o AS (SELECT id, object || ['', ' with 16384 MB of RAM;', ' 512 Kb..', '  2 TB ,', ' 1500mb', ' 8 GB disk'][id % 6 + 1] AS o FROM t WHERE object IS NOT NULL),
+c AS (SELECT id, regexp_replace(regexp_replace(trim(o), '[.,;:]+$', ''), '\\s+', ' ', 'g') AS c FROM o),
+u AS (SELECT id, list_reduce(list_concat([c], ['tb', 'gb', 'mb', 'kb']), lambda t, x: regexp_replace(t, '(\\d+(?:\\.\\d+)?)\\s*' || x || '\\b', '\\1' || x, 'gi')) AS c FROM c),
+n AS (SELECT id, c, TRY_CAST(regexp_extract(c, '(\\d{4,9})mb', 1) AS BIGINT) AS mb FROM u)
+SELECT id, CASE WHEN mb >= 1024 AND mb % 1024 = 0 THEN regexp_replace(c, '\\d{4,9}mb', (mb // 1024) || 'gb', 'g') ELSE c END AS canonical FROM n""",
     "tokenize": _WITH + """, r AS (SELECT unnest(list_filter(regexp_split_to_array(lower(content), '[\\s,.;:!?/\\\\()\\[\\]{}''"]+'), lambda x: x != '')) AS token FROM m),
 p AS (SELECT token FROM r UNION ALL SELECT unnest(list_filter(regexp_split_to_array(token, '[-_]+'), lambda x: length(x) > 1)) FROM r WHERE regexp_matches(token, '[-_]'))
 SELECT token, count(*) AS n FROM p GROUP BY token""",
-    "hash_fnv1a": f"WITH {FACTS_SQL}, " + """s AS (SELECT DISTINCT subject FROM t WHERE subject IS NOT NULL AND regexp_matches(subject, '^[ -~]*$'))
+    "hash_fnv1a": f"WITH {FACTS_SQL}, " + """s AS (SELECT DISTINCT subject FROM t WHERE subject IS NOT NULL)
 SELECT subject, list_reduce(list_prepend(2166136261::BIGINT # 4919, list_transform(string_split(subject, ''), lambda c: ascii(c)::BIGINT)), lambda h, x: (xor(h, x) * 16777619) & 4294967295) AS h FROM s""".replace("2166136261::BIGINT # 4919", "xor(2166136261::BIGINT, 4919::BIGINT)"),
     "recency_score": _WITH + "SELECT id, round(exp(-ln(2) / CASE category " + " ".join(f"WHEN '{k}' THEN {v}" for k, v in W.HALF_LIFE.items())
     + f" ELSE {W.DEFAULT_HALF_LIFE} END * greatest(0.0, (epoch_us({AS_OF_SQL}) - epoch_us(last_accessed_at)) / 86400000000.0)), 6) AS recency FROM m WHERE last_accessed_at IS NOT NULL",
@@ -229,8 +235,12 @@ SELECT DISTINCT id, trim(subject) AS subject, predicate, trim(object) AS object
     "git_classify": _WITH + ", c AS (SELECT id, lower(content) AS s FROM m WHERE content IS NOT NULL), k AS (SELECT id, CASE WHEN starts_with(s, 'fix') OR contains(s, 'bugfix') OR contains(s, 'hotfix') THEN 1 WHEN starts_with(s, 'perf') OR contains(s, 'optimize') THEN 2 WHEN starts_with(s, 'refactor') OR starts_with(s, 'arch') THEN 3 WHEN contains(s, 'forbid') OR contains(s, 'prevent') OR contains(s, 'never') THEN 4 ELSE 5 END AS k FROM c)"
     " SELECT id, ['episodic', 'rule', 'architecture', 'negative_constraint', 'fact'][k] AS category, ['high', 'high', 'normal', 'critical', 'normal'][k] AS importance, ['success', 'neutral', 'neutral', 'neutral', 'neutral'][k] AS outcome FROM k",
     "slugify": _WITH + ", s AS (SELECT id, regexp_replace(substr(regexp_replace(trim(regexp_replace(lower(content), '[^A-Za-z0-9_\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 32), '-+$', '') AS s FROM m WHERE content IS NOT NULL) SELECT id, CASE WHEN s = '' THEN 'memory' ELSE s END AS slug FROM s",
-    "resolve_aliases": _WITH + """, w AS (SELECT DISTINCT id, unnest(regexp_extract_all(lower(content), '[\\p{L}-]+ [\\p{L}-]+')) AS alias FROM m WHERE content IS NOT NULL)
-SELECT w.id, string_agg(DISTINCT 'person-' || p.id, ',' ORDER BY 'person-' || p.id) AS people FROM w JOIN personas p ON lower(p.name) = w.alias GROUP BY w.id""",
+    # names are looked for one after the other, the longest first, each twice, as neighbours share the character between them
+    "resolve_aliases": _WITH + """, a AS (SELECT lower(trim(name)) AS alias, min(id) AS first, list('person-' || id) AS people FROM personas WHERE trim(name) != '' GROUP BY 1),
+l AS (SELECT list(alias || chr(1) || first ORDER BY length(alias) DESC, alias) AS xs FROM a),
+r AS (SELECT id, content, list_reduce(list_concat([content], xs, xs), lambda t, x: regexp_replace(t, '(^|[^A-Za-z0-9_])' || regexp_escape(string_split(x, chr(1))[1]) || '([^A-Za-z0-9_]|$)', '\\1' || chr(2) || string_split(x, chr(1))[2] || chr(3) || '\\2', 'gi')) AS t FROM m, l WHERE content IS NOT NULL),
+h AS (SELECT id, t, unnest(list_distinct(regexp_extract_all(t, chr(2) || '(\\d+)' || chr(3), 1))) AS first FROM r)
+SELECT h.id, array_to_string(list_sort(list_distinct(flatten(list(a.people)))), ',') AS people, replace(replace(any_value(h.t), chr(2), 'person-'), chr(3), '') AS text FROM h JOIN a ON a.first = h.first::BIGINT GROUP BY h.id""",
     "usage_multiplier": "SELECT user_id, round(least(1.5, greatest(0.35, 1.0 + 0.05 * count(*) FILTER (event_type = 'purchase') - 0.2 * count(*) FILTER (event_type = 'error'))), 6)::DOUBLE AS multiplier FROM events GROUP BY user_id",
-    "block_truncate": "SELECT name, CASE WHEN length(content) > token_limit * 4 THEN substr(content, 1, token_limit * 4) || chr(10) || '[truncated]' ELSE content END AS content, regexp_matches(name, '^[a-z][a-z0-9_]{0,63}$') AS name_ok FROM context_blocks",
+    "block_truncate": "SELECT name, CASE WHEN length(content) > token_limit * 4 THEN substr(content, 1, token_limit * 4) || chr(10) || '[truncated]' ELSE content END AS content, regexp_matches(trim(name), '^[-A-Za-z0-9_.]{1,64}$') AND trim(name) NOT IN ('__proto__', 'constructor', 'prototype') AND NOT contains(name, '..') AS name_ok FROM context_blocks",
 }

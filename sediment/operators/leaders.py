@@ -17,7 +17,7 @@ BLOCK_ROWS = 4_096
 PASS_BYTES = 64_000_000
 
 
-def _units(df: DataFrame) -> DataFrame:
+def unit_vectors(df: DataFrame) -> DataFrame:
     """(id, u): vectors at length one as binary doubles; null if null, empty, zero or not finite."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -61,7 +61,7 @@ def leader_clusters(df: DataFrame, id_col: str, vector_col: str, threshold: floa
     that no leader is like are gone through in order, and all later rows like one of the new leaders leave;
     so there are as many rounds as such rows have blocks. Then each row is compared with the leaders up to
     its id. Vectors that are null, empty or zero lead clusters of their own."""
-    rows = _units(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")).persist(StorageLevel.MEMORY_AND_DISK)
+    rows = unit_vectors(df.select(F.col(id_col).cast("long").alias("id"), F.col(vector_col).alias("v")).where("id is not null")).persist(StorageLevel.MEMORY_AND_DISK)
     spark = df.sparkSession
     found: list[dict[int, tuple[np.ndarray, np.ndarray]]] = []
     rest = rows.where("u is not null")

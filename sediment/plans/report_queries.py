@@ -17,6 +17,10 @@ from sediment.sources import table
 from sediment.streaming import activity, read_table
 
 
+#: Smallest memory id of the tables.
+FIRST = 1_000_000
+
+
 def digest(spark, d):
     return P.digest(B.timeline(memories(spark, d), facts(spark, d)), now() - F.expr("interval 30 days"))
 
@@ -73,9 +77,10 @@ def rollup(spark, d):
 
 
 def _log(spark, d):
+    """The events as a log of what became of recalled memories: users stand for the memories from FIRST on."""
     e = table(spark, d, "events")
     verdict = F.when(F.col("event_type") == "view", "recalled").when(F.col("event_type") == "purchase", "helped").when(F.col("event_type") == "error", "misled")
-    return e.select(F.col("user_id").alias("id"), verdict.alias("verdict"), (F.get_json_object("props", "$.k").cast("long") % 5).alias("project"), F.unix_micros("ts").alias("at"))
+    return e.select((F.col("user_id") + FIRST).alias("id"), verdict.alias("verdict"), (F.get_json_object("props", "$.k").cast("long") % 5).alias("project"), F.unix_micros("ts").alias("at"))
 
 
 def usage_agg(spark, d):
@@ -187,7 +192,7 @@ QUERIES = {
 _M, _F, _MF = f"WITH {MEMORIES_SQL} ", f"WITH {FACTS_SQL} ", f"WITH {MEMORIES_SQL}, {FACTS_SQL} "
 _SEN = "CASE importance WHEN 'critical' THEN 2 WHEN 'high' THEN 1 ELSE 0 END"
 _ORPHANS = "x AS (SELECT t.id, m.is_active AS alive FROM t LEFT JOIN m ON m.id = t.memory_id WHERE t.is_active AND t.memory_id IS NOT NULL), o AS (SELECT id FROM x WHERE alive IS NULL OR NOT alive)"
-_LOG = "g AS (SELECT user_id AS id, CASE event_type WHEN 'view' THEN 'recalled' WHEN 'purchase' THEN 'helped' WHEN 'error' THEN 'misled' END AS verdict, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS project, epoch_us(ts) AS at_ms FROM events)"
+_LOG = "g AS (SELECT user_id + 1000000 AS id, CASE event_type WHEN 'view' THEN 'recalled' WHEN 'purchase' THEN 'helped' WHEN 'error' THEN 'misled' END AS verdict, CAST(json_extract_string(props, '$.k') AS BIGINT) % 5 AS project, epoch_us(ts) AS at_ms FROM events)"
 _USAGE = "SELECT id, " + ", ".join(f"count(*) FILTER (verdict = '{v}') AS {v}" for v in ("recalled", "helped", "misled")) + " FROM g GROUP BY id"
 _KIND = "CASE " + " ".join(f"WHEN {_ci('content', p)} THEN '{k}'" for k, p in P.LEDGER) + " ELSE 'general' END"
 

@@ -158,7 +158,8 @@ po AS (SELECT doc, len(ts) AS dl, unnest(ts) AS term FROM td WHERE len(ts) > 0),
 pt AS (SELECT doc, dl, term, count(*) AS tf FROM po GROUP BY ALL),
 sz AS (SELECT count(*) AS n, avg(dl) AS avgdl FROM (SELECT DISTINCT doc, dl FROM pt)),
 qu AS (SELECT working_style AS text, min(id) AS query_id FROM personas WHERE working_style IS NOT NULL GROUP BY 1),
-qw AS (SELECT query_id, list_distinct(list_filter({_TERMS.format('text')}, lambda t: length(t) > 1))[1:16] AS ws FROM qu),
+q0 AS (SELECT query_id, list_filter({_TERMS.format('text')}, lambda t: length(t) > 1) AS w0 FROM qu),
+qw AS (SELECT query_id, list_filter(w0, lambda w, i: list_position(w0, w) = i)[1:16] AS ws FROM q0),
 qt AS (SELECT query_id, unnest(CASE WHEN len(list_filter(ws, lambda t: length(t) > 2 AND t NOT IN {_in(W.STOPWORDS)})) > 0 THEN list_filter(ws, lambda t: length(t) > 2 AND t NOT IN {_in(W.STOPWORDS)}) ELSE ws END) AS q FROM qw),
 hi AS (SELECT query_id, q, doc, dl, sum(tf) AS tf FROM pt JOIN qt ON starts_with(term, q) GROUP BY ALL),
 df AS (SELECT query_id, q, count(*) AS df FROM hi GROUP BY ALL),

@@ -45,22 +45,28 @@ def antonym_class(predicate: Column) -> Column:
 
 def resolve_antonyms(facts: DataFrame) -> DataFrame:
     """(id, superseded_by, contradictions): a triple is superseded by the next one on the same subject and
-    object if that has the opposite predicate; contradictions counts the changes before the row."""
+    object if that has the opposite predicate; contradictions is how many such changes its subject and object saw."""
     rows = keyed(facts).withColumn("pair", antonym_class(F.col("predicate"))).where("pair is not null")
     keys = ["ks", "pair", "ko"]
     seg = range_segments(rows, keys, ORDER)
     out = carry_lead(seg, keys, ORDER, F.struct("memory_id", "predicate"), "next")
-    turned = F.coalesce(F.col("next.v.predicate") != F.col("predicate"), F.lit(False))
-    return out.where(turned).select("id", F.col("next.v.memory_id").alias("superseded_by"))
+    turned = out.where(F.coalesce(F.col("next.v.predicate") != F.col("predicate"), F.lit(False))).withColumn("key", F.concat_ws("\x01", *keys))
+    total = turned.groupBy("key").agg(F.count(F.lit(1)).alias("contradictions"))
+    return lookup_join(turned.select("id", "key", F.col("next.v.memory_id").alias("superseded_by")), total, "key", "inner").select("id", "superseded_by", "contradictions")
 
 
 def upsert_actions(facts: DataFrame) -> DataFrame:
-    """(id, action): inserted (first of its subject and predicate), reinforced (same object as before), updated."""
+    """(id, action): superseded (the last one on the same subject and object has the opposite predicate), inserted (first
+    of its subject and predicate), reinforced (same object as before), updated."""
+    rows = keyed(facts)
     keys = ["ks", "predicate"]
-    seg = range_segments(keyed(facts), keys, ORDER)
+    seg = range_segments(rows, keys, ORDER)
     out = carry_lag(seg, keys, ORDER, F.col("ko"), "prev")
     action = F.when(F.col("prev").isNull(), "inserted").when(F.col("prev.v") == F.col("ko"), "reinforced").otherwise("updated")
-    return out.select("id", action.alias("action"))
+    pairs = rows.withColumn("pair", antonym_class(F.col("predicate"))).where("pair is not null").select("id", *ORDER[:1], "ks", "pair", "ko", "predicate")
+    seen = carry_lag(range_segments(pairs, ["ks", "pair", "ko"], ORDER), ["ks", "pair", "ko"], ORDER, F.col("predicate"), "prev")
+    turned = seen.where(F.coalesce(F.col("prev.v") != F.col("predicate"), F.lit(False))).select("id", F.lit(True).alias("turned"))
+    return out.select("id", action.alias("action")).join(turned, "id", "left").select("id", F.when(F.col("turned"), "superseded").otherwise(F.col("action")).alias("action"))
 
 
 def reinforced(memories: DataFrame) -> DataFrame:
@@ -133,6 +139,53 @@ def mentions(memories: DataFrame, text: str) -> DataFrame:
     return memories.where(F.col("is_active") & F.lower("content").contains(text.lower())).select("id")
 
 
+def remembered(said: DataFrame, memories: DataFrame) -> DataFrame:
+    """(id, action, target, is_negative_constraint, memory_type, outcome): what statements (id, content), in order of id,
+    do to a store: ``dropped`` as passing remarks, ``reinforced`` (an active memory, the target, or an earlier
+    statement says the same with the same polarity) or ``inserted``. Same means equal but for case and punctuation."""
+    c = F.col("content")
+    neg = F.coalesce(T.is_negative(c, F.lit(None).cast("string")), F.lit(False))
+    rows = said.where("id is not null and content is not null").select(
+        "id", F.concat(F.sha2(T.normalized(c), 256), neg.cast("string")).alias("fp"), neg.alias("is_negative_constraint"), (T.is_noise(c, F.lit(None).cast("string")) & ~neg).alias("noise"), T.outcome(c).alias("outcome")
+    )
+    known = memories.where("is_active and content is not null").groupBy(F.concat(F.sha2(T.normalized(c), 256), F.col("is_negative_constraint").cast("string")).alias("fp")).agg(F.min_by("id", F.struct("created_at", "id")).alias("known"))
+    first = rows.groupBy("fp").agg(F.min("id").alias("first"))
+    j = lookup_join(rows, first.join(known, "fp", "left"), "fp", "inner")
+    action = F.when(F.col("noise"), "dropped").when(F.col("known").isNotNull(), "reinforced").when(F.col("id") == F.col("first"), "inserted").otherwise("reinforced")
+    target = F.when(F.col("noise"), None).when(F.col("known").isNotNull(), F.col("known")).when(F.col("id") != F.col("first"), F.col("first"))
+    kind = F.when(F.col("is_negative_constraint"), "imperative").otherwise("declarative")
+    return j.select("id", action.alias("action"), target.alias("target"), "is_negative_constraint", kind.alias("memory_type"), "outcome")
+
+
+def extracted_upserts(said: DataFrame, facts: DataFrame) -> DataFrame:
+    """(id, subject, predicate, object, action): the triples that statements (id, content, at) state, and what each does
+    to the facts before it: see upsert_actions. Triples of one statement count in order of predicate and object."""
+    t = said.select(F.col("id").alias("note"), "at", F.explode(F.array_distinct(T.triples(F.col("content")))).alias("t"))
+    new = t.select("note", F.col("at").alias("created_at"), "t.subject", "t.predicate", "t.object")
+    key = F.struct(F.lit(1).alias("new"), F.col("note").alias("a"), F.concat_ws("\x01", "predicate", "object", "subject").alias("b"))
+    old = facts.where("created_at is not null").select(F.struct(F.lit(0).alias("new"), F.col("id").alias("a"), F.lit("").alias("b")).alias("id"), "created_at", "subject", "predicate", "object")
+    both = old.unionByName(new.select(key.alias("id"), "created_at", "subject", "predicate", "object"))
+    done = upsert_actions(both).where("id.new = 1")
+    named = new.select(key.alias("id"), "note", "subject", "predicate", "object")
+    return named.join(done, "id").select(F.col("note").alias("id"), "subject", "predicate", "object", "action")
+
+
+def deleted(ids: DataFrame, memories: DataFrame, facts: DataFrame) -> DataFrame:
+    """(kind, id) of the active memories with these ids and of their active triples."""
+    mine = lookup_join(memories.where("is_active").select("id"), ids.select("id").distinct(), "id", "left_semi")
+    hit = lookup_join(facts.where("is_active and memory_id is not null").select(F.col("id").alias("tid"), "memory_id"), mine.withColumnRenamed("id", "memory_id"), "memory_id", "left_semi")
+    return mine.select(F.lit("memory").alias("kind"), "id").union(hit.select(F.lit("triple"), "tid"))
+
+
+def contradictions(found: DataFrame, facts: DataFrame) -> DataFrame:
+    """(query_id, subject, positive, negative, object): opposite predicates on the same subject and object among the active
+    triples of each query's results."""
+    t = facts.where("is_active and memory_id is not null").select(F.col("memory_id").alias("id"), F.lower("subject").alias("subject"), "predicate", F.lower("object").alias("object"))
+    rows = found.select("query_id", "id").join(t, "id").withColumn("pair", antonym_class(F.col("predicate"))).where("pair is not null")
+    g = rows.groupBy("query_id", "subject", "object", "pair").agg(F.min("predicate").alias("positive"), F.max("predicate").alias("negative"))
+    return g.where("positive != negative").select("query_id", "subject", "positive", "negative", "object")
+
+
 def forgotten(memories: DataFrame, facts: DataFrame, target: str) -> DataFrame:
     """(kind, id) of active memories meant by ``target`` (its whole text, or a word of at least four letters
     in it) and of their active triples. Wildcards and texts below two letters mean nothing."""

@@ -67,3 +67,18 @@ def communities(facts: DataFrame, memories: DataFrame) -> DataFrame:
     first = member.groupBy("component").agg(F.min("id").alias("community"))
     found = member.join(first, "component").select("community", "id")
     return found.unionByName(act.join(found, "id", "left_anti").select(F.col("id").alias("community"), "id"))
+
+
+def described(members: DataFrame, facts: DataFrame, memories: DataFrame, most: int = 5) -> DataFrame:
+    """(community, members, category, entities) of communities (community, id): how many, their commonest category and
+    the commonest informative entities of their active triples; ties in alphabetical order."""
+    m = memories.where("is_active").select("id", "category")
+    rows = members.join(m, "id")
+    size = members.groupBy("community").agg(F.count(F.lit(1)).alias("members"))
+    by_category = rows.groupBy("community", "category").agg(F.count(F.lit(1)).alias("n"))
+    top = by_category.groupBy("community").agg(F.min_by("category", F.struct((-F.col("n")).alias("n"), F.col("category").isNull().alias("none"), "category")).alias("category"))
+    said = facts.where("is_active and memory_id is not null").where(T.informative(F.col("object"))).select(F.col("memory_id").alias("id"), F.lower("object").alias("e")).distinct()
+    w = Window.partitionBy("community").orderBy(F.desc("n"), "e")
+    named = said.join(members, "id").groupBy("community", "e").agg(F.count(F.lit(1)).alias("n")).withColumn("k", F.row_number().over(w)).where(F.col("k") <= most)
+    named = named.groupBy("community").agg(F.array_sort(F.collect_list(F.struct("k", "e"))).alias("l")).select("community", F.array_join(F.transform("l", lambda x: x["e"]), ", ").alias("entities"))
+    return size.join(top, "community").join(named, "community", "left").select("community", "members", "category", F.coalesce("entities", F.lit("")).alias("entities"))

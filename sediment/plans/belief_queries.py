@@ -130,8 +130,8 @@ _BOARD = "b AS (SELECT user_id, json_extract_string(props, '$.k') AS key, ts, ev
 ORACLE = {
     "resolve_single_valued": _F + _K + " " + _RESOLVE.format(f"predicate NOT IN {_MULTI}", "ks, predicate"),
     "resolve_multi_valued": _F + _K + " " + _RESOLVE.format(f"predicate IN {_MULTI}", "ks, predicate, ko"),
-    "resolve_antonym": _F + _K + f", p AS (SELECT *, {_PAIR} AS pair FROM k), x AS (SELECT id, predicate, lead(predicate) OVER w AS np, lead(memory_id) OVER w AS superseded_by FROM p WHERE pair IS NOT NULL WINDOW w AS (PARTITION BY ks, pair, ko ORDER BY created_at, id)) SELECT id, superseded_by FROM x WHERE np != predicate",
-    "upsert_actions": _F + _K + ", x AS (SELECT id, ko, lag(ko) OVER (PARTITION BY ks, predicate ORDER BY created_at, id) AS prev FROM k) SELECT id, CASE WHEN prev IS NULL THEN 'inserted' WHEN prev = ko THEN 'reinforced' ELSE 'updated' END AS action FROM x",
+    "resolve_antonym": _F + _K + f", p AS (SELECT *, {_PAIR} AS pair FROM k), x AS (SELECT id, ks, pair, ko, predicate, lead(predicate) OVER w AS np, lead(memory_id) OVER w AS superseded_by FROM p WHERE pair IS NOT NULL WINDOW w AS (PARTITION BY ks, pair, ko ORDER BY created_at, id)) SELECT id, superseded_by, count(*) OVER (PARTITION BY ks, pair, ko) AS contradictions FROM x WHERE np != predicate",
+    "upsert_actions": _F + _K + f", x AS (SELECT id, ko, lag(ko) OVER (PARTITION BY ks, predicate ORDER BY created_at, id) AS prev FROM k), y AS (SELECT id, predicate, lag(predicate) OVER (PARTITION BY ks, {_PAIR}, ko ORDER BY created_at, id) AS pp FROM k WHERE {_PAIR} IS NOT NULL) SELECT x.id, CASE WHEN pp != predicate THEN 'superseded' WHEN prev IS NULL THEN 'inserted' WHEN prev = ko THEN 'reinforced' ELSE 'updated' END AS action FROM x LEFT JOIN y USING (id)",
     "dedup_fingerprint": _M + f""", a AS (SELECT *, sha256({_NORM}) AS fp FROM m WHERE is_active AND content IS NOT NULL),
 g AS (SELECT fp, is_negative_constraint AS neg, peer, arg_min(id, (created_at, id)) AS id, count(*) AS n, arg_min(coalesce(confidence, -1), (created_at, id)) AS c FROM a GROUP BY ALL),
 x AS (SELECT fp, is_negative_constraint AS neg, peer, string_agg(DISTINCT tag, ',' ORDER BY tag) AS tags FROM (SELECT fp, is_negative_constraint, peer, unnest(tags) AS tag FROM a) GROUP BY ALL)

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from sediment.plans import belief_queries, data_quality, recall_queries, report_queries, retrieval_queries, text_queries
+from sediment.plans import belief_queries, data_quality, recall_queries, report_queries, retrieval_queries, text_queries, workspace_queries
 
-MODULES = [data_quality, text_queries, belief_queries, retrieval_queries, report_queries, recall_queries]
+MODULES = [data_quality, text_queries, belief_queries, retrieval_queries, report_queries, recall_queries, workspace_queries]
 
 
 def queries():

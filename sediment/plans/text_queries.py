@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import text as T
 from sediment.functions import words as W
+from sediment.operators.workspace import fitted
 from sediment.plans.common import AS_OF_SQL, FACTS_SQL, MEMORIES_SQL, facts, memories, now
 from sediment.sources import table
 
@@ -158,9 +159,7 @@ def usage_multiplier(spark, d):
 def block_truncate(spark, d):
     """Context blocks cut at four characters per token."""
     b = table(spark, d, "context_blocks")
-    most = F.col("token_limit") * 4
-    cut = F.when(F.length("content") > most, F.concat(F.substring(F.col("content"), F.lit(1), most), F.lit("\n[truncated]"))).otherwise(F.col("content"))
-    return b.select("name", cut.alias("content"), T.block_name_ok(F.col("name")).alias("name_ok"))
+    return b.select("name", fitted(F.col("content"), F.col("token_limit")).alias("content"), T.block_name_ok(F.col("name")).alias("name_ok"))
 
 
 QUERIES = {
@@ -242,5 +241,5 @@ r AS (SELECT id, content, list_reduce(list_concat([content], xs, xs), lambda t,
 h AS (SELECT id, t, unnest(list_distinct(regexp_extract_all(t, chr(2) || '(\\d+)' || chr(3), 1))) AS first FROM r)
 SELECT h.id, array_to_string(list_sort(list_distinct(flatten(list(a.people)))), ',') AS people, replace(replace(any_value(h.t), chr(2), 'person-'), chr(3), '') AS text FROM h JOIN a ON a.first = h.first::BIGINT GROUP BY h.id""",
     "usage_multiplier": "SELECT user_id, round(least(1.5, greatest(0.35, 1.0 + 0.05 * count(*) FILTER (event_type = 'purchase') - 0.2 * count(*) FILTER (event_type = 'error'))), 6)::DOUBLE AS multiplier FROM events GROUP BY user_id",
-    "block_truncate": "SELECT name, CASE WHEN length(content) > token_limit * 4 THEN substr(content, 1, token_limit * 4) || chr(10) || '[truncated]' ELSE content END AS content, regexp_matches(trim(name), '^[-A-Za-z0-9_.]{1,64}$') AND trim(name) NOT IN ('__proto__', 'constructor', 'prototype') AND NOT contains(name, '..') AS name_ok FROM context_blocks",
+    "block_truncate": "SELECT name, CASE WHEN length(trim(content)) > token_limit * 4 THEN substr(trim(content), 1, token_limit * 4) || chr(10) || '... [truncated to fit block token budget]' ELSE coalesce(trim(content), '') END AS content, regexp_matches(trim(name), '^[-A-Za-z0-9_.]{1,64}$') AND trim(name) NOT IN ('__proto__', 'constructor', 'prototype') AND NOT contains(name, '..') AS name_ok FROM context_blocks",
 }

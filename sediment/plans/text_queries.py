@@ -195,6 +195,17 @@ _PORT = "(?i)([A-Za-z0-9_\\-.\\s]+?)\\s+(?:berjalan di|listens on|running on|men
 _ALIAS = "(?i)([A-Za-z0-9_\\-]+)\\s+(?:alias|aka|known as|disebut juga|is alias of)\\s+([A-Za-z0-9_\\-]+)"
 _PAREN = "([A-Za-z0-9_\\-]+)\\s*\\(([A-Za-z0-9_\\-]+)\\)"
 
+#: tr: the triples of the texts k (id, c).
+_TRIPLES = f"""x AS (SELECT id, unnest({_CLAUSES}) AS x FROM k),
+v AS (SELECT id, regexp_extract(x, '{_VERB}', 1) AS s, regexp_replace(upper(trim(regexp_extract(x, '{_VERB}', 2))), '\\s+', '_', 'g') AS p, regexp_replace(trim(regexp_extract(x, '{_VERB}', 3)), '[.,;]$', '') AS o FROM x WHERE regexp_matches(x, '{_VERB}')),
+r AS (
+  SELECT id, regexp_extract(x, '{_PORT}', 1) AS subject, 'LISTENS_ON_PORT' AS predicate, regexp_extract(x, '{_PORT}', 2) AS object FROM x WHERE regexp_matches(x, '{_PORT}')
+  UNION ALL SELECT id, s, {_PRED}, o FROM v
+  UNION ALL SELECT id, 'SafetyGuardrail', 'FORBIDS', substr(c, 1, 100) FROM k WHERE regexp_matches(c, '(?i)ram\\s+\\d+gb|jangan\\s+(pernah\\s+)?build|dilarang|never\\s+run')
+  UNION ALL SELECT id, lower(regexp_extract(c, '{_ALIAS}', 1)), 'ALIAS_OF', regexp_extract(c, '{_ALIAS}', 2) FROM k WHERE regexp_matches(c, '{_ALIAS}')
+  UNION ALL SELECT id, lower(regexp_extract(c, '{_PAREN}', 2)), 'ALIAS_OF', regexp_extract(c, '{_PAREN}', 1) FROM k WHERE regexp_matches(c, '{_PAREN}') AND NOT regexp_matches(c, '{_ALIAS}')),
+tr AS (SELECT DISTINCT id, trim(subject) AS subject, predicate, trim(object) AS object FROM r WHERE trim(subject) != '' AND trim(object) != '')"""
+
 ORACLE = {
     "fingerprint": _WITH + f"SELECT id, {_NORM} AS normalized, substr(sha256({_NORM}), 1, 16) AS fp FROM m",
     "is_noise": _WITH + f"SELECT id, coalesce(category IN {_in(W.NOISE_CATEGORIES)}, false) OR {_NOISE} AS noise FROM m",
@@ -221,16 +232,7 @@ SELECT subject, list_reduce(list_prepend(2166136261::BIGINT # 4919, list_transfo
         "CASE " + " ".join(f"WHEN {_ci('lower(trim(content))', r[3])} THEN {v(r)}" for r in W.INTENTS) + f" ELSE {v(W.DEFAULT_INTENT)} END AS {n}"
         for n, v in (("intent", lambda r: f"'{r[0]}'"), ("confidence", lambda r: f"{r[1]}::DOUBLE"), ("tool", lambda r: f"'{r[2]}'"))
     ) + " FROM (SELECT DISTINCT id, content FROM notes WHERE content IS NOT NULL)",
-    "extract_triples": _WITH + f""", k AS (SELECT id, trim(content) AS c FROM m WHERE content IS NOT NULL),
-x AS (SELECT id, unnest({_CLAUSES}) AS x FROM k),
-v AS (SELECT id, regexp_extract(x, '{_VERB}', 1) AS s, regexp_replace(upper(trim(regexp_extract(x, '{_VERB}', 2))), '\\s+', '_', 'g') AS p, regexp_replace(trim(regexp_extract(x, '{_VERB}', 3)), '[.,;]$', '') AS o FROM x WHERE regexp_matches(x, '{_VERB}')),
-r AS (
-  SELECT id, regexp_extract(x, '{_PORT}', 1) AS subject, 'LISTENS_ON_PORT' AS predicate, regexp_extract(x, '{_PORT}', 2) AS object FROM x WHERE regexp_matches(x, '{_PORT}')
-  UNION ALL SELECT id, s, {_PRED}, o FROM v
-  UNION ALL SELECT id, 'SafetyGuardrail', 'FORBIDS', substr(c, 1, 100) FROM k WHERE regexp_matches(c, '(?i)ram\\s+\\d+gb|jangan\\s+(pernah\\s+)?build|dilarang|never\\s+run')
-  UNION ALL SELECT id, lower(regexp_extract(c, '{_ALIAS}', 1)), 'ALIAS_OF', regexp_extract(c, '{_ALIAS}', 2) FROM k WHERE regexp_matches(c, '{_ALIAS}')
-  UNION ALL SELECT id, lower(regexp_extract(c, '{_PAREN}', 2)), 'ALIAS_OF', regexp_extract(c, '{_PAREN}', 1) FROM k WHERE regexp_matches(c, '{_PAREN}') AND NOT regexp_matches(c, '{_ALIAS}'))
-SELECT DISTINCT id, trim(subject) AS subject, predicate, trim(object) AS object FROM r WHERE trim(subject) != '' AND trim(object) != ''""",
+    "extract_triples": _WITH + f", k AS (SELECT id, trim(content) AS c FROM m WHERE content IS NOT NULL), {_TRIPLES} SELECT * FROM tr",
     "git_classify": _WITH + ", c AS (SELECT id, lower(content) AS s FROM m WHERE content IS NOT NULL), k AS (SELECT id, CASE WHEN starts_with(s, 'fix') OR contains(s, 'bugfix') OR contains(s, 'hotfix') THEN 1 WHEN starts_with(s, 'perf') OR contains(s, 'optimize') THEN 2 WHEN starts_with(s, 'refactor') OR starts_with(s, 'arch') THEN 3 WHEN contains(s, 'forbid') OR contains(s, 'prevent') OR contains(s, 'never') THEN 4 ELSE 5 END AS k FROM c)"
     " SELECT id, ['episodic', 'rule', 'architecture', 'negative_constraint', 'fact'][k] AS category, ['high', 'high', 'normal', 'critical', 'normal'][k] AS importance, ['success', 'neutral', 'neutral', 'neutral', 'neutral'][k] AS outcome FROM k",
     "slugify": _WITH + ", s AS (SELECT id, regexp_replace(substr(regexp_replace(trim(regexp_replace(lower(content), '[^A-Za-z0-9_\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 32), '-+$', '') AS s FROM m WHERE content IS NOT NULL) SELECT id, CASE WHEN s = '' THEN 'memory' ELSE s END AS slug FROM s",

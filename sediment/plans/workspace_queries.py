@@ -13,7 +13,7 @@ from sediment.operators import workspace as S
 from sediment.plans.belief_queries import _K, _PAIR
 from sediment.plans.common import AS_OF_SQL, FACTS_SQL, MEMORIES_SQL, facts, memories, now
 from sediment.plans.recall_queries import _FOUND, _RESONANT, _found, recall_resonance
-from sediment.plans.text_queries import _CAND, _NOISE, _NORM, _ci, _in, stage_candidates
+from sediment.plans.text_queries import _CAND, _NOISE, _NORM, _TRIPLES, _ci, _in, stage_candidates
 from sediment.sources import table
 
 
@@ -75,8 +75,7 @@ def trajectory_list(spark, d):
 
 
 def error_capture(spark, d):
-    n = table(spark, d, "notes").where("content is not null and lower(trim(role)) in ('tool', 'function')").select("id", F.col("content").alias("text")).distinct()
-    return S.captured_errors(n)
+    return S.captured_errors(table(spark, d, "notes").where("content is not null").select("id", F.col("content").alias("text")).distinct())
 
 
 def remember(spark, d):
@@ -177,13 +176,18 @@ SELECT *, 'Memories written: ' || writes || ' (' || guardrails || ' guardrails)
     "candidate_list": f"WITH {_CAND}, x AS (SELECT id, content, max(epoch_ms(timestamp)) AS created_ms FROM notes WHERE content IS NOT NULL GROUP BY ALL) SELECT s.id, confidence, kind, created_ms FROM s JOIN x ON x.id = s.id WHERE confidence >= 0.5 AND NOT ({_NOISE.replace('content', 's.content')} AND NOT {_ci('s.content', W.GUARD)}) AND NOT (confidence >= 0.8 AND kind IN ('negative_constraint', 'rule', 'hardware')) ORDER BY confidence DESC, created_ms DESC NULLS LAST, s.id LIMIT 20",
     "candidate_promote": f"WITH {_CAND}, x AS (SELECT DISTINCT id, content AS c2 FROM notes WHERE content IS NOT NULL) SELECT s.id, c2 AS content, kind AS category, CASE WHEN kind = 'negative_constraint' THEN 'high' ELSE 'normal' END AS importance, kind = 'negative_constraint' AS is_negative_constraint FROM s JOIN x ON x.id = s.id WHERE confidence >= 0.5 AND NOT ({_NOISE} AND NOT {_ci('content', W.GUARD)}) AND NOT (confidence >= 0.8 AND kind IN ('negative_constraint', 'rule', 'hardware'))",
     "trajectory_list": f"WITH x AS (SELECT id, lower(trim(content)) AS goal, max(epoch_ms(timestamp)) AS a FROM notes WHERE content IS NOT NULL AND {_TOOL} GROUP BY ALL) SELECT goal, count(*) AS n, max(a) AS last_ms FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 20",
-    "error_capture": f"WITH x AS (SELECT DISTINCT id, content FROM notes WHERE content IS NOT NULL AND {_TOOL} AND {_ci('content', W.FAILURE)}) SELECT 'remediation' AS kind, id, lower(trim(content)) AS text FROM x UNION ALL SELECT 'rule', id, 'Avoid: ' || trim(content) FROM x",
+    "error_capture": f"WITH x AS (SELECT DISTINCT id, content FROM notes WHERE content IS NOT NULL AND {_ci('content', W.FAILURE)}) SELECT 'remediation' AS kind, id, lower(trim(content)) AS text FROM x UNION ALL SELECT 'rule', id, 'Avoid: ' || trim(content) FROM x",
     "remember": _M + f""", {_SAID}, r AS (SELECT id, content, {_NEGATIVE} AS neg, sha256({_NORM}) AS fp FROM n),
 k AS (SELECT sha256({_NORM}) AS fp, is_negative_constraint AS neg, arg_min(id, (created_at, id)) AS known FROM m WHERE is_active AND content IS NOT NULL GROUP BY ALL),
 z AS (SELECT r.*, known, min(id) OVER (PARTITION BY fp, neg) AS first FROM r LEFT JOIN (SELECT fp, neg, min(known) AS known FROM k GROUP BY ALL) k USING (fp, neg))
 SELECT id, CASE WHEN {_NOISE} AND NOT neg THEN 'dropped' WHEN known IS NOT NULL THEN 'reinforced' WHEN id = first THEN 'inserted' ELSE 'reinforced' END AS action,
   CASE WHEN {_NOISE} AND NOT neg THEN NULL WHEN known IS NOT NULL THEN known WHEN id != first THEN first END AS target, neg AS is_negative_constraint,
   CASE WHEN neg THEN 'imperative' ELSE 'declarative' END AS memory_type, CASE WHEN {_ci('content', W.FAILURE)} THEN 'failure' ELSE 'neutral' END AS outcome FROM z""",
+    "extract_and_upsert": f"WITH {FACTS_SQL}, {_SAID}, k AS (SELECT id, trim(content) AS c FROM n WHERE ts IS NOT NULL), {_TRIPLES}" + f""",
+a AS (SELECT created_at AS ts, 0 AS fresh, id, '' AS b, subject, predicate, object FROM t UNION ALL SELECT ts, 1, tr.id, concat_ws(chr(1), predicate, object, subject), subject, predicate, object FROM tr JOIN n ON n.id = tr.id),
+c AS (SELECT *, lower(subject) AS ks, lower(object) AS ko FROM a WHERE subject IS NOT NULL AND predicate IS NOT NULL AND object IS NOT NULL AND ts IS NOT NULL),
+p AS (SELECT *, lag(ko) OVER (PARTITION BY ks, predicate ORDER BY ts, fresh, id, b) AS prev, CASE WHEN {_PAIR} IS NOT NULL THEN lag(predicate) OVER (PARTITION BY ks, {_PAIR}, ko ORDER BY ts, fresh, id, b) END AS pp FROM c)
+SELECT id, subject, predicate, object, CASE WHEN pp != predicate THEN 'superseded' WHEN prev IS NULL THEN 'inserted' WHEN prev = ko THEN 'reinforced' ELSE 'updated' END AS action FROM p WHERE fresh = 1""",
     "delete_fact": _MF + "h AS (SELECT id FROM m WHERE contradiction_count >= 2 AND is_active) SELECT 'memory' AS kind, id FROM h UNION ALL SELECT 'triple', t.id FROM t JOIN h ON h.id = t.memory_id WHERE t.is_active",
     "timeline_of": _MF + """o AS (SELECT * FROM m WHERE id = (SELECT min(id) FROM m WHERE contains(lower(content), 'event log'))),
 x AS (SELECT id AS memory_id, 'CREATED' AS event, created_at AS ts FROM o UNION ALL SELECT id, 'MUTATED', updated_at FROM o WHERE updated_at > created_at

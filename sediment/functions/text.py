@@ -152,13 +152,16 @@ def commit_class(subject: Column) -> Column:
 def triples(c: Column) -> Column:
     """array<struct(subject, predicate, object)> of the facts a text states: port listeners and declarative
     verbs per clause, guardrails and aliases per text."""
-    text = F.trim(c)
+    text = F.translate(F.trim(c), "\x01", " ")
     clauses = F.filter(
-        F.transform(F.split(text, r"(?i)\s*[;!?]\s+|\s*\.\s+|\s+(?:and|dan|serta)\s+"), lambda x: F.regexp_replace(F.trim(x), "[.,;]$", "")), lambda x: x != ""
+        F.transform(F.split(text, W.CLAUSE_END), lambda x: F.regexp_replace(F.trim(x), "[.,;]$", "")), lambda x: x != ""
     )
     fact = lambda s, p, o: F.struct(F.trim(s).alias("subject"), p.alias("predicate"), F.trim(o).alias("object"))
-    port = r"(?i)([A-Za-z0-9_\-.\s]+?)\s+(?:berjalan di|listens on|running on|menggunakan port|port)\s+(?:port\s+)?(\d{2,5})"
-    verb = rf"(?i)([A-Za-z0-9_\-.\s]+?)\s+({W.VERBS})\s+(.+)"
+    def parts(pattern: str, sign: str) -> Column:
+        """Of each clause the groups of the first match; clauses without the sign that every match holds are not tried,
+        as looking for a subject takes long where there is none."""
+        cut = lambda x: F.when(x.rlike(sign), F.split(F.regexp_replace(x, pattern, "\x01$1\x01$2\x01$3\x01"), "\x01"))
+        return F.filter(F.transform(clauses, cut), lambda p: F.size(p) > 3)
 
     def predicate(raw: Column) -> Column:
         p = F.regexp_replace(F.upper(F.trim(raw)), r"\s+", "_")
@@ -167,15 +170,11 @@ def triples(c: Column) -> Column:
             out = F.when(p.isin(spellings), F.lit(name)).otherwise(out)
         return out
 
-    listens = F.transform(F.filter(clauses, lambda x: x.rlike(port)), lambda x: fact(F.regexp_extract(x, port, 1), F.lit("LISTENS_ON_PORT"), F.regexp_extract(x, port, 2)))
-    states = F.transform(
-        F.filter(clauses, lambda x: x.rlike(verb)),
-        lambda x: fact(F.regexp_extract(x, verb, 1), predicate(F.regexp_extract(x, verb, 2)), F.regexp_replace(F.trim(F.regexp_extract(x, verb, 3)), "[.,;]$", "")),
-    )
+    listens = F.transform(parts(W.PORT, r"\s\d{2,5}"), lambda p: fact(p[1], F.lit("LISTENS_ON_PORT"), p[2]))
+    states = F.transform(parts(W.STATEMENT, rf"(?i)\s(?:{W.VERBS})\s"), lambda p: fact(p[1], predicate(p[2]), F.regexp_replace(F.trim(p[3]), "[.,;]$", "")))
     none = F.array().cast("array<struct<subject:string,predicate:string,object:string>>")
-    guard = F.when(text.rlike(r"(?i)ram\s+\d+gb|jangan\s+(pernah\s+)?build|dilarang|never\s+run"), F.array(fact(F.lit("SafetyGuardrail"), F.lit("FORBIDS"), F.substring(text, 1, 100)))).otherwise(none)
-    alias = r"(?i)([A-Za-z0-9_\-]+)\s+(?:alias|aka|known as|disebut juga|is alias of)\s+([A-Za-z0-9_\-]+)"
-    paren = r"(?i)([A-Za-z0-9_\-]+)\s*\(([A-Za-z0-9_\-]+)\)"
+    guard = F.when(text.rlike(W.GUARDRAIL), F.array(fact(F.lit("SafetyGuardrail"), F.lit("FORBIDS"), F.substring(text, 1, 100)))).otherwise(none)
+    alias, paren = W.ALIAS, W.ABBREVIATION
     named = (
         F.when(text.rlike(alias), F.array(fact(F.lower(F.regexp_extract(text, alias, 1)), F.lit("ALIAS_OF"), F.regexp_extract(text, alias, 2))))
         .when(text.rlike(paren), F.array(fact(F.lower(F.regexp_extract(text, paren, 2)), F.lit("ALIAS_OF"), F.regexp_extract(text, paren, 1))))

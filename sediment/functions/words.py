@@ -38,6 +38,13 @@ VERBS = (
     r"prefers?|likes?|dislikes?|does not like|doesn't like|does not prefer|doesn't prefer|loves?|hates?|uses?|requires?|needs?|builds with|deploys via|deploys to|runs on"
     r"|is constrained by|suka|benci|tidak suka|gemar|memerlukan|menggunakan|memakai|berjalan di|mendeploy ke|menyimpan data di"
 )
+# Ends of clauses, and the forms of statements: port, verb, guardrail, alias, abbreviation.
+CLAUSE_END = r"(?i)\s*[;!?]\s+|\s*\.\s+|\s+(?:and|dan|serta)\s+"
+PORT = r"(?i)([A-Za-z0-9_\-.\s]+?)\s+(?:berjalan di|listens on|running on|menggunakan port|port)\s+(?:port\s+)?(\d{2,5})()"
+STATEMENT = rf"(?i)([A-Za-z0-9_\-.\s]+?)\s+({VERBS})\s+(.+)"
+GUARDRAIL = r"(?i)ram\s+\d+gb|jangan\s+(pernah\s+)?build|dilarang|never\s+run"
+ALIAS = r"(?i)([A-Za-z0-9_\-]+)\s+(?:alias|aka|known as|disebut juga|is alias of)\s+([A-Za-z0-9_\-]+)"
+ABBREVIATION = r"(?i)([A-Za-z0-9_\-]+)\s*\(([A-Za-z0-9_\-]+)\)"
 # Categories and wordings of passing remarks.
 NOISE_CATEGORIES = ["episodic", "session", "task_progress"]
 NOISE_START = r"^(done|ok|sip|siap|sedang mengerjakan|working on|in progress|step \d|running command|exit code \d|stdout:|stderr:)"

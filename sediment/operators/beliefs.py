@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from sediment.functions import text as T
 from sediment.functions import words as W
-from sediment.operators.segments import carry_lag, carry_lead, range_segments
+from sediment.operators.segments import carry_lag, carry_lead, carry_sum, range_segments
 from sediment.operators.skew import lookup_join
 
 ORDER = ["created_at", "id"]
@@ -219,22 +219,31 @@ def receipts(memories: DataFrame, as_of: Column) -> DataFrame:
     return memories.select("id", F.sha2(what, 256).alias("receipt"))
 
 
+#: Steps of a key that are folded at a time.
+FOLDED = 4_096
+
+
 def rated(events: DataFrame, keys: list[str], start: float = 1.0) -> DataFrame:
     """Confidence after all verdicts in order: +0.05 for helped, -0.15 for misled, within [0.05, 1] after
-    each. A clamped step x -> min(hi, max(lo, x + a)) composes with the next into one of the same form, so
-    the log is folded per hour first and the hours after each other."""
+    each. A clamped step x -> min(hi, max(lo, x + a)) composes with the next into one of the same form, so the log
+    of a key of any size is folded FOLDED steps at a time, then the folds, and so on."""
     step = F.when(F.col("verdict") == "helped", 0.05).otherwise(-0.15)
-    hour = events.withColumn("hour", F.date_trunc("hour", "at")).groupBy(*keys, "hour").agg(F.sort_array(F.collect_list(F.struct("at", "seq", step.alias("a")))).alias("s"))
+    seg = range_segments(events.select(*keys, "at", "seq", step.alias("add")), keys, ["at", "seq"])
+    rows = carry_sum(seg, keys, ["at", "seq"], F.lit(1).cast("long"), "nth")
+    one = F.struct(F.lit(0.05).alias("lo"), F.lit(1.0).alias("hi"), F.col("add"))
+    rows = rows.select(*keys, "nth", one.alias("f"))
     zero = F.struct(F.lit(-10.0).alias("lo"), F.lit(10.0).alias("hi"), F.lit(0.0).alias("add"))
 
-    def then(f: Column, a: Column, lo: Column, hi: Column) -> Column:
-        clip = lambda x: F.least(hi, F.greatest(lo, x))
-        return F.struct(clip(f["lo"] + a).alias("lo"), clip(f["hi"] + a).alias("hi"), (f["add"] + a).alias("add"))
+    def then(f: Column, g: Column) -> Column:
+        clip = lambda x: F.least(g["hi"], F.greatest(g["lo"], x + g["add"]))
+        return F.struct(clip(f["lo"]).alias("lo"), clip(f["hi"]).alias("hi"), (f["add"] + g["add"]).alias("add"))
 
-    one = hour.select(*keys, "hour", F.aggregate("s", zero, lambda f, x: then(f, x["a"], F.lit(0.05), F.lit(1.0))).alias("f"))
-    all_hours = one.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("hour", "f"))).alias("d"))
+    for _ in range(3):  # FOLDED ** 3 steps of a key, and as many again below
+        part = rows.groupBy(*keys, F.floor(F.col("nth") / FOLDED).alias("nth")).agg(F.sort_array(F.collect_list(F.struct(F.col("nth").alias("n"), "f"))).alias("s"))
+        rows = part.select(*keys, "nth", F.aggregate("s", zero, lambda f, x: then(f, x["f"])).alias("f"))
+    last = rows.groupBy(*keys).agg(F.sort_array(F.collect_list(F.struct("nth", "f"))).alias("d"))
     end = F.aggregate("d", F.lit(float(start)), lambda x, d: F.least(d["f"]["hi"], F.greatest(d["f"]["lo"], x + d["f"]["add"])))
-    return all_hours.select(*keys, F.round(end, 6).alias("confidence"))
+    return last.select(*keys, F.round(end, 6).alias("confidence"))
 
 
 def timeline(memories: DataFrame, facts: DataFrame) -> DataFrame:

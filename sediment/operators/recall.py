@@ -10,6 +10,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as T
+from sediment.functions import words as W
 from sediment.operators.leaders import unit_vectors
 from sediment.operators.retrieval import cosine, importance_boost, validity_left
 from sediment.operators.skew import lookup_join
@@ -116,6 +117,24 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, lexical: DataFrame, q
     return best(by_word.where("kept").drop("kept").unionByName(others), limit, least)
 
 
+def drifted(said: DataFrame, memories: DataFrame, vectors: DataFrame, least: float = 0.40) -> DataFrame:
+    """(id, against, similarity) of statements (id, content, vector) that are close to another active memory, its cosine
+    being at least ``least``, and whose wording marks a change: the memory nearest to it (equal ones: the smaller id).
+    A statement that is stored itself is not compared with itself; unusable vectors are near nothing."""
+    alive = memories.where("is_active").select("id")
+    stored = vectors.where("memory_id is not null").where(_usable("vector")).groupBy(F.col("memory_id").alias("id")).agg(F.min("vector").alias("v"))
+    factor = F.lit(1.0 / WITH_VECTOR[0])  # the signal of a vector alone, without its weight
+    rows = unit_vectors(lookup_join(stored, alive, "id", "left_semi")).select("id", F.lit(0.0).alias("base"), factor.alias("factor"), F.lit(1.0).alias("usage"), F.lit(False).alias("neg"), "u")
+    change = F.lit(False)
+    for w in W.CONTRAST:
+        change = change | F.lower("content").contains(w)
+    turns = said.where("content is not null").where(change).where(_usable("vector")).groupBy("id").agg(F.min("vector").alias("v"))
+    near = _by_vector(rows, unit_vectors(turns).select(F.col("id").alias("query_id"), "u"), 2).where("query_id != id")
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
+    first = near.withColumn("_n", F.row_number().over(w)).where("_n = 1").where(F.col("score") >= least)
+    return first.select(F.col("query_id").alias("id"), F.col("id").alias("against"), F.round("score", 2).alias("similarity"))
+
+
 def best(scored: DataFrame, limit: int, least: float = 0.0) -> DataFrame:
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return scored.where(F.col("score") >= least).withColumn("rank", F.row_number().over(w)).where(F.col("rank") <= limit)

@@ -46,7 +46,8 @@ def broken_references(triples: DataFrame, links: DataFrame, memories: DataFrame)
     A reference whose own time is null has a null period and is never late. Empty tables give no rows,
     or, when memories is empty, every reference as missing."""
     refs = reference_rows(triples, links)
-    merged = lookup_join(refs, parent_intervals(memories), "ref_id", "left")
+    ids = triples.select(F.col("memory_id").alias("ref_id")).union(links.select("source_id")).union(links.select("target_id"))
+    merged = lookup_join(refs, parent_intervals(memories), "ref_id", "left", counted=ids)
     reason = (
         F.when(F.col("deleted").isNull(), "missing")
         .when(F.col("deleted") & F.col("active"), "deleted")

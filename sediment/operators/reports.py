@@ -147,8 +147,8 @@ def calibrated(queries: DataFrame, trajectories: DataFrame, limit: int = 5) -> D
     q = queries.select("query_id", low.alias("whole"), F.array_distinct(F.filter(F.split(low, r"[^a-z0-9_./-]+"), lambda w: F.length(w) > 2)).alias("ws"))
     t = trajectories.select("id", F.lower("goal").alias("goal"))
     words = t.select("id", F.explode(F.array_distinct(F.split("goal", r"[^a-z0-9_./-]+"))).alias("w"))
-    met = words.join(F.broadcast(q.select("query_id", F.explode("ws").alias("w"))), "w").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
-    whole = met.join(t, "id").join(F.broadcast(q.select("query_id", "whole")), "query_id")
+    met = words.join(q.select("query_id", F.explode("ws").alias("w")), "w").groupBy("query_id", "id").agg(F.count(F.lit(1)).alias("n"))
+    whole = met.join(t, "id").join(q.select("query_id", "whole"), "query_id")
     score = 2 * F.col("n") + F.when(F.col("goal").contains(F.col("whole")), 10).otherwise(0)
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return whole.select("query_id", "id", score.alias("score")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= limit).drop("_n")

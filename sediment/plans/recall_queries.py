@@ -51,7 +51,15 @@ def recall_effects(spark, d):
     return C.side_effects(_found(spark, d))[1]
 
 
-QUERIES = {f.__name__: f for f in (recall_hybrid, recall_resonance, recall_graph, recall_triples, recall_effects)}
+def drift_alerts(spark, d):
+    """Stored statements that mark a change, against what they are closest to."""
+    m = memories(spark, d)
+    v = table(spark, d, "memory_vectors")
+    said = m.select("id", "content").join(v.select(F.col("memory_id").alias("id"), "vector"), "id")
+    return C.drifted(said, m, v)
+
+
+QUERIES = {f.__name__: f for f in (drift_alerts, recall_hybrid, recall_resonance, recall_graph, recall_triples, recall_effects)}
 
 _QUERY = _BM25.replace("qu AS (SELECT working_style AS text, min(id) AS query_id FROM personas WHERE working_style IS NOT NULL GROUP BY 1)", "qu AS (SELECT content AS text, id AS query_id FROM m WHERE id % 50 = 0 AND content IS NOT NULL)")
 assert _QUERY != _BM25
@@ -97,7 +105,14 @@ _GRAPH += f""", pm AS (SELECT query_id, substr(node, 2)::BIGINT AS id, round(pr,
 g1 AS (SELECT query_id, id, CASE WHEN score IS NOT NULL THEN score + 0.25 * coalesce(pr, 0.0) WHEN pr > 0.05 THEN 0.4 * pr END AS score FROM f1 FULL JOIN pm USING (query_id, id)),
 f2 AS (SELECT * FROM (SELECT query_id, id, round(least(1.0, greatest(0.0, score)), 9) AS score, row_number() OVER (PARTITION BY query_id ORDER BY round(least(1.0, greatest(0.0, score)), 9) DESC, id) AS rank FROM g1 WHERE score IS NOT NULL) WHERE rank <= 5)"""
 
+_CHANGE = " OR ".join(f"contains(lower(content), '{w}')" for w in W.CONTRAST)
+
 ORACLE = {
+    "drift_alerts": f"WITH {MEMORIES_SQL}" + """, vs AS (SELECT memory_id, min(CAST(vector AS DOUBLE[])) AS v FROM memory_vectors WHERE memory_id IS NOT NULL AND len(vector) > 0 AND NOT list_contains(list_transform(vector, lambda x: isfinite(x)), false)
+  AND list_contains(list_transform(vector, lambda x: x != 0), true) GROUP BY 1),
+x AS (SELECT a.id, b.id AS against, round(CASE WHEN len(p.v) = len(q.v) THEN list_cosine_similarity(p.v, q.v) END, 6) AS c FROM m a JOIN vs p ON p.memory_id = a.id CROSS JOIN m b JOIN vs q ON q.memory_id = b.id
+  WHERE b.is_active AND a.id != b.id AND (""" + _CHANGE.replace("content", "a.content") + """)),
+r AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY c DESC NULLS LAST, against) AS rn FROM x) SELECT id, against, round(c, 2) AS similarity FROM r WHERE rn = 1 AND c >= 0.4""",
     "recall_hybrid": _FOUND + " SELECT query_id, id, score, rank FROM f0",
     "recall_resonance": _FOUND + _RESONANT + " SELECT query_id, id, score, rank FROM f1",
     "recall_graph": _FOUND + _RESONANT + _GRAPH + " SELECT query_id, id, score, rank FROM f2",

@@ -12,9 +12,10 @@ from sediment.operators import beliefs as B
 from sediment.operators import reports as P
 from sediment.operators.leaders import leader_clusters
 from sediment.plans.common import AS_OF_SQL, FACTS_SQL, LINKS_SQL, MEMORIES_SQL, facts, links, memories, now
-from sediment.plans.text_queries import _ALIAS, _NORM, _PAREN, _ci
+from sediment.plans.text_queries import _ALIAS, _NORM, _PAREN, _TRIPLES, _ci
 from sediment.sources import table
-from sediment.streaming import activity, read_table
+from sediment.runtime import checkpoint_dir
+from sediment.streaming import activity, read_table, run_available
 
 
 #: Smallest memory id of the tables.
@@ -132,21 +133,23 @@ def vault_export(spark, d):
 
 
 def dream_delta(spark, d):
-    """Notes beyond a watermark: those that state a habit, and how many triples they hold."""
-    n = table(spark, d, "notes").where("id > 1500 and content is not null").select("id", "content").distinct()
-    return n.where(T.matches(F.col("content"), W.HABIT)).select("id", T.fingerprint(F.col("content")).alias("fp"))
+    """Notes beyond the watermark (all, as nothing was dreamt so far) that state a habit, and the triples in them."""
+    n = table(spark, d, "notes").where("id > 0 and content is not null").select("id", "content").distinct()
+    habit = n.where(T.matches(F.col("content"), W.HABIT))
+    return habit.select("id", T.fingerprint(F.col("content")).alias("fp"), F.size(F.array_distinct(T.triples(F.col("content")))).alias("triples"))
 
 
 def dream_synthesis(spark, d):
-    """Topics of at least two memories without reflection so far: categories and tags that go together."""
+    """Topics of at least two memories without reflection so far: categories and tags that go together. A tag is
+    known if a reflection bears it and names it."""
     m = memories(spark, d).where("is_active").select("id", "category", F.explode("tags").alias("tag")).distinct()
-    known = memories(spark, d).where("category = 'reflection'").select(F.explode("tags").alias("tag")).groupBy("tag").agg(F.count(F.lit(1)).alias("r")).where("r >= 40").select("tag")
+    known = memories(spark, d).where("category = 'reflection'").select("content", F.explode("tags").alias("tag")).where(F.lower("content").contains(F.lower("tag"))).select("tag").distinct()
     g = m.groupBy("category", "tag").agg(F.count(F.lit(1)).alias("n")).where("n >= 2")
     return g.join(known, "tag", "left_anti").select("category", "tag", "n")
 
 
 def ingest(spark, d):
-    """What becomes of each note: dropped as noise, stored as fact (it states a triple) or kept as note only."""
+    """What becomes of each note: dropped as noise, stored as fact (it is an order or a rule) or kept as note only."""
     n = table(spark, d, "notes").where("content is not null").select("id", "content").distinct()
     c = F.col("content")
     route = F.when(T.is_noise(c, F.lit(None).cast("string")), "noise").when(T.matches(c, W.IMPERATIVE), "fact").otherwise("note")
@@ -154,9 +157,11 @@ def ingest(spark, d):
 
 
 def vault_import(spark, d):
-    """The exported files, some edited, read back against the store."""
-    files = P.vault_files(memories(spark, d)).withColumn("doc", F.when(F.col("id") % 7 == 0, F.concat("doc", F.lit(" edited"))).otherwise(F.col("doc")))
-    return P.vault_changes(files, memories(spark, d).where("id % 11 != 0"))
+    """The exported files, those of weighty memories edited, read back against a store without preferences."""
+    m = memories(spark, d)
+    weighty = m.select("id", (F.col("importance") == "high").alias("weighty"))
+    files = P.vault_files(m).join(weighty, "id").withColumn("doc", F.when(F.col("weighty"), F.concat("doc", F.lit(" edited"))).otherwise(F.col("doc")))
+    return P.vault_changes(files, m.where("category is null or category != 'preference'"))
 
 
 def pack_import(spark, d):
@@ -176,11 +181,10 @@ def leader_cluster(spark, d):
 
 
 def stream_activity(spark, d):
-    """Events as a stream, counted by day and type."""
-    name = "activity_" + uuid.uuid4().hex
-    q = activity(read_table(spark, f"{d}/events.parquet")).writeStream.outputMode("complete").format("memory").queryName(name).trigger(availableNow=True).start()
-    q.awaitTermination()
-    return spark.table(name).select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
+    """Events as a stream, counted by day and type; the counts so far are written anew with each batch."""
+    base = f"{checkpoint_dir(spark)}/activity-{uuid.uuid4().hex}"
+    run_available(activity(read_table(spark, f"{d}/events.parquet")), "", f"{base}/state", "complete", lambda batch, _: batch.write.mode("overwrite").parquet(f"{base}/counts"))
+    return spark.read.parquet(f"{base}/counts").select(F.unix_millis("start").alias("start_ms"), "event_type", "n")
 
 
 QUERIES = {
@@ -234,7 +238,7 @@ SELECT doc_id AS id, CASE WHEN nm IS NULL THEN 'unlinked' WHEN doc_id % 3 != 0 A
     "vault_export": _M + """, v AS (SELECT *, regexp_replace(substr(regexp_replace(trim(regexp_replace(lower(content), '[^A-Za-z0-9_\\s-]', '', 'g')), '\\s+', '-', 'g'), 1, 28), '-+$', '') AS s FROM m WHERE is_active AND content IS NOT NULL)
 SELECT id, CASE WHEN is_negative_constraint THEN 'rules' ELSE category || 's' END AS folder, CASE WHEN s = '' THEN 'memory' ELSE s END || '-' || id || '.md' AS file,
   concat_ws(chr(10), '---', 'id: "' || id || '"', 'scope: "' || scope || '"', 'category: "' || category || '"', 'importance: "' || importance || '"', 'is_negative_constraint: ' || is_negative_constraint, '---', '') || chr(10) || content AS doc FROM v""",
-    "vault_import": _M + "SELECT id, CASE WHEN id % 11 = 0 THEN 'insert' ELSE 'update' END AS action FROM m WHERE is_active AND content IS NOT NULL AND (id % 11 = 0 OR id % 7 = 0)",
+    "vault_import": _M + "SELECT id, CASE WHEN category = 'preference' THEN 'insert' ELSE 'update' END AS action FROM m WHERE is_active AND content IS NOT NULL AND (category = 'preference' OR importance = 'high')",
     "pack_import": _M + "SELECT id, content, scope FROM m WHERE is_active",
     "session_status": f"""WITH s AS (SELECT session_id AS session, min(timestamp) AS began, max(timestamp) AS last, arg_min(coalesce(peer, chr(0)), (timestamp, id)) AS peer FROM notes WHERE session_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1),
 n AS (SELECT *, lead(began) OVER (PARTITION BY peer ORDER BY began, session) AS nxt FROM s)
@@ -243,9 +247,10 @@ SELECT session, CASE WHEN peer != chr(0) AND coalesce(nxt < last, false) THEN 'a
 x AS (SELECT lower(regexp_extract(c, '{_ALIAS}', 1)) AS alias, regexp_extract(c, '{_ALIAS}', 2) AS o, created_at, id FROM a WHERE regexp_matches(c, '{_ALIAS}')
   UNION ALL SELECT lower(regexp_extract(c, '{_PAREN}', 2)), regexp_extract(c, '{_PAREN}', 1), created_at, id FROM a WHERE regexp_matches(c, '{_PAREN}') AND NOT regexp_matches(c, '{_ALIAS}'))
 SELECT alias, arg_max(o, (created_at, id)) AS canonical FROM x GROUP BY alias""",
-    "dream_delta": f"SELECT DISTINCT id, substr(sha256({_NORM}), 1, 16) AS fp FROM notes WHERE id > 1500 AND content IS NOT NULL AND {_ci('content', W.HABIT)}",
+    "dream_delta": f"WITH n AS (SELECT DISTINCT id, content FROM notes WHERE id > 0 AND content IS NOT NULL AND {_ci('content', W.HABIT)}), z AS (SELECT *, row_number() OVER (ORDER BY id, content) AS nr FROM n), k AS (SELECT nr AS id, trim(content) AS c FROM z), {_TRIPLES}, "
+    f"q AS (SELECT id AS nr, count(*) AS c FROM tr GROUP BY 1) SELECT z.id, substr(sha256({_NORM}), 1, 16) AS fp, coalesce(q.c, 0)::INT AS triples FROM z LEFT JOIN q USING (nr)",
     "dream_synthesis": _M + """, e AS (SELECT DISTINCT id, category, unnest(tags) AS tag FROM m WHERE is_active),
-k AS (SELECT tag FROM (SELECT unnest(tags) AS tag FROM m WHERE category = 'reflection') GROUP BY tag HAVING count(*) >= 40)
+k AS (SELECT tag FROM (SELECT content, unnest(tags) AS tag FROM m WHERE category = 'reflection') WHERE contains(lower(content), lower(tag)))
 SELECT category, tag, count(*) AS n FROM e WHERE tag NOT IN (SELECT tag FROM k) GROUP BY ALL HAVING count(*) >= 2""",
     "stream_activity": "SELECT epoch_ms(date_trunc('day', ts)::TIMESTAMP) AS start_ms, event_type, count(*) AS n FROM events GROUP BY ALL",
     "ingest": f"SELECT DISTINCT id, CASE WHEN {_ci('lower(trim(content))', W.NOISE_START)} OR {_ci('lower(content)', W.NOISE_WORDS)} THEN 'noise' WHEN {_ci('content', W.IMPERATIVE)} THEN 'fact' ELSE 'note' END AS route FROM notes WHERE content IS NOT NULL",

@@ -22,6 +22,7 @@ def session(app: str = "sediment", cores: int | None = None, **conf: str) -> Spa
         .config("spark.ui.enabled", "false")
         .config("spark.ui.showConsoleProgress", "false")
         .config("spark.sql.execution.arrow.pyspark.enabled", "true")
+        .config("spark.cleaner.referenceTracking.cleanCheckpoints", "true")
         .config("spark.driver.memory", "8g")
     )
     for k, v in conf.items():
@@ -44,6 +45,11 @@ def ensure_checkpoint_dir(spark: SparkSession) -> None:
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
 
 
+def checkpoint_dir(spark: SparkSession) -> str:
+    ensure_checkpoint_dir(spark)
+    return spark.sparkContext._jsc.sc().getCheckpointDir().get()
+
+
 def materialize(df: DataFrame) -> DataFrame:
     """Reliable checkpoint: cuts the lineage and survives the loss of executors."""
     ensure_checkpoint_dir(df.sparkSession)

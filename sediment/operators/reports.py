@@ -163,11 +163,17 @@ def staleness(anchors: DataFrame, files: DataFrame) -> DataFrame:
     return j.select("id", status.alias("status"))
 
 
-def pack_rows(memories: DataFrame, facts: DataFrame) -> DataFrame:
-    """(kind, id, line) of a portable pack: active memories and their active triples, one JSON line each."""
-    m = memories.where("is_active").select(F.lit("memory").alias("kind"), "id", F.to_json(F.struct("id", "content", "scope")).alias("line"))
-    t = facts.where("is_active").select(F.lit("triple").alias("kind"), "id", F.to_json(F.struct("subject", "predicate", "object")).alias("line"))
-    return m.unionByName(t)
+def pack_rows(memories: DataFrame, facts: DataFrame, aliases: DataFrame | None = None) -> DataFrame:
+    """(kind, id, parent, line) of a portable pack: active memories, their active triples (parent is the memory) and
+    aliases (alias, canonical) if given, one JSON line each."""
+    m = memories.where("is_active").select(F.lit("memory").alias("kind"), "id", F.lit(None).cast("long").alias("parent"), F.to_json(F.struct("id", "content", "scope")).alias("line"))
+    t = facts.where("is_active").select(F.lit("triple").alias("kind"), "id", F.col("memory_id").alias("parent"), F.to_json(F.struct("subject", "predicate", "object")).alias("line"))
+    t = t.join(m.select(F.col("id").alias("parent")), "parent", "left_semi").select("kind", "id", "parent", "line")
+    out = m.unionByName(t)
+    if aliases is not None:
+        none = F.lit(None).cast("long")
+        out = out.unionByName(aliases.select(F.lit("alias").alias("kind"), none.alias("id"), none.alias("parent"), F.to_json(F.struct("alias", "canonical")).alias("line")))
+    return out
 
 
 def pack_checksum(rows: DataFrame) -> DataFrame:
@@ -209,9 +215,33 @@ def vault_changes(files: DataFrame, memories: DataFrame) -> DataFrame:
     return j.select("id", action.alias("action")).where("action is not null")
 
 
-def pack_memories(rows: DataFrame) -> DataFrame:
-    """(id, content, scope) of the memory lines of a pack."""
-    return rows.where("kind = 'memory'").select(F.from_json("line", "id long, content string, scope string").alias("m")).select("m.*")
+def verified_pack(rows: DataFrame, checksums: DataFrame) -> DataFrame:
+    """rows of a pack, if they have the checksums (kind, n, checksum) it was exported with; raises ValueError otherwise.
+    There is one checksum a kind of row."""
+    want, got = ({r["kind"]: (r["n"], r["checksum"]) for r in d.select("kind", "n", "checksum").collect()} for d in (checksums, pack_checksum(rows)))
+    if want != got:
+        raise ValueError(f"the pack was changed: {sorted(k for k in want.keys() | got.keys() if want.get(k) != got.get(k))}")
+    return rows
+
+
+def imported_pack(rows: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What the import of a pack does to a store: (old_id, id, action, content, scope) of its memories and (memory_id,
+    subject, predicate, object) of its triples.
+
+    A memory that the store holds already, active and equal but for case and punctuation, is ``reinforced`` under that
+    id; of equal ones in the pack the first is ``inserted`` and the others reinforce it. New ids follow the store's
+    largest in order of the old ones. Triples go with their memories; those whose memory is not in the pack are left out."""
+    m = rows.where("kind = 'memory'").select(F.from_json("line", "id long, content string, scope string").alias("m")).select(F.col("m.id").alias("old_id"), "m.content", "m.scope").where("old_id is not null and content is not null")
+    m = m.groupBy("old_id").agg(F.min(F.struct("content", "scope")).alias("m")).select("old_id", "m.*").withColumn("fp", F.sha2(T.normalized(F.col("content")), 256))
+    known = memories.where("is_active and content is not null").groupBy(F.sha2(T.normalized(F.col("content")), 256).alias("fp")).agg(F.min("id").alias("known"))
+    firsts = m.groupBy("fp").agg(F.min("old_id").alias("first")).join(known, "fp", "left")
+    above = memories.agg(F.coalesce(F.max("id"), F.lit(0)).alias("above")).join(m.agg(F.coalesce(F.min("old_id"), F.lit(0)).alias("low")))  # one row
+    j = lookup_join(m, firsts, "fp", "inner").join(F.broadcast(above))
+    fresh = F.col("known").isNull()
+    done = j.select("old_id", F.when(fresh, F.col("above") + 1 + F.col("first") - F.col("low")).otherwise(F.col("known")).alias("id"), F.when(fresh & (F.col("old_id") == F.col("first")), "inserted").otherwise("reinforced").alias("action"), "content", "scope")
+    t = rows.where("kind = 'triple'").select("parent", F.from_json("line", "subject string, predicate string, object string").alias("t"))
+    moved = lookup_join(t, done.select(F.col("old_id").alias("parent"), "id"), "parent", "inner").select(F.col("id").alias("memory_id"), "t.subject", "t.predicate", "t.object")
+    return done, moved.distinct()
 
 
 def session_status(notes: DataFrame, as_of: Column, idle: str = "1 day") -> DataFrame:

@@ -120,12 +120,18 @@ def staleness(spark, d):
     return P.staleness(a, s)
 
 
+def _pack(spark, d):
+    """All active memories and triples, with the persons named in the store as aliases."""
+    p = table(spark, d, "personas").where("name is not null").select(F.lower(F.trim("name")).alias("alias"), F.col("name").alias("canonical")).distinct()
+    return P.pack_rows(memories(spark, d), facts(spark, d), p)
+
+
 def pack_export(spark, d):
-    return P.pack_rows(memories(spark, d), facts(spark, d))
+    return _pack(spark, d).drop("parent")
 
 
 def pack_checksum(spark, d):
-    return P.pack_checksum(P.pack_rows(memories(spark, d), facts(spark, d)))
+    return P.pack_checksum(_pack(spark, d))
 
 
 def vault_export(spark, d):
@@ -164,8 +170,18 @@ def vault_import(spark, d):
     return P.vault_changes(files, m.where("category is null or category != 'preference'"))
 
 
+def _imported(spark, d):
+    """The pack of a whole store read into one that holds its facts only, after its checksums were compared."""
+    rows = _pack(spark, d)
+    return P.imported_pack(P.verified_pack(rows, P.pack_checksum(rows)), memories(spark, d).where("category = 'fact'"))
+
+
 def pack_import(spark, d):
-    return P.pack_memories(P.pack_rows(memories(spark, d), facts(spark, d)))
+    return _imported(spark, d)[0]
+
+
+def pack_import_triples(spark, d):
+    return _imported(spark, d)[1]
 
 
 def session_status(spark, d):
@@ -190,7 +206,7 @@ def stream_activity(spark, d):
 QUERIES = {
     f.__name__: f
     for f in (digest, doctor_audit, doctor_repair, standing_card, primer, active_rules, stats, reflect, graph_view, session_summary, rollup, usage_agg, project_hits, promotions, find_remediation, calibrate,
-              staleness, pack_export, pack_checksum, vault_export, vault_import, pack_import, session_status, auto_alias, leader_cluster, stream_activity, dream_delta, dream_synthesis, ingest)
+              staleness, pack_export, pack_checksum, vault_export, vault_import, pack_import, pack_import_triples, session_status, auto_alias, leader_cluster, stream_activity, dream_delta, dream_synthesis, ingest)
 }
 
 _M, _F, _MF = f"WITH {MEMORIES_SQL} ", f"WITH {FACTS_SQL} ", f"WITH {MEMORIES_SQL}, {FACTS_SQL} "
@@ -239,7 +255,19 @@ SELECT doc_id AS id, CASE WHEN nm IS NULL THEN 'unlinked' WHEN doc_id % 3 != 0 A
 SELECT id, CASE WHEN is_negative_constraint THEN 'rules' ELSE category || 's' END AS folder, CASE WHEN s = '' THEN 'memory' ELSE s END || '-' || id || '.md' AS file,
   concat_ws(chr(10), '---', 'id: "' || id || '"', 'scope: "' || scope || '"', 'category: "' || category || '"', 'importance: "' || importance || '"', 'is_negative_constraint: ' || is_negative_constraint, '---', '') || chr(10) || content AS doc FROM v""",
     "vault_import": _M + "SELECT id, CASE WHEN category = 'preference' THEN 'insert' ELSE 'update' END AS action FROM m WHERE is_active AND content IS NOT NULL AND (category = 'preference' OR importance = 'high')",
-    "pack_import": _M + "SELECT id, content, scope FROM m WHERE is_active",
+    "pack_export": f"WITH {MEMORIES_SQL}, {FACTS_SQL} SELECT 'memory' AS kind, id, to_json({{'id': id, 'content': content, 'scope': scope}})::VARCHAR AS line FROM m WHERE is_active "
+    "UNION ALL SELECT 'triple', t.id, to_json({'subject': subject, 'predicate': predicate, 'object': object})::VARCHAR FROM t JOIN m ON m.id = memory_id AND m.is_active WHERE t.is_active "
+    "UNION ALL SELECT DISTINCT 'alias', NULL, to_json({'alias': lower(trim(name)), 'canonical': name})::VARCHAR FROM personas WHERE name IS NOT NULL",
+    "pack_checksum": f"WITH {MEMORIES_SQL}, {FACTS_SQL}, w AS (SELECT 'memory' AS kind, to_json({{'id': id, 'content': content, 'scope': scope}})::VARCHAR AS line FROM m WHERE is_active "
+    "UNION ALL SELECT 'triple', to_json({'subject': subject, 'predicate': predicate, 'object': object})::VARCHAR FROM t JOIN m ON m.id = memory_id AND m.is_active WHERE t.is_active "
+    "UNION ALL SELECT 'alias', line FROM (SELECT DISTINCT to_json({'alias': lower(trim(name)), 'canonical': name})::VARCHAR AS line FROM personas WHERE name IS NOT NULL)), "
+    "h AS (SELECT kind, sha256(line) AS d FROM w) SELECT kind, count(*) AS n, sha256(concat_ws('|', " + ", ".join(f"sum(('0x' || substr(d, {15 * k + 1}, 12))::BIGINT)" for k in range(4)) + ")) AS checksum FROM h GROUP BY kind",
+    "pack_import": _M + f""", p AS (SELECT id AS old_id, content, scope, sha256({_NORM}) AS fp FROM m WHERE is_active AND content IS NOT NULL), k AS (SELECT sha256({_NORM}) AS fp, min(id) AS known FROM m WHERE category = 'fact' AND is_active AND content IS NOT NULL GROUP BY 1),
+z AS (SELECT p.*, known, min(old_id) OVER (PARTITION BY p.fp) AS first, (SELECT max(id) FROM m WHERE category = 'fact') AS above, (SELECT min(old_id) FROM p) AS low FROM p LEFT JOIN k USING (fp))
+SELECT old_id, coalesce(known, above + 1 + first - low) AS id, CASE WHEN known IS NULL AND old_id = first THEN 'inserted' ELSE 'reinforced' END AS action, content, scope FROM z""",
+    "pack_import_triples": f"WITH {MEMORIES_SQL}, {FACTS_SQL}" + f""", p AS (SELECT id AS old_id, sha256({_NORM}) AS fp FROM m WHERE is_active AND content IS NOT NULL), k AS (SELECT sha256({_NORM}) AS fp, min(id) AS known FROM m WHERE category = 'fact' AND is_active AND content IS NOT NULL GROUP BY 1),
+z AS (SELECT old_id, coalesce(known, (SELECT max(id) FROM m WHERE category = 'fact') + 1 + min(old_id) OVER (PARTITION BY p.fp) - (SELECT min(old_id) FROM p)) AS id FROM p LEFT JOIN k USING (fp))
+SELECT DISTINCT z.id AS memory_id, subject, predicate, object FROM t JOIN z ON z.old_id = t.memory_id WHERE t.is_active""",
     "session_status": f"""WITH s AS (SELECT session_id AS session, min(timestamp) AS began, max(timestamp) AS last, arg_min(coalesce(peer, chr(0)), (timestamp, id)) AS peer FROM notes WHERE session_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1),
 n AS (SELECT *, lead(began) OVER (PARTITION BY peer ORDER BY began, session) AS nxt FROM s)
 SELECT session, CASE WHEN peer != chr(0) AND coalesce(nxt < last, false) THEN 'abandoned' WHEN last > {AS_OF_SQL} - INTERVAL 1 DAY THEN 'active' ELSE 'ended' END AS status FROM n""",

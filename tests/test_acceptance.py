@@ -46,9 +46,20 @@ def test_engine(spark, small, tmp_path):
     for name in ("conflicts", "upserts", "sweep_expired", "evict", "timeline", "diff", "decay", "history", "doctor", "broken_references", "card", "rules", "digest", "prime", "sessions", "rollup", "communities"):
         getattr(e, name)().collect()
     e.export_pack(str(tmp_path / "pack"))
-    assert e.import_pack(str(tmp_path / "pack")).where("kind = 'memory'").count() == e.memories().where("is_active").count()
+    done, moved = e.import_pack(str(tmp_path / "pack"))
+    assert done.count() == e.memories().where("is_active and content is not null").count() and done.where("action = 'inserted'").count() == 0 and moved.count() > 0
+    e.read_pack(str(tmp_path / "pack")).where("id % 2 = 0").write.json(str(tmp_path / "torn" / "rows"))
+    spark.read.json(str(tmp_path / "pack" / "checksums")).write.json(str(tmp_path / "torn" / "checksums"))
+    with pytest.raises(ValueError):
+        e.import_pack(str(tmp_path / "torn"))
+    both = spark.createDataFrame([(1, "rate limiter", [1.0] * 128), (2, "nothing at all", None)], "query_id long, text string, vector array<float>")
+    found = e.recall_full(both)
+    assert {r.query_id for r in found.collect()} >= {1} and e.render(found).count() >= 1
+    for name in ("blocks", "rule_lines", "session_counters", "recent_sessions", "community_list", "table_counts"):
+        assert getattr(e, name)().count() > 0
+    assert e.delete_block("scratchpad").where("name = 'scratchpad'").count() == 0
     e.backup(str(tmp_path / "b"))
-    assert MemoryEngine(spark, str(tmp_path / "b")).memories().count() == e.memories().count()
+    assert e.restored(str(tmp_path / "b")).memories().count() == e.memories().count()
     assert e.delete_by_source().count() == 0
     with pytest.raises(TypeError):
         e.delete_by_source(nothing=1)

@@ -289,6 +289,26 @@ def test_truncated(spark):
     assert got[n] == "part" and got[n + 2] == "words" and got[n + 4] == "mark" and got[n + 6] == "structure"
 
 
+def test_many_grams_are_looked_up_the_same(spark, monkeypatch):
+    rng = random.Random(3)
+    things = ["shard map", "write lock", "event log"]
+    texts = [f"The {rng.choice('abcdef')} agent restarted the {rng.choice(things)} twice, yet latency fell by {rng.randint(10, 99)} percent." for _ in range(80)]
+    texts += ["The a agent restarted the sh", "The b agent restarted the shard map", "The c agent restarted the " + "w" * 100_000, "x" * 200_000, "The d agent restarted the" + " " * 60_000 + "write", "[" * 50_000, "- " * 30_000, "a [" + " " * 60_000 + "cut]", "b --" + " " * 60_000 + "more --"]
+    df = documents(spark, texts)
+    few = {r.doc_id: r.reason for r in truncation.judged(df).collect()}
+    monkeypatch.setattr(truncation, "BROADCAST_GRAMS", 0)
+    assert {r.doc_id: r.reason for r in truncation.judged(df).collect()} == few
+    assert few[80] == "part" and few[81] == "words" and few[87] == few[88] == "mark" and few[84] == "words" and len(few) == len(texts)
+
+
+def test_signs_of_a_cut(spark):
+    marks = {"so it ended [cut]": "so it ended", "so it (cont.)": "so it", "so <TRUNCATED >": "so", "so it -- more --": "so it", "so ---more---": "so", "so {snip}": "so"}
+    whole = ["a [cut] b", "[cut", "cut]", "so - more -", "more", "x [link]", "see (more) here"]
+    rows = [(i, t) for i, t in enumerate([*marks, *whole])]
+    got = {r.i: r.plain for r in truncation.without_mark(spark.createDataFrame(rows, "i int, body string")).collect()}
+    assert [got[i] for i in range(len(marks))] == list(marks.values()) and [got[len(marks) + i] for i in range(len(whole))] == whole
+
+
 def test_no_documents(spark):
     df = documents(spark, ["x"]).limit(0)
     assert truncation.truncated(df).count() == 0 and truncation.truncation_report(df).count() == 0

@@ -13,9 +13,9 @@ from collections.abc import Callable, Iterable, Iterator
 from dataclasses import dataclass
 from functools import lru_cache
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
+from pyspark.sql.types import ArrayType, StringType, StructField, StructType
 
 THRESHOLD = 0.5
 PLACEHOLDER = {"email": "[EMAIL]", "phone": "[PHONE]", "identity": "[ID]", "address": "[ADDRESS]", "name": "[NAME]", "bank_account": "[BANK_ACCOUNT]", "payment_card": "[CARD]"}
@@ -285,13 +285,17 @@ def listed_people(personas: DataFrame) -> list[str]:
     return sorted(r[0] for r in rows)
 
 
-def redacted(df: DataFrame, text: str, people: list[str]) -> DataFrame:
-    """df with a column ``pii``: struct(clean string, kinds array<string>) of its column text.
+def redacted(df: DataFrame, text: str, people: list[str], clean: bool = True) -> DataFrame:
+    """df with a column ``pii``: struct(clean string, kinds array<string>) of its column text; without ``clean`` the kinds
+    only, the texts being left where they are. A column of that name is replaced.
 
     Null and empty texts come out unchanged with no kinds; texts of any length are processed whole."""
+    kept = df.drop("pii")
+    at = kept.columns.index(text)
+    kinds = pa.list_(pa.string())
+    out = StructType([*kept.schema.fields, StructField("pii", StructType([StructField("clean", StringType()), StructField("kinds", ArrayType(StringType()))]))])
 
-    @F.pandas_udf("clean string, kinds array<string>")
-    def run(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = Names(people)
         known: dict[str, tuple[str | None, list[str]]] = {}  # short texts met before
 
@@ -305,8 +309,10 @@ def redacted(df: DataFrame, text: str, people: list[str]) -> DataFrame:
                 got = known[t] = redact(t, names)
             return got
 
-        for batch in batches:
-            out = [one(t) for t in batch]
-            yield pd.DataFrame({"clean": [x[0] for x in out], "kinds": [x[1] for x in out]})
+        for b in batches:
+            done = [one(t) for t in b.column(at).to_pylist()]
+            texts = pa.array([x[0] for x in done], pa.string()) if clean else pa.nulls(len(done), pa.string())
+            pii = pa.StructArray.from_arrays([texts, pa.array([x[1] for x in done], kinds)], names=["clean", "kinds"])
+            yield pa.RecordBatch.from_arrays([*b.columns, pii], names=[*b.schema.names, "pii"])
 
-    return df.withColumn("pii", run(F.col(text)))
+    return kept.mapInArrow(run, out)

@@ -23,17 +23,17 @@ def p5_conversations(spark, d):
     return conversations(table(spark, d, "notes")).select("session_id", "position", "note_id", "role", F.unix_millis("at").alias("at_ms"))
 
 
-def _with_pii(spark, d):
+def _with_pii(spark, d, clean=True):
     people = listed_people(table(spark, d, "personas"))
     parts = [
-        redacted(table(spark, d, t).where("id is not null").select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "content"), "content", people)
+        redacted(table(spark, d, t).where("id is not null").select(F.lit(t).alias("table_name"), F.col("id").alias("row_id"), "content"), "content", people, clean)
         for t in ("memories", "notes")
     ]
     return parts[0].unionByName(parts[1])
 
 
 def p6_found(spark, d):
-    kinds = _with_pii(spark, d).select("table_name", "row_id", F.explode("pii.kinds").alias("kind"))
+    kinds = _with_pii(spark, d, clean=False).select("table_name", "row_id", F.explode("pii.kinds").alias("kind"))
     return kinds.where(F.col("kind").isin(*ASKED)).distinct()
 
 

@@ -106,6 +106,23 @@ def fillings(sizes: list[int], order: list[int], room: int, most: int, keep: int
     return out, whole
 
 
+def fewest(sizes: list[int], capacity: int) -> int:
+    """A number of containers below which no packing can go: by the sum, and for each size a of at most half a container
+    by the items above capacity - a and above a half, which share no container, and what of the items of at least a does
+    not fit beside the latter."""
+    ordered = sorted(sizes)
+    sums = [0]
+    for x in ordered:
+        sums.append(sums[-1] + x)
+    out = -(-sums[-1] // capacity)
+    half = bisect_right(ordered, capacity // 2)
+    for a in sorted(set(ordered[:half])):
+        low, high = bisect_left(ordered, a), bisect_right(ordered, capacity - a)
+        room = (high - half) * capacity - (sums[high] - sums[half])
+        out = max(out, len(ordered) - half + max(0, -(-(sums[half] - sums[low] - room) // capacity)))
+    return out
+
+
 def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[list[int]], bool]:
     """(containers, proved): containers as lists of item indices, every item in exactly one, none above capacity;
     proved if no packing has fewer. All sizes must lie between 1 and capacity.
@@ -115,7 +132,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[
     fillings; what is found by then is never worse than best fit."""
     incumbent = best_fit(sizes, capacity)
     total = sum(sizes)
-    bound = -(-total // capacity)
+    bound = fewest(sizes, capacity)
     budget, proved = nodes, False
     first = sorted(range(len(sizes)), key=lambda i: (-sizes[i], i))
     for width, most in SEARCHES:

@@ -157,7 +157,8 @@ def test_proved_packings_are_the_best(seed):
         return min(out, fewest(left[1:], [*bins, capacity - left[0]]))
 
     bins, proved = packing.complete(sizes, capacity)
-    assert proved and len(bins) == fewest(sorted(sizes, reverse=True), [])
+    assert proved and len(bins) == fewest(sorted(sizes, reverse=True), []) >= packing.fewest(sizes, capacity)
+    assert packing.fewest([11] * 5 + [9], 20) == 5 and packing.fewest([11] * 5 + [10] * 3, 20) == 7 and packing.fewest([], 20) == 0
 
 
 def test_many_containers_are_searched_without_recursion():

@@ -73,27 +73,35 @@ def _bullet(line: Column) -> Column:
 
 
 def _lines(rows: DataFrame, *keep: str) -> DataFrame:
-    """rows with the words w of their column line, the digests h of the words and the line's bullet."""
-    cells = rows.select(*keep, _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w"))
-    return cells.withColumn("h", F.transform("w", lambda x: F.xxhash64(x)))
+    """rows with the words w of their column line and the line's bullet."""
+    return rows.select(*keep, _bullet(F.col("line")).alias("bullet"), _words(F.col("line")).alias("w"))
 
 
-def _back(at: Column, o: int) -> Column:
-    """Digest of the word o places before index ``at``; line breaks stand before the first."""
-    return F.coalesce(F.get("h", at - o), F.xxhash64(F.lit(_BREAK)))
+#: Words before the last one of the longest n-gram; line breaks stand before the first of a line.
+_BEFORE = LENGTHS[-1] - 1
+_NEAR = [f"w{o}" for o in range(_BEFORE + 1)]
 
 
-def _place(at: Column) -> list[Column]:
-    """Digests of the trigram that ends at index ``at``, of its first two words and of the two pairs before it."""
-    return [
-        F.xxhash64(_back(at, 2), _back(at, 1), _back(at, 0)).alias("g3"), F.xxhash64(_back(at, 2), _back(at, 1)).alias("pair"),
-        F.xxhash64(_back(at, 4), _back(at, 3)).alias("b5"), F.xxhash64(_back(at, 6), _back(at, 5)).alias("b7"),
-    ]
+def _every_place(cells: DataFrame) -> DataFrame:
+    """(bullet, w0, w1, ..., next): a row for each word w0 of the lines, with the words before it (w1 directly) and the one
+    after it, null at the end of the line."""
+    n = F.size("w")
+    padded = F.concat(F.array_repeat(F.lit(_BREAK), _BEFORE), F.col("w"))
+    shifted = [F.slice(padded, F.lit(_BEFORE + 1 - o), n).alias(f"w{o}") for o in range(_BEFORE + 1)]
+    after = F.slice(F.concat(F.col("w"), F.array(F.lit(None).cast("string"))), F.lit(2), n).alias("next")
+    return cells.select("bullet", *shifted, after).select("bullet", F.inline(F.arrays_zip(*_NEAR, "next")))
+
+
+def _last_place(cells: DataFrame, *keep: str) -> DataFrame:
+    """(bullet, w0, w1, ...): the same for the last word of each line; null without words."""
+    at = lambda o: F.when(F.size("w") > o, F.get("w", F.size("w") - 1 - o)).otherwise(_BREAK if o else F.lit(None).cast("string"))
+    return cells.select(*keep, "bullet", *[at(o).alias(f"w{o}") for o in range(_BEFORE + 1)])
 
 
 def _longer(rows: DataFrame) -> DataFrame:
-    """rows with the digests g5 and g7 of the longer n-grams at their places."""
-    return rows.withColumn("g5", F.xxhash64("bullet", "b5", "g3")).withColumn("g7", F.xxhash64("bullet", "b7", "g5")).drop("b5", "b7")
+    """rows with the digests g3, g5 and g7 of the n-grams that end at their places."""
+    rows = rows.withColumn("g3", F.xxhash64("w2", "w1", "w0"))
+    return rows.withColumn("g5", F.xxhash64("bullet", "w4", "w3", "g3")).withColumn("g7", F.xxhash64("bullet", "w6", "w5", "g5")).drop("bullet", *_NEAR[1:])
 
 
 def gram_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
@@ -103,13 +111,12 @@ def gram_counts(texts: DataFrame, wanted: DataFrame) -> DataFrame:
     sieves the n-grams before they are counted; otherwise all are counted, combined before the shuffle, and
     then looked up."""
     lines = texts.select(F.explode(F.split(_shaped(F.col("body")), "\n")).alias("line"))
-    cells = _lines(lines).withColumn("n", F.size("w"))
-    at = cells.select("bullet", F.explode(F.transform("w", lambda x, i: F.struct(x.alias("word"), (i == F.col("n") - 1).cast("long").alias("stop"), *_place(i)))).alias("p")).select("bullet", "p.*")
+    at = _every_place(_lines(lines)).withColumn("pair", F.xxhash64("w2", "w1")).withColumn("stop", F.col("next").isNull().cast("long")).drop("next")
     few = wanted.count() <= BROADCAST_GRAMS
     if few:
         at = at.join(F.broadcast(wanted), F.col("pair") == F.col("need"), "left_semi")
     none_l, none_s = F.lit(None).cast("long"), F.lit(None).cast("string")
-    rows = [F.struct(F.col("g3").alias("gram"), "pair", "word", F.col("pair").alias("need"))]
+    rows = [F.struct(F.col("g3").alias("gram"), "pair", F.col("w0").alias("word"), F.col("pair").alias("need"))]
     rows += [F.struct(F.col(g).alias("gram"), none_l.alias("pair"), none_s.alias("word"), F.col(g).alias("need")) for g in ("g5", "g7")]
     grams = _longer(at).select("stop", F.explode(F.array(*rows)).alias("r")).select("stop", "r.*")
     if few:
@@ -140,8 +147,8 @@ def judged(documents: DataFrame) -> DataFrame:
     tails = known.where("doubtful").select("key", "dots", F.explode(F.array(*[
         F.struct(F.lit(dotted).alias("dotted"), F.col(c).alias("line")) for c, dotted in (("core", False), ("plain", True))
     ])).alias("t")).select("key", "dots", "t.*").where("dots or not dotted")
-    tails = _lines(tails, "key", "dots", "dotted")
-    tails = materialize(_longer(tails.select("key", "dots", "dotted", "bullet", F.get("w", F.size("w") - 1).alias("word"), *_place(F.size("w") - 1))).drop("bullet")).where("word is not null")
+    tails = _last_place(_lines(tails, "key", "dots", "dotted"), "key", "dots", "dotted").withColumn("pair", F.xxhash64("w2", "w1"))
+    tails = materialize(_longer(tails)).withColumnRenamed("w0", "word").where("word is not null")
     wanted = tails.select(F.explode(F.array("pair", "g5", "g7")).alias("need")).distinct()
     counts = materialize(gram_counts(texts, wanted))  # read twice
     grams = F.array(*[F.struct(F.lit(m).alias("k"), F.col(f"g{m}").alias("gram")) for m in LENGTHS])

@@ -70,8 +70,8 @@ def candidate_promote(spark, d):
 
 def trajectory_list(spark, d):
     """Tool notes by their wording."""
-    n = table(spark, d, "notes").where("content is not null and lower(trim(role)) in ('tool', 'function')").groupBy("id", F.lower(F.trim("content")).alias("goal")).agg(F.max(F.unix_millis("timestamp")).alias("at_ms"))
-    return S.trajectories(n)
+    n = table(spark, d, "notes").where("content is not null and lower(trim(role)) in ('tool', 'function')").groupBy("id", F.lower(F.regexp_replace("content", r"^[\s\p{Z}]+|[\s\p{Z}]+$", "")).alias("goal")).agg(F.max(F.unix_millis("timestamp")).alias("at_ms"))
+    return S.trajectories(n.where("goal != ''"))
 
 
 def error_capture(spark, d):
@@ -175,7 +175,7 @@ SELECT *, 'Memories written: ' || writes || ' (' || guardrails || ' guardrails)
     "session_list": "SELECT session_id AS session, epoch_ms(min(timestamp)) AS began_ms, epoch_ms(max(timestamp)) AS last_ms FROM notes WHERE session_id IS NOT NULL AND timestamp IS NOT NULL GROUP BY 1 ORDER BY 2 DESC, 1 DESC LIMIT 10",
     "candidate_list": f"WITH {_CAND}, x AS (SELECT id, content, max(epoch_ms(timestamp)) AS created_ms FROM notes WHERE content IS NOT NULL GROUP BY ALL) SELECT s.id, confidence, kind, created_ms FROM s JOIN x ON x.id = s.id WHERE confidence >= 0.5 AND NOT ({_NOISE.replace('content', 's.content')} AND NOT {_ci('s.content', W.GUARD)}) AND NOT (confidence >= 0.8 AND kind IN ('negative_constraint', 'rule', 'hardware')) ORDER BY confidence DESC, created_ms DESC NULLS LAST, s.id LIMIT 20",
     "candidate_promote": f"WITH {_CAND}, x AS (SELECT DISTINCT id, content AS c2 FROM notes WHERE content IS NOT NULL) SELECT s.id, c2 AS content, kind AS category, CASE WHEN kind = 'negative_constraint' THEN 'high' ELSE 'normal' END AS importance, kind = 'negative_constraint' AS is_negative_constraint FROM s JOIN x ON x.id = s.id WHERE confidence >= 0.5 AND NOT ({_NOISE} AND NOT {_ci('content', W.GUARD)}) AND NOT (confidence >= 0.8 AND kind IN ('negative_constraint', 'rule', 'hardware'))",
-    "trajectory_list": f"WITH x AS (SELECT id, lower(trim(content)) AS goal, max(epoch_ms(timestamp)) AS a FROM notes WHERE content IS NOT NULL AND {_TOOL} GROUP BY ALL) SELECT goal, count(*) AS n, max(a) AS last_ms FROM x GROUP BY 1 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 20",
+    "trajectory_list": f"WITH x AS (SELECT id, lower(regexp_replace(content, '^[\\s\\p{{Z}}]+|[\\s\\p{{Z}}]+$', '', 'g')) AS goal, max(epoch_ms(timestamp)) AS a FROM notes WHERE content IS NOT NULL AND {_TOOL} GROUP BY ALL) SELECT goal, count(*) AS n, max(a) AS last_ms FROM x WHERE goal != '' GROUP BY 1 ORDER BY 2 DESC, 3 DESC NULLS LAST, 1 LIMIT 20",
     "error_capture": f"WITH x AS (SELECT DISTINCT id, content FROM notes WHERE content IS NOT NULL AND {_ci('content', W.FAILURE)}) SELECT 'remediation' AS kind, id, lower(trim(content)) AS text FROM x UNION ALL SELECT 'rule', id, 'Avoid: ' || trim(content) FROM x",
     "remember": _M + f""", {_SAID}, r AS (SELECT id, content, {_NEGATIVE} AS neg, sha256({_NORM}) AS fp FROM n),
 k AS (SELECT sha256({_NORM}) AS fp, is_negative_constraint AS neg, arg_min(id, (created_at, id)) AS known FROM m WHERE is_active AND content IS NOT NULL GROUP BY ALL),

@@ -76,7 +76,7 @@ def test_single_multi_valued_and_antonyms(spark):
     assert single == {1: (False, 11), 2: (False, 12), 3: (True, None)}
     multi = {r.id: r.active for r in beliefs.resolve(f.where("predicate = 'LIKES'"), ["ks", "predicate", "ko"]).collect()}
     assert multi == {4: True, 5: True}
-    assert [tuple(r) for r in beliefs.resolve_antonyms(f).collect()] == [(4, 15)]
+    assert [tuple(r) for r in beliefs.resolve_antonyms(f).collect()] == [(4, 15, 1)]
     assert {r.id: r.action for r in beliefs.upsert_actions(f.where("predicate = 'RUNS_ON'")).collect()} == {1: "inserted", 2: "updated", 3: "updated"}
 
 

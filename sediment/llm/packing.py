@@ -15,8 +15,10 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from sediment.runtime import materialize
+from sediment.runtime import materialize, shuffle_partitions
 
+#: Groups that a task packs one after the other.
+TASK_GROUPS = 32
 #: A group holds about this many containers' worth of items.
 GROUP_CONTAINERS = 128
 #: Fillings that the search of one group may look at.
@@ -170,7 +172,7 @@ def complete(sizes: list[int], capacity: int, nodes: int = NODES) -> tuple[list[
     return incumbent, proved or len(incumbent) <= bound
 
 
-def _pack_groups(items: DataFrame, nodes: int) -> DataFrame:
+def _pack_groups(items: DataFrame, nodes: int, groups: int) -> DataFrame:
     """items (block_name, capacity, grp, doc_id, part, first_token, size) with the container ``box`` in grp, its filling
     and whether no packing of the group has fewer containers."""
 
@@ -185,8 +187,10 @@ def _pack_groups(items: DataFrame, nodes: int) -> DataFrame:
                 box[i], full[i] = b, total
         return t.append_column("box", pa.array(box, pa.int64())).append_column("filled", pa.array(full, pa.int64())).append_column("proved", pa.array([proved] * len(sizes), pa.bool_()))
 
+    # the rows are few for the work they make, so the number of tasks follows that of the groups
+    parts = max(shuffle_partitions(items.sparkSession), -(-groups // TASK_GROUPS))
     schema = "block_name string, capacity long, grp string, doc_id long, part long, first_token long, size long, box long, filled long, proved boolean"
-    return items.select("block_name", "capacity", "grp", "doc_id", "part", "first_token", "size").groupBy("block_name", "grp").applyInArrow(run, schema)
+    return items.select("block_name", "capacity", "grp", "doc_id", "part", "first_token", "size").repartition(parts, "block_name", "grp").groupBy("block_name", "grp").applyInArrow(run, schema)
 
 
 def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers: int = GROUP_CONTAINERS, nodes: int = NODES, rounds: int = 3) -> DataFrame:
@@ -206,7 +210,8 @@ def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers:
     out = "block_name string, container string, doc_id long, part long, first_token long, size long, proved boolean"
     if not caps or not total:
         return spark.createDataFrame([], out)
-    limits = F.broadcast(spark.createDataFrame([(n, c, max(1, round(total / (c * group_containers)))) for n, c in caps], "block_name string, capacity long, groups long"))
+    many = {n: max(1, round(total / (c * group_containers))) for n, c in caps}
+    limits = F.broadcast(spark.createDataFrame([(n, c, many[n]) for n, c in caps], "block_name string, capacity long, groups long"))
     pieces = docs.join(limits).withColumn("part", F.explode(F.sequence(F.lit(0).cast("long"), F.ceil(F.col("tokens") / F.col("capacity")) - 1)))
     first = F.col("part") * F.col("capacity")
     pieces = pieces.select("block_name", "capacity", "groups", "doc_id", "part", first.alias("first_token"), F.least("capacity", F.col("tokens") - first).alias("size"))
@@ -214,7 +219,7 @@ def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers:
     todo = pieces.where("size < capacity").withColumn("grp", F.concat(F.lit("0-"), F.pmod(F.xxhash64("doc_id", "part"), F.col("groups"))))
     done = whole
     for r in range(rounds):
-        packed = materialize(_pack_groups(todo, nodes))
+        packed = materialize(_pack_groups(todo, nodes, sum(many.values())))
         last = r == rounds - 1
         good = packed if last else packed.where(F.col("filled") >= WELL_FILLED * F.col("capacity"))
         done = done.unionByName(good.select("block_name", F.concat_ws("-", "grp", "box").alias("container"), "doc_id", "part", "first_token", "size", "proved"))
@@ -224,7 +229,8 @@ def packed_documents(sizes: DataFrame, capacities: DataFrame, group_containers:
         left = {x[0]: x[1] for x in rest.groupBy("block_name").agg(F.sum("size")).collect()}
         if not left:
             break
-        again = F.broadcast(spark.createDataFrame([(n, max(1, round(left.get(n, 0) / (c * group_containers)))) for n, c in caps], "block_name string, groups long"))
+        many = {n: max(1, round(left.get(n, 0) / (c * group_containers))) for n, c in caps}
+        again = F.broadcast(spark.createDataFrame(list(many.items()), "block_name string, groups long"))
         todo = rest.drop("grp", "box", "filled", "proved").join(again, "block_name").withColumn("grp", F.concat(F.lit(f"{r + 1}-"), F.pmod(F.xxhash64("part", "doc_id"), F.col("groups"))))
     return done
 

@@ -50,13 +50,15 @@ def best_fit(sizes: list[int], capacity: int) -> list[list[int]]:
 
 
 def dominates(a: list[int], b: list[int]) -> bool:
-    """Whether the sizes b can be shared out into parts that fit under different sizes of a: then a packing
-    with b is no better than one with a. Told by first fit, so some dominated sets are kept."""
-    room = sorted(a, reverse=True)
-    for s in sorted(b, reverse=True):
+    """Whether the sizes b can be shared out into parts that fit under different sizes of a (both largest first): then a
+    packing with b is no better than one with a. Told by first fit, so some dominated sets are kept."""
+    if b and (not a or b[0] > a[0]):
+        return False
+    room = list(a)
+    for s in b:
         for i, r in enumerate(room):
             if s <= r:
-                room[i] -= s
+                room[i] = r - s
                 break
         else:
             return False
@@ -99,12 +101,14 @@ def fillings(sizes: list[int], order: list[int], room: int, most: int, keep: int
         found, _, whole = _grow(sizes, order, neg, room, most, len(order), keep == 1)
     found.sort(key=lambda x: (x[0], len(x[1])))
     out: list[list[int]] = []
-    for at, (_, taken) in enumerate(found):
+    kept: list[list[int]] = []  # their sizes, largest first, as items are taken in that order
+    for _, taken in found:
         if len(out) == keep:
             return out, False
         mine = [sizes[i] for i in taken]
-        if not any(dominates([sizes[i] for i in o], mine) for o in out):
+        if not any(dominates(o, mine) for o in kept):
             out.append(taken)
+            kept.append(mine)
     return out, whole
 
 

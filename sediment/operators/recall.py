@@ -27,6 +27,8 @@ ENTITY_WEIGHT, DAMPING, ROUNDS, SEED_GAIN, NEW_GAIN, NEW_LEAST = 0.75, 0.85, 4,
 MOST_NEIGHBOURS = 40
 #: Queries that are sent out for one pass over all memories (20 MB of vectors of 128 numbers).
 PASS_QUERIES = 20_000
+#: Pairs that a task holds before it leaves out those that are not among the best.
+HELD_PAIRS = 1_000_000
 
 
 def _factors(memories: DataFrame, used: DataFrame, as_of: Column) -> DataFrame:
@@ -48,47 +50,72 @@ def _clamped(c: Column) -> Column:
     return F.least(F.lit(1.0), F.greatest(F.lit(0.0), c))
 
 
-def _by_vector(rows: DataFrame, queries: DataFrame, most: int) -> DataFrame:
-    """(query_id, id, score): for each query the ``most`` best of rows (id, base, factor, usage, neg, u) without regard
-    to words. Queries (query_id, u) go out PASS_QUERIES at a time and are compared in blocks with batches of rows."""
-    n = queries.count()
+def _first(q: np.ndarray, ids: np.ndarray, s: np.ndarray, most: int) -> tuple[np.ndarray, ...]:
+    """Of each q the ``most`` rows with the largest s, equal ones by id."""
+    order = np.lexsort((ids, -s, q))
+    q, ids, s = q[order], ids[order], s[order]
+    take = np.arange(len(q)) - np.searchsorted(q, q) < most
+    return q[take], ids[take], s[take]
+
+
+def _score(signal: Column) -> Column:
+    return F.round(_clamped(_clamped((signal + F.col("base")) * F.col("factor")) * F.col("usage")), 9)
+
+
+def _by_vector(rows: DataFrame, queries: DataFrame, most: int, least: float = 0.0) -> DataFrame:
+    """(query_id, id, score): for each query the ``most`` best of rows (id, base, factor, usage, neg, u) with a score of
+    at least ``least``, without regard to words.
+
+    Without a likeness only prohibitions count, and as much for any query: the ``most`` best of them are found once.
+    Pairs of vectors of one length go through blocks: queries (query_id, u) go out PASS_QUERIES at a time, and what a
+    row lacks to ``least`` says from which cosine on a pair is looked at."""
+    asked = queries.select("query_id", "u")
+    n = asked.count()
     parts = max(1, -(-n // PASS_QUERIES))
-    out = None
+    same = rows.where("neg").select("id", _score(F.lit(0.0)).alias("score")).where(F.col("score") >= least).orderBy(F.desc("score"), "id").limit(most)
+    out = asked.select("query_id").crossJoin(F.broadcast(same))
     for p in range(parts):
-        asked = queries.where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()
-        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(asked.column(0)), asked.column(1).to_pylist()))
+        some = asked.where("u is not null").where(F.pmod(F.xxhash64("query_id"), F.lit(parts)) == p).toArrow()
+        shared = rows.sparkSession.sparkContext.broadcast((np.asarray(some.column(0)), some.column(1).to_pylist()))
 
         def run(batches: Iterator[pa.RecordBatch], shared=shared) -> Iterator[pa.RecordBatch]:
             qid, units = shared.value
             by_size: dict[int, list[int]] = {}
             for k, u in enumerate(units):
-                by_size.setdefault(len(u) if u is not None else 0, []).append(k)
+                by_size.setdefault(len(u), []).append(k)
+            asking = {size: (np.array(at), np.frombuffer(b"".join(units[k] for k in at)).reshape(len(at), -1)) for size, at in by_size.items()}
+            found, held = [], 0
             for b in batches:
-                ids, base, factor, usage = (np.asarray(b.column(k)) for k in range(4))
-                neg = np.asarray(b.column(4))
+                ids, base, factor, usage, neg = (np.asarray(b.column(k)) for k in range(5))
                 vectors = b.column(5).to_pylist()
-                for size, members in by_size.items():
-                    same = np.array([k for k, u in enumerate(vectors) if size and u is not None and len(u) == size], dtype=int)
-                    x = np.frombuffer(b"".join(vectors[k] for k in same)).reshape(len(same), -1) if len(same) else None
-                    for at in range(0, len(members), 256):
-                        mine = np.array(members[at : at + 256])
-                        v = np.zeros((len(mine), len(ids)))
-                        if x is not None:
-                            q = np.frombuffer(b"".join(units[k] for k in mine)).reshape(len(mine), -1)
-                            v[:, same] = np.maximum(np.round(q @ x.T, 6), 0.0)
-                        signal = (WITH_VECTOR if size else WITHOUT_VECTOR)[0] * v
-                        s = np.clip(np.clip((signal + base) * factor, 0.0, 1.0) * usage, 0.0, 1.0)
-                        s = np.where((signal >= LEAST_SIGNAL) | neg, np.round(s, 9), -1.0)
-                        m = min(most, len(ids))
-                        floor = np.partition(s, len(ids) - m, axis=1)[:, len(ids) - m]
-                        i, j = np.nonzero((s >= np.maximum(floor, 0.0)[:, None]))
-                        order = np.lexsort((ids[j], -s[i, j], i))
-                        i, j = i[order], j[order]
-                        take = np.arange(len(i)) - np.searchsorted(i, i) < most
-                        yield pa.RecordBatch.from_arrays([pa.array(qid[mine[i[take]]], pa.int64()), pa.array(ids[j[take]], pa.int64()), pa.array(s[i, j][take])], names=["query_id", "id", "score"])
-
-        one = rows.select("id", "base", "factor", "usage", "neg", "u").mapInArrow(run, "query_id long, id long, score double")
-        out = one if out is None else out.union(one)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    lack = ((least - 1e-8) / (factor * usage) - base) / WITH_VECTOR[0]
+                lack = np.where((factor * usage > 0) & (least > 0), lack, -np.inf)
+                lack = np.where(neg, lack, np.maximum(lack, LEAST_SIGNAL / WITH_VECTOR[0])) - 1e-6
+                for size, (members, q) in asking.items():
+                    like = np.array([k for k, u in enumerate(vectors) if len(u) == size], dtype=int)
+                    for a in range(0, len(like), 2_048):
+                        mine = like[a : a + 2_048]
+                        x = np.frombuffer(b"".join(vectors[k] for k in mine)).reshape(len(mine), -1)
+                        for at in range(0, len(members), 256):
+                            dots = q[at : at + 256] @ x.T
+                            i, j = np.nonzero(dots >= np.where(lack[mine] > 0, lack[mine], -np.inf))
+                            signal = WITH_VECTOR[0] * np.maximum(np.round(dots[i, j], 6), 0.0)
+                            j = mine[j]
+                            s = np.round(np.clip(np.clip((signal + base[j]) * factor[j], 0.0, 1.0) * usage[j], 0.0, 1.0), 9)
+                            keep = (s >= least) & ((signal >= LEAST_SIGNAL) | neg[j])
+                            found.append((members[at + i[keep]], ids[j[keep]], s[keep]))
+                            held += int(keep.sum())
+                            if held > HELD_PAIRS:
+                                found = [_first(*(np.concatenate(c) for c in zip(*found)), most)]
+                                held = 0
+            if found:
+                k, i, s = _first(*(np.concatenate(c) for c in zip(*found)), most)
+                yield pa.RecordBatch.from_arrays([pa.array(qid[k], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
+
+        one = rows.where("u is not null").select("id", "base", "factor", "usage", "neg", "u").mapInArrow(run, "query_id long, id long, score double")
+        out = out.unionByName(one)
+    out = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))  # a prohibition may be in both
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     return out.withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= most).drop("_n")
 
@@ -101,18 +128,18 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, lexical: DataFrame, q
     helped, misled). Every memory counts, whether words met it or not: what words met is scored by a join, and the
     best limit + words of the others are found in a pass over all memories. Repeated memory ids in vectors count once
     (the smallest vector); ties go to the smaller id; empty tables give no rows."""
-    m = materialize(_factors(memories, used, as_of))  # read twice
+    m = materialize(_factors(memories, used, as_of))  # read three times
     stored = vectors.where("memory_id is not null").where(_usable("vector")).groupBy(F.col("memory_id").alias("id")).agg(F.min("vector").alias("vector"))
     asked = queries.groupBy("query_id").agg(F.min(F.when(_usable("vector"), F.col("vector"))).alias("q"))
     met = lookup_join(lexical.select("query_id", F.col("doc").alias("id"), "bm25"), m, "id", "inner")
     met = lookup_join(met, stored, "id", "left").join(asked, "query_id", "left")
     v = F.greatest(F.lit(0.0), F.round(F.coalesce(cosine("q", "vector"), F.lit(0.0)), 6))
     signal = F.when(F.col("q").isNotNull(), WITH_VECTOR[0] * v + WITH_VECTOR[1] * F.col("bm25")).otherwise(WITHOUT_VECTOR[1] * F.col("bm25"))
-    score = F.round(_clamped(_clamped((signal + F.col("base")) * F.col("factor")) * F.col("usage")), 9)
-    by_word = materialize(met.select("query_id", "id", score.alias("score"), ((signal >= LEAST_SIGNAL) | F.col("neg")).alias("kept")))
+    by_word = materialize(met.select("query_id", "id", _score(signal).alias("score"), ((signal >= LEAST_SIGNAL) | F.col("neg")).alias("kept")))
     units = unit_vectors(stored.select("id", F.col("vector").alias("v")))
-    rows = lookup_join(m, units, "id", "left")
-    others = _by_vector(rows, unit_vectors(asked.select(F.col("query_id").alias("id"), F.col("q").alias("v"))).select(F.col("id").alias("query_id"), "u"), limit + words)
+    rows = m.join(units, "id", "left")
+    asked = materialize(unit_vectors(asked.select(F.col("query_id").alias("id"), F.col("q").alias("v"))).select(F.col("id").alias("query_id"), "u"))  # read for every pass
+    others = _by_vector(rows, asked, limit + words, least)
     others = others.join(by_word.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return best(by_word.where("kept").drop("kept").unionByName(others), limit, least)
 
@@ -129,7 +156,7 @@ def drifted(said: DataFrame, memories: DataFrame, vectors: DataFrame, least: flo
     for w in W.CONTRAST:
         change = change | F.lower("content").contains(w)
     turns = said.where("content is not null").where(change).where(_usable("vector")).groupBy("id").agg(F.min("vector").alias("v"))
-    near = _by_vector(rows, unit_vectors(turns).select(F.col("id").alias("query_id"), "u"), 2).where("query_id != id")
+    near = _by_vector(rows, unit_vectors(turns).select(F.col("id").alias("query_id"), "u"), 2, least).where("query_id != id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     first = near.withColumn("_n", F.row_number().over(w)).where("_n = 1").where(F.col("score") >= least)
     return first.select(F.col("query_id").alias("id"), F.col("id").alias("against"), F.round("score", 2).alias("similarity"))

@@ -131,7 +131,8 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, lexical: DataFrame, q
     m = materialize(_factors(memories, used, as_of))  # read three times
     stored = vectors.where("memory_id is not null").where(_usable("vector")).groupBy(F.col("memory_id").alias("id")).agg(F.min("vector").alias("vector"))
     asked = queries.groupBy("query_id").agg(F.min(F.when(_usable("vector"), F.col("vector"))).alias("q"))
-    met = lookup_join(lexical.select("query_id", F.col("doc").alias("id"), "bm25"), m, "id", "inner")
+    lexical = materialize(lexical.select("query_id", F.col("doc").alias("id"), "bm25"))  # counted by key before it is joined
+    met = lookup_join(lexical, m, "id", "inner")
     met = lookup_join(met, stored, "id", "left").join(asked, "query_id", "left")
     v = F.greatest(F.lit(0.0), F.round(F.coalesce(cosine("q", "vector"), F.lit(0.0)), 6))
     signal = F.when(F.col("q").isNotNull(), WITH_VECTOR[0] * v + WITH_VECTOR[1] * F.col("bm25")).otherwise(WITHOUT_VECTOR[1] * F.col("bm25"))
@@ -175,19 +176,51 @@ def resonant(found: DataFrame, links: DataFrame, memories: DataFrame, limit: int
     first, each memory once."""
     alive = memories.where("is_active").select(F.col("id").alias("dst"))
     edges = links.select(F.col("a").alias("src"), F.col("b").alias("dst"), "w").union(links.select("b", "a", "w"))
+    edges = materialize(lookup_join(edges, alive, "dst", "left_semi"))  # read by every hop
+    low, high = edges.agg(F.min("w"), F.max("w")).first()
+    grows = low is not None and low >= 0 and (found.agg(F.min("score")).first()[0] or 0) >= 0
     known = found.select("query_id", "id", "score")
     front = found.where("rank <= 3").select("query_id", F.col("id").alias("src"), "score")
-    for hop in HOPS:
-        step = lookup_join(lookup_join(edges, front.select("src").distinct(), "src", "left_semi"), alive, "dst", "left_semi")
-        step = front.join(step, "src").select("query_id", F.col("dst").alias("id"), F.round(F.col("score") * F.col("w") * RESONANCE * hop, 12).alias("boost"))
+    for hop in HOPS[:-1] if grows else HOPS:
+        step = front.join(edges, "src").select("query_id", F.col("dst").alias("id"), _boost(hop))
         boosts = step.groupBy("query_id", "id").agg(F.sum("boost").alias("all"), F.max("boost").alias("most"))
         both = known.join(boosts, ["query_id", "id"], "full")
         known = materialize(both.select("query_id", "id", F.coalesce(F.col("score") + F.coalesce("all", F.lit(0.0)), F.col("most")).alias("score"), F.col("score").isNull().alias("new")))
         front = known.where("new").select("query_id", F.col("id").alias("src"), "score")
         known = known.drop("new")
+    if grows:
+        known = _last_hop(known, front, edges, high, limit)
     return best(known.select("query_id", "id", F.round(_clamped(F.col("score")), 9).alias("score")), limit)
 
 
+def _boost(hop: float) -> Column:
+    return F.round(F.col("score") * F.col("w") * RESONANCE * hop, 12).alias("boost")
+
+
+def _last_hop(known: DataFrame, front: DataFrame, edges: DataFrame, high: float, limit: int) -> DataFrame:
+    """(query_id, id, score) after the last hop, of all that can be among the ``limit`` best.
+
+    No boost is negative, so a query's ``limit`` best stay at least where they are. What is known and cannot get there
+    with all that the front gives out, at the greatest weight, is left out, and so is what is new and gets too little.
+    The others are met from their own links, as the front may be next to hubs with thousands."""
+    hop = HOPS[-1]
+    most, near = F.lit(float(high) * RESONANCE * hop), 1e-6  # near: more than any sum of rounded boosts is off
+    w = Window.partitionBy("query_id").orderBy(F.desc("score"))
+    floor = known.withColumn("_n", F.row_number().over(w)).where(F.col("_n") == limit).select("query_id", F.least(F.lit(1.0), "score").alias("floor"))
+    given = front.groupBy("query_id").agg(F.sum("score").alias("given"))
+    bounds = materialize(given.join(floor, "query_id", "left"))  # read three times; a query without front keeps what it has
+    open_ = F.col("floor").isNull()
+    able = known.join(bounds, "query_id", "left").where(open_ | (F.col("score") + F.coalesce("given", F.lit(0.0)) * most + near >= F.col("floor"))).select("query_id", "id", "score")
+    able = materialize(able)  # read twice
+    met = able.select("query_id", "id").join(edges.withColumnRenamed("dst", "id"), "id").join(front, ["query_id", "src"])
+    more = met.select("query_id", "id", _boost(hop)).groupBy("query_id", "id").agg(F.sum("boost").alias("all"))
+    out = able.join(more, ["query_id", "id"], "left").select("query_id", "id", (F.col("score") + F.coalesce("all", F.lit(0.0))).alias("score"))
+    from_ = front.join(bounds.select("query_id", "floor"), "query_id").where(open_ | (F.col("score") * most + near >= F.col("floor")))
+    new = from_.join(edges, "src").select("query_id", F.col("dst").alias("id"), _boost(hop), "floor").where(open_ | (F.col("boost") + near >= F.col("floor")))
+    new = new.groupBy("query_id", "id").agg(F.max("boost").alias("score")).join(known, ["query_id", "id"], "left_anti")
+    return out.unionByName(new)
+
+
 def _graph(found: DataFrame, links: DataFrame, facts: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(passages, edges) around the results of each query: (query_id, id) and (query_id, src, dst, w), memories being
     nodes ``m<id>`` and entities ``e<name>``."""

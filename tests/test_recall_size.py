@@ -86,3 +86,50 @@ def test_likeness_is_ranked_as_if_each_pair_was_looked_at(spark, monkeypatch, le
     got = C._by_vector(df, spark.createDataFrame([(k, b(q)) for k, q in queries], "query_id long, u binary"), 11, least)
     got = {(r.query_id, r.id): r.score for r in got.collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-8 for x in want)
+
+
+def plain_resonance(found, links, alive, limit):
+    out = {}
+    edges = {}
+    for a, b, w in links:
+        for x, y in ((a, b), (b, a)):
+            if y in alive:
+                edges.setdefault(x, []).append((y, w))
+    for q in {r[0] for r in found}:
+        known = {i: s for k, i, s, _ in found if k == q}
+        front = {i: s for k, i, s, n in found if k == q and n <= 3}
+        for hop in C.HOPS:
+            boosts = {}
+            for i, s in front.items():
+                for j, w in edges.get(i, ()):
+                    boosts.setdefault(j, []).append(round(s * w * C.RESONANCE * hop, 12))
+            front = {j: max(b) for j, b in boosts.items() if j not in known}
+            known = {i: s + sum(boosts.get(i, ())) for i, s in known.items()} | front
+        best = sorted((-round(min(1.0, max(0.0, s)), 9), i) for i, s in known.items())[:limit]
+        out |= {(q, i): -s for s, i in best}
+    return out
+
+
+@pytest.mark.parametrize("low", [0.1, -0.4])
+def test_the_last_hop_leaves_out_only_what_cannot_be_among_the_best(spark, low):
+    rng = random.Random(8)
+    n, queries = 3_000, 120
+    links = [(0, i, rng.uniform(low, 1.0)) for i in range(1, n)]  # a hub, two hops from everything
+    links += [(a, b, rng.uniform(low, 1.0)) for a, b in {tuple(sorted(rng.sample(range(1, n), 2))) for _ in range(2_000)}]
+    found = [(q, i, round(rng.choice([0.2, 0.5, 0.999, 1.0]) * rng.uniform(0.98, 1.0), 9), r + 1) for q in range(queries) for r, i in enumerate(rng.sample(range(1, n), q % 6))]
+    alive = {i for i in range(n) if i % 7 or not i}
+    df = [spark.createDataFrame(x, s) for x, s in ((found, "query_id long, id long, score double, rank int"), (links, "a long, b long, w double"), ([(i, i in alive) for i in range(n)], "id long, is_active boolean"))]
+    got, want = {(r.query_id, r.id): r.score for r in C.resonant(*df, 5).collect()}, plain_resonance(found, links, alive, 5)
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+
+
+def test_a_hub_three_hops_off_is_not_written_out_for_each_query(spark):
+    rng = random.Random(9)
+    n, queries = 4_000, 100
+    links = [(i, 51 + i % 10, 0.9) for i in range(1, 51)] + [(0, 51 + k, 0.9) for k in range(10)] + [(0, i, 0.9) for i in range(61, n)]
+    found = [(q, i, 0.9 - r / 10, r + 1) for q in range(queries) for r, i in enumerate(rng.sample(range(1, 51), 5))]
+    df = [spark.createDataFrame(x, s) for x, s in ((found, "query_id long, id long, score double, rank int"), (links, "a long, b long, w double"), ([(i, True) for i in range(n)], "id long, is_active boolean"))]
+    rows, written = most_written(spark, lambda: C.resonant(*df, 5).collect())
+    assert written < n * queries / 10
+    got, want = {(r.query_id, r.id): r.score for r in rows}, plain_resonance(found, links, set(range(n)), 5)
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-9 for x in want)

@@ -62,9 +62,9 @@ def _score(signal: Column) -> Column:
     return F.round(_clamped(_clamped((signal + F.col("base")) * F.col("factor")) * F.col("usage")), 9)
 
 
-def _by_vector(rows: DataFrame, queries: DataFrame, most: int, least: float = 0.0) -> DataFrame:
-    """(query_id, id, score): for each query the ``most`` best of rows (id, base, factor, usage, neg, u) with a score of
-    at least ``least``, without regard to words.
+def _by_vector(rows: DataFrame, vectors: DataFrame, queries: DataFrame, most: int, least: float = 0.0) -> DataFrame:
+    """(query_id, id, score): for each query the ``most`` best of rows (id, base, factor, usage, neg) with a score of at
+    least ``least``, without regard to words. vectors (id, v) are usable ones of some of the rows.
 
     Without a likeness only prohibitions count, and as much for any query: the ``most`` best of them are found once.
     Pairs of vectors of one length go through blocks: queries (query_id, u) go out PASS_QUERIES at a time, and what a
@@ -82,21 +82,25 @@ def _by_vector(rows: DataFrame, queries: DataFrame, most: int, least: float = 0.
             qid, units = shared.value
             by_size: dict[int, list[int]] = {}
             for k, u in enumerate(units):
-                by_size.setdefault(len(u), []).append(k)
+                by_size.setdefault(len(u) // 8, []).append(k)
             asking = {size: (np.array(at), np.frombuffer(b"".join(units[k] for k in at)).reshape(len(at), -1)) for size, at in by_size.items()}
             found, held = [], 0
             for b in batches:
                 ids, base, factor, usage, neg = (np.asarray(b.column(k)) for k in range(5))
-                vectors = b.column(5).to_pylist()
+                numbers, begin = b.column(5).flatten().to_numpy(zero_copy_only=False).astype(np.float64), np.asarray(b.column(5).offsets)
+                sizes, begin = np.diff(begin), begin - begin[0]
                 with np.errstate(divide="ignore", invalid="ignore"):
                     lack = ((least - 1e-8) / (factor * usage) - base) / WITH_VECTOR[0]
                 lack = np.where((factor * usage > 0) & (least > 0), lack, -np.inf)
                 lack = np.where(neg, lack, np.maximum(lack, LEAST_SIGNAL / WITH_VECTOR[0])) - 1e-6
                 for size, (members, q) in asking.items():
-                    like = np.array([k for k, u in enumerate(vectors) if len(u) == size], dtype=int)
+                    like = np.flatnonzero(sizes == size)
                     for a in range(0, len(like), 2_048):
                         mine = like[a : a + 2_048]
-                        x = np.frombuffer(b"".join(vectors[k] for k in mine)).reshape(len(mine), -1)
+                        x = numbers[begin[mine][:, None] + np.arange(size)]
+                        length = np.sqrt((x * x).sum(axis=1))
+                        fine = (length > 0) & (length < np.inf)
+                        mine, x = mine[fine], x[fine] / length[fine, None]
                         for at in range(0, len(members), 256):
                             dots = q[at : at + 256] @ x.T
                             i, j = np.nonzero(dots >= np.where(lack[mine] > 0, lack[mine], -np.inf))
@@ -113,7 +117,7 @@ def _by_vector(rows: DataFrame, queries: DataFrame, most: int, least: float = 0.
                 k, i, s = _first(*(np.concatenate(c) for c in zip(*found)), most)
                 yield pa.RecordBatch.from_arrays([pa.array(qid[k], pa.int64()), pa.array(i, pa.int64()), pa.array(s, pa.float64())], names=["query_id", "id", "score"])
 
-        one = rows.where("u is not null").select("id", "base", "factor", "usage", "neg", "u").mapInArrow(run, "query_id long, id long, score double")
+        one = rows.join(vectors, "id").select("id", "base", "factor", "usage", "neg", "v").mapInArrow(run, "query_id long, id long, score double")
         out = out.unionByName(one)
     out = out.groupBy("query_id", "id").agg(F.max("score").alias("score"))  # a prohibition may be in both
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
@@ -137,10 +141,8 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, lexical: DataFrame, q
     v = F.greatest(F.lit(0.0), F.round(F.coalesce(cosine("q", "vector"), F.lit(0.0)), 6))
     signal = F.when(F.col("q").isNotNull(), WITH_VECTOR[0] * v + WITH_VECTOR[1] * F.col("bm25")).otherwise(WITHOUT_VECTOR[1] * F.col("bm25"))
     by_word = materialize(met.select("query_id", "id", _score(signal).alias("score"), ((signal >= LEAST_SIGNAL) | F.col("neg")).alias("kept")))
-    units = unit_vectors(stored.select("id", F.col("vector").alias("v")))
-    rows = m.join(units, "id", "left")
     asked = materialize(unit_vectors(asked.select(F.col("query_id").alias("id"), F.col("q").alias("v"))).select(F.col("id").alias("query_id"), "u"))  # read for every pass
-    others = _by_vector(rows, asked, limit + words, least)
+    others = _by_vector(m, stored.select("id", F.col("vector").alias("v")), asked, limit + words, least)
     others = others.join(by_word.select("query_id", "id"), ["query_id", "id"], "left_anti")
     return best(by_word.where("kept").drop("kept").unionByName(others), limit, least)
 
@@ -152,12 +154,12 @@ def drifted(said: DataFrame, memories: DataFrame, vectors: DataFrame, least: flo
     alive = memories.where("is_active").select("id")
     stored = vectors.where("memory_id is not null").where(_usable("vector")).groupBy(F.col("memory_id").alias("id")).agg(F.min("vector").alias("v"))
     factor = F.lit(1.0 / WITH_VECTOR[0])  # the signal of a vector alone, without its weight
-    rows = unit_vectors(lookup_join(stored, alive, "id", "left_semi")).select("id", F.lit(0.0).alias("base"), factor.alias("factor"), F.lit(1.0).alias("usage"), F.lit(False).alias("neg"), "u")
+    rows = alive.select("id", F.lit(0.0).alias("base"), factor.alias("factor"), F.lit(1.0).alias("usage"), F.lit(False).alias("neg"))
     change = F.lit(False)
     for w in W.CONTRAST:
         change = change | F.lower("content").contains(w)
     turns = said.where("content is not null").where(change).where(_usable("vector")).groupBy("id").agg(F.min("vector").alias("v"))
-    near = _by_vector(rows, unit_vectors(turns).select(F.col("id").alias("query_id"), "u"), 2, least).where("query_id != id")
+    near = _by_vector(rows, stored, unit_vectors(turns).select(F.col("id").alias("query_id"), "u"), 2, least).where("query_id != id")
     w = Window.partitionBy("query_id").orderBy(F.desc("score"), "id")
     first = near.withColumn("_n", F.row_number().over(w)).where("_n = 1").where(F.col("score") >= least)
     return first.select(F.col("query_id").alias("id"), F.col("id").alias("against"), F.round("score", 2).alias("similarity"))

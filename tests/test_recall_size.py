@@ -82,8 +82,9 @@ def test_likeness_is_ranked_as_if_each_pair_was_looked_at(spark, monkeypatch, le
                 s.append((-score, i))
         want |= {(k, i): -x for x, i in sorted(s)[:11]}
     b = lambda u: None if u is None else bytearray(u.tobytes())
-    df = spark.createDataFrame([(*r[:5], b(r[5])) for r in rows], "id long, base double, factor double, usage double, neg boolean, u binary").repartition(3)
-    got = C._by_vector(df, spark.createDataFrame([(k, b(q)) for k, q in queries], "query_id long, u binary"), 11, least)
+    df = spark.createDataFrame([r[:5] for r in rows], "id long, base double, factor double, usage double, neg boolean").repartition(3)
+    vectors = spark.createDataFrame([(r[0], (7 * r[5]).tolist()) for r in rows if r[5] is not None], "id long, v array<double>")
+    got = C._by_vector(df, vectors, spark.createDataFrame([(k, b(q)) for k, q in queries], "query_id long, u binary"), 11, least)
     got = {(r.query_id, r.id): r.score for r in got.collect()}
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 1e-8 for x in want)
 

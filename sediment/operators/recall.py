@@ -29,6 +29,8 @@ MOST_NEIGHBOURS = 40
 PASS_QUERIES = 20_000
 #: Pairs that a task holds before it leaves out those that are not among the best.
 HELD_PAIRS = 1_000_000
+#: Rows of several queries' graphs that are walked at once.
+WALKED_ROWS = 100_000
 
 
 def _factors(memories: DataFrame, used: DataFrame, as_of: Column) -> DataFrame:
@@ -223,53 +225,125 @@ def _last_hop(known: DataFrame, front: DataFrame, edges: DataFrame, high: float,
     return out.unionByName(new)
 
 
-def _graph(found: DataFrame, links: DataFrame, facts: DataFrame, memories: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(passages, edges) around the results of each query: (query_id, id) and (query_id, src, dst, w), memories being
-    nodes ``m<id>`` and entities ``e<name>``."""
+def _around(found: DataFrame, both: DataFrame, said: DataFrame, memories: DataFrame) -> DataFrame:
+    """(query_id, id): the active memories in the graph around the results of each query. both are the links (id, other,
+    w) from either end, said the active triples (memory_id, subject, object).
+
+    Of each memory's links and of each entity's memories the MOST_NEIGHBOURS first are enough for any query, so they
+    are held as lists, and what is moved by query is a list for each result and each entity."""
     seeds = found.select("query_id", "id")
-    both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").union(links.select("b", "a", "w"))
+    w = Window.partitionBy("id").orderBy(F.desc("w"), "other")
+    some = both.join(seeds.select("id").distinct(), "id", "left_semi").withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_NEIGHBOURS)
     w = Window.partitionBy("query_id").orderBy(F.desc("w"), "other")
-    near = seeds.join(both, "id").groupBy("query_id", "other").agg(F.max("w").alias("w")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_NEIGHBOURS)
-    said = facts.where("is_active and memory_id is not null and subject is not null and object is not null").select("memory_id", "subject", "object", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    near = seeds.join(some.select("id", "other", "w"), "id").groupBy("query_id", "other").agg(F.max("w").alias("w")).withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_NEIGHBOURS)
     w = Window.partitionBy("query_id").orderBy("subject", "object")
     pairs = seeds.join(said, seeds["id"] == said["memory_id"]).select("query_id", "subject", "object").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_NEIGHBOURS)
     names = pairs.select("query_id", F.explode(F.array("subject", "object")).alias("e")).where(T.informative(F.col("e"))).distinct()
-    # of each entity the MOST_NEIGHBOURS smallest memories are enough for any query
-    holders = said.select("memory_id", F.explode(F.array_distinct(F.array("subject", "object"))).alias("e"))
+    holders = said.select("memory_id", F.explode(F.array_distinct(F.array("subject", "object"))).alias("e")).where(T.informative(F.col("e")))
     holders = lookup_join(holders, names.select("e").distinct(), "e", "left_semi").distinct()
     first = Window.partitionBy("e").orderBy("memory_id")
-    holders = holders.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MOST_NEIGHBOURS).drop("_n")
-    w = Window.partitionBy("query_id").orderBy("memory_id")
-    shared = names.join(holders, "e").select("query_id", "memory_id").distinct().withColumn("_n", F.row_number().over(w)).where(F.col("_n") <= MOST_NEIGHBOURS)
-    everyone = seeds.union(near.select("query_id", "other")).union(shared.select("query_id", "memory_id")).distinct()
-    passages = materialize(everyone.join(memories.where("is_active").select("id"), "id", "left_semi").select("query_id", "id"))
-    m = lambda c: F.concat(F.lit("m"), F.col(c).cast("string"))
-    ends = passages.withColumnRenamed("id", "other")
-    linked = passages.join(both, "id").join(ends, ["query_id", "other"]).select("query_id", m("id").alias("src"), m("other").alias("dst"), "w")
-    named = passages.join(said, passages["id"] == said["memory_id"]).select("query_id", "id", "confidence", F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("e")).where(T.informative(F.col("e")))
-    out = named.select("query_id", m("id").alias("src"), F.concat(F.lit("e"), "e").alias("dst"), (ENTITY_WEIGHT * F.col("confidence")).alias("w"))
-    return passages, linked.union(out).union(out.select("query_id", "dst", "src", "w"))
+    holders = holders.withColumn("_n", F.row_number().over(first)).where(F.col("_n") <= MOST_NEIGHBOURS).groupBy("e").agg(F.collect_list("memory_id").alias("l"))
+    lists = names.join(holders, "e").groupBy("query_id").agg(F.array_distinct(F.flatten(F.collect_list("l"))).alias("l"))  # of 2 * MOST_NEIGHBOURS names at most
+    shared = lists.select("query_id", F.explode(F.slice(F.array_sort("l"), 1, MOST_NEIGHBOURS)).alias("id"))
+    everyone = seeds.union(near.select("query_id", "other")).union(shared).distinct()
+    return everyone.join(memories.where("is_active").select("id"), "id", "left_semi").select("query_id", "id")
+
+
+def _walked(rows: DataFrame) -> DataFrame:
+    """(query_id, id, pr): where the walk of each query ends, of memories that are results or have NEW_LEAST or so.
+
+    rows (query_id, src, dst, name, x) are a query's results (src, x: score), the memories of its graph (src), links to
+    be looked at (src, dst, x: weight) and entities named by a memory (src, name, x: weight). All rows of a query are
+    together and in order, and as many queries as a batch holds walk at once, in arrays over all their nodes."""
+
+    def walk(q: np.ndarray, src: np.ndarray, dst: pa.Array, name: pa.Array, x: pa.Array) -> pa.RecordBatch:
+        to, named = ~np.asarray(dst.is_null()), ~np.asarray(name.is_null())
+        weight = x.fill_null(0.0).to_numpy(zero_copy_only=False)
+        result = ~(to | named | np.asarray(x.is_null()))
+        member = ~(to | named | result)
+        queries, q = np.unique(q, return_inverse=True)
+        memories, at = np.unique(np.concatenate([src, dst.fill_null(0).to_numpy(zero_copy_only=False)]), return_inverse=True)
+        at, other = at[: len(src)], at[len(src) :]
+        entity = np.zeros(len(src), np.int64)
+        entity[named] = np.asarray(name.filter(pa.array(named)).dictionary_encode().indices)
+        here = q * len(memories) + at  # a memory of a query
+        nodes = np.unique(here[member])
+        place = lambda k: np.minimum(np.searchsorted(nodes, k), len(nodes) - 1)
+        known = lambda k: nodes[place(k)] == k
+        if not len(nodes):
+            nodes = np.array([-1])  # the results of these queries are no longer active
+        there = q * len(memories) + other
+        link = to & known(here) & known(there)
+        words, word = np.unique(q[named] * (entity.max(initial=0) + 1) + entity[named], return_inverse=True)
+        word, holder = word + len(nodes), place(here[named])
+        of = np.concatenate([nodes // len(memories), words // (entity.max(initial=0) + 1)])  # the query of each node
+        a, b = place(here[link]), place(there[link])
+        begin, end = np.concatenate([a, b, holder, word]), np.concatenate([b, a, word, holder])
+        w = np.concatenate([weight[link], weight[link], weight[named], weight[named]])
+        count = len(of)
+        with np.errstate(divide="ignore", invalid="ignore"):
+            p = w / np.bincount(begin, w, count)[begin]
+        out = np.bincount(begin, minlength=count) > 0
+        start = result & known(here)
+        p0 = np.bincount(place(here[start]), np.maximum(0.1, weight[start]), count)
+        total = np.bincount(of, p0, len(queries))
+        p0 = p0 / np.where(total == 0, 1.0, total)[of]
+        rank = p0
+        for _ in range(ROUNDS):
+            lost = np.bincount(of[~out], rank[~out], len(queries))
+            with np.errstate(invalid="ignore"):
+                moved = np.where(rank[begin] == 0, 0.0, rank[begin] * p)
+            rank = DAMPING * np.bincount(end, moved, count) + p0 * (1 - DAMPING + DAMPING * lost[of])
+        rank = rank[: len(nodes)]
+        some = np.flatnonzero((p0[: len(nodes)] > 0) | ~(rank < NEW_LEAST - 1e-6))
+        some = some[nodes[some] >= 0]
+        return pa.RecordBatch.from_arrays([pa.array(queries[nodes[some] // len(memories)], pa.int64()), pa.array(memories[nodes[some] % len(memories)], pa.int64()), pa.array(rank[some], pa.float64())], names=["query_id", "id", "pr"])
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        rows = 0
+
+        def table(parts: list[pa.RecordBatch]) -> list[pa.Array]:
+            return pa.Table.from_batches(parts).combine_chunks().to_batches()[0].columns
+
+        for b in batches:
+            if not b.num_rows:
+                continue
+            q = np.asarray(b.column(0))
+            cut = int(np.searchsorted(q, q[-1]))  # the last query may go on
+            if cut and rows + cut >= WALKED_ROWS:
+                c = table([*held, b.slice(0, cut)])
+                yield walk(np.asarray(c[0]), np.asarray(c[1]), *c[2:])
+                held, rows, b = [], 0, b.slice(cut)
+            held.append(b)
+            rows += b.num_rows
+        if held:
+            c = table(held)
+            yield walk(np.asarray(c[0]), np.asarray(c[1]), *c[2:])
+
+    return rows.repartition("query_id").sortWithinPartitions("query_id").mapInArrow(run, "query_id long, id long, pr double")
 
 
 def ranked_by_graph(found: DataFrame, links: DataFrame, facts: DataFrame, memories: DataFrame, limit: int = 5) -> DataFrame:
     """(query_id, id, score, rank) of results after a personalized PageRank over memories and entities around them.
 
     The walk restarts at the results in proportion to their score (0.1 at least) and returns there from nodes without
-    edge. A result gains a quarter of its rank; others with a rank above 0.05 enter with 0.4 of it."""
-    passages, edges = _graph(found, links, facts, memories)
-    total = edges.groupBy("query_id", "src").agg(F.sum("w").alias("total"))
-    flow = materialize(edges.join(total, ["query_id", "src"]).groupBy("query_id", "src", "dst").agg(F.sum(F.col("w") / F.col("total")).alias("p")))
-    node = F.concat(F.lit("m"), F.col("id").cast("string"))
-    start = found.join(passages, ["query_id", "id"], "left_semi").select("query_id", node.alias("node"), F.greatest(F.lit(0.1), "score").alias("p0"))
-    start = materialize(start.withColumn("p0", F.col("p0") / F.sum("p0").over(Window.partitionBy("query_id"))))  # ``limit`` rows a query
-    rank = start.withColumnRenamed("p0", "pr")
-    sources = flow.select("query_id", F.col("src").alias("node")).distinct()
-    for _ in range(ROUNDS):
-        moved = rank.join(flow.withColumnRenamed("src", "node"), ["query_id", "node"]).groupBy("query_id", F.col("dst").alias("node")).agg((DAMPING * F.sum(F.col("pr") * F.col("p"))).alias("x"))
-        lost = rank.join(sources, ["query_id", "node"], "left_anti").groupBy("query_id").agg(F.sum("pr").alias("lost"))
-        back = start.join(lost, "query_id", "left").select("query_id", "node", (F.col("p0") * (1 - DAMPING + DAMPING * F.coalesce("lost", F.lit(0.0)))).alias("x"))
-        rank = materialize(moved.unionByName(back).groupBy("query_id", "node").agg(F.sum("x").alias("pr")))
-    pr = rank.where("node like 'm%'").select("query_id", F.substring("node", 2, 40).cast("long").alias("id"), F.round("pr", 10).alias("pr"))
+    edge. A result gains a quarter of its rank; others with a rank above 0.05 enter with 0.4 of it. A link is looked
+    for from the end that has fewer of them, so a hub's links are not written out for each query next to it."""
+    both = links.select(F.col("a").alias("id"), F.col("b").alias("other"), "w").union(links.select("b", "a", "w"))
+    said = facts.where("is_active and memory_id is not null and subject is not null and object is not null").select("memory_id", "subject", "object", F.coalesce("confidence", F.lit(1.0)).alias("confidence"))
+    said = materialize(said)  # read three times
+    passages = materialize(_around(found, both, said, memories))  # read three times
+    degree = both.groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    ends = links.select("a", "b", "w").join(degree.toDF("a", "n"), "a").join(degree.toDF("b", "k"), "b")
+    fewer = F.col("n") <= F.col("k")
+    ends = ends.select(F.when(fewer, F.col("a")).otherwise(F.col("b")).alias("id"), F.when(fewer, F.col("b")).otherwise(F.col("a")).alias("dst"), "w")
+    linked = passages.join(ends, "id").select("query_id", F.col("id").alias("src"), "dst", F.lit(None).cast("string").alias("name"), F.col("w").cast("double").alias("x"))
+    named = said.select(F.col("memory_id").alias("id"), F.explode(F.array(F.lower("subject"), F.lower("object"))).alias("name"), (ENTITY_WEIGHT * F.col("confidence")).alias("x")).where(T.informative(F.col("name")))
+    named = passages.join(named, "id").select("query_id", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), "name", F.col("x").cast("double").alias("x"))
+    nodes = passages.select("query_id", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("name"), F.lit(None).cast("double").alias("x"))
+    results = found.select("query_id", F.col("id").alias("src"), F.lit(None).cast("long").alias("dst"), F.lit(None).cast("string").alias("name"), F.col("score").alias("x"))
+    pr = _walked(results.unionByName(nodes).unionByName(linked).unionByName(named)).select("query_id", "id", F.round("pr", 10).alias("pr"))
     both = found.select("query_id", "id", "score").join(pr, ["query_id", "id"], "full")
     score = F.when(F.col("score").isNotNull(), F.col("score") + SEED_GAIN * F.coalesce("pr", F.lit(0.0))).when(F.col("pr") > NEW_LEAST, NEW_GAIN * F.col("pr"))
     return best(both.select("query_id", "id", F.round(_clamped(score), 9).alias("score")).where("score is not null"), limit)

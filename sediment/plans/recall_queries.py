@@ -37,8 +37,9 @@ def recall_resonance(spark, d):
 
 def recall_graph(spark, d):
     """The same after the walk over memories and entities around the results."""
-    found = materialize(C.resonant(_found(spark, d), links(spark, d), memories(spark, d)))
-    return C.ranked_by_graph(found, links(spark, d), facts(spark, d), memories(spark, d))
+    m, l = materialize(memories(spark, d).select("id", "is_active")), materialize(links(spark, d).select("a", "b", "w"))  # read by both steps
+    found = materialize(C.resonant(_found(spark, d), l, m))
+    return C.ranked_by_graph(found, l, facts(spark, d), m)
 
 
 def recall_triples(spark, d):

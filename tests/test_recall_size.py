@@ -134,3 +134,53 @@ def test_a_hub_three_hops_off_is_not_written_out_for_each_query(spark):
     assert written < n * queries / 10
     got, want = {(r.query_id, r.id): r.score for r in rows}, plain_resonance(found, links, set(range(n)), 5)
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+
+
+def plain_walk(found, links, facts, alive, limit):
+    out = {}
+    for q in {r[0] for r in found}:
+        score = {i: s for k, i, s, _ in found if k == q}
+        near = {}
+        for a, b, w in links:
+            for x, y in ((a, b), (b, a)):
+                if x in score:
+                    near[y] = max(w, near.get(y, w))
+        names = {e for p in sorted({(s, o) for s, o, i in facts if i in score})[:40] for e in p}
+        held = sorted({i for s, o, i in facts if s in names or o in names})[:40]
+        nodes = (set(score) | set(sorted(near, key=lambda x: (-near[x], x))[:40]) | set(held)) & alive
+        edges = [e for a, b, w in links if a in nodes and b in nodes for e in ((a, b, w), (b, a, w))]
+        edges += [e for s, o, i in facts if i in nodes for n in (s, o) for e in ((i, n, 0.75), (n, i, 0.75))]
+        total = {}
+        for a, _, w in edges:
+            total[a] = total.get(a, 0.0) + w
+        start = {i: max(0.1, s) for i, s in score.items() if i in alive}
+        start = {i: s / sum(start.values()) for i, s in start.items()}
+        rank = start
+        for _ in range(C.ROUNDS):
+            lost = sum(x for i, x in rank.items() if i not in total)
+            moved = {i: s * (0.15 + 0.85 * lost) for i, s in start.items()}
+            for a, b, w in edges:
+                moved[b] = moved.get(b, 0.0) + 0.85 * rank.get(a, 0.0) * w / total[a]
+            rank = moved
+        ends = {i: s + 0.25 * rank.get(i, 0.0) for i, s in score.items()} | {i: 0.4 * x for i, x in rank.items() if isinstance(i, int) and i not in score and x > 0.05}
+        out |= {(q, i): -s for s, i in sorted((-round(min(1.0, s), 9), i) for i, s in ends.items())[:limit]}
+    return out
+
+
+@pytest.mark.parametrize("walked", [100_000, 50])
+def test_the_walk_does_not_write_a_hub_out_for_each_query(spark, monkeypatch, walked):
+    monkeypatch.setattr(C, "WALKED_ROWS", walked)
+    rng = random.Random(10)
+    n, queries = 2_000, 100
+    links = [(0, i, round(rng.uniform(0.1, 1.0), 3)) for i in range(1, n)]
+    links += [(a, b, rng.uniform(0.1, 1.0)) for a, b in {tuple(sorted(rng.sample(range(1, n), 2))) for _ in range(3_000)}]
+    alive = {i for i in range(n) if i % 7 or not i}
+    facts = [(f"name{rng.randrange(60)}", f"thing{rng.randrange(300)}", rng.randrange(1, n)) for _ in range(1_500)]
+    found = [(q, i, round(rng.uniform(0.01, 0.7), 9), r + 1) for q in range(queries) for r, i in enumerate(([0] if q % 9 else []) + rng.sample(range(1, n), q % 4))] + [(queries, 7, 0.5, 1)]
+    df = [spark.createDataFrame(x, s) for x, s in ((found, "query_id long, id long, score double, rank int"), (links, "a long, b long, w double"),
+          ([(k, s, "p", o, i, None, True) for k, (s, o, i) in enumerate(facts)], "id long, subject string, predicate string, object string, memory_id long, confidence double, is_active boolean"),
+          ([(i, i in alive) for i in range(n)], "id long, is_active boolean"))]
+    rows, written = most_written(spark, lambda: C.ranked_by_graph(*df, 5).collect())
+    got, want = {(r.query_id, r.id): r.score for r in rows}, plain_walk(found, links, facts, alive, 5)
+    assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-9 for x in want)
+    assert written < n * queries / 5  # the hub's links for each query would be n * queries

@@ -6,13 +6,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from sediment.functions import text as T
 from sediment.functions import words as W
 from sediment.operators.leaders import unit_vectors
-from sediment.operators.retrieval import cosine, importance_boost, validity_left
+from sediment.operators.retrieval import importance_boost, validity_left
 from sediment.operators.skew import lookup_join
 from sediment.runtime import materialize
 
@@ -43,9 +44,33 @@ def _factors(memories: DataFrame, used: DataFrame, as_of: Column) -> DataFrame:
 
 
 def _usable(vector: str) -> Column:
-    """Whether a vector holds finite numbers only, not all zero."""
-    finite = F.forall(vector, lambda x: ~F.isnan(x) & (F.abs(x) < float("inf")))
-    return F.coalesce((F.size(vector) > 0) & finite & F.exists(vector, lambda x: x != 0), F.lit(False))
+    """Whether a vector holds finite numbers only, not all zero. NaN is the greatest number, and where a number is
+    missing, nobody knows whether infinity is in the vector."""
+    infinite = F.lit(float("inf")).cast("float")
+    low, high = F.array_min(vector), F.array_max(vector)
+    return F.coalesce(~F.array_contains(vector, infinite) & (high < infinite) & (low > -infinite) & ((low != 0) | (high != 0)), F.lit(False))
+
+
+def _likeness():
+    """Arrow UDF: cosines of two columns of vectors within [-1, 1]; 0 where one is null, empty or zero or they differ in length."""
+
+    def numbers(a: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        sizes = np.asarray(pc.fill_null(pc.list_value_length(a), 0))
+        return a.flatten().to_numpy(zero_copy_only=False), np.cumsum(sizes) - sizes, sizes
+
+    @F.arrow_udf("double")
+    def run(a: pa.Array, b: pa.Array) -> pa.Array:
+        (x, at, sizes), (y, bt, others) = numbers(a), numbers(b)
+        out = np.zeros(len(sizes))
+        for size in np.unique(sizes[(sizes == others) & (sizes > 0)]):
+            some = np.flatnonzero((sizes == size) & (others == size))
+            p, q = x[at[some][:, None] + np.arange(size)].astype(np.float64), y[bt[some][:, None] + np.arange(size)].astype(np.float64)
+            norms = np.sqrt((p * p).sum(axis=1)) * np.sqrt((q * q).sum(axis=1))
+            ok = norms > 0
+            out[some[ok]] = np.maximum(-1.0, np.fmin(1.0, (p[ok] * q[ok]).sum(axis=1) / norms[ok]))
+        return pa.array(out)
+
+    return run
 
 
 def _clamped(c: Column) -> Column:
@@ -140,7 +165,7 @@ def hybrid_search(memories: DataFrame, vectors: DataFrame, lexical: DataFrame, q
     lexical = materialize(lexical.select("query_id", F.col("doc").alias("id"), "bm25"))  # counted by key before it is joined
     met = lookup_join(lexical, m, "id", "inner")
     met = lookup_join(met, stored, "id", "left").join(asked, "query_id", "left")
-    v = F.greatest(F.lit(0.0), F.round(F.coalesce(cosine("q", "vector"), F.lit(0.0)), 6))
+    v = F.greatest(F.lit(0.0), F.round(_likeness()("q", "vector"), 6))
     signal = F.when(F.col("q").isNotNull(), WITH_VECTOR[0] * v + WITH_VECTOR[1] * F.col("bm25")).otherwise(WITHOUT_VECTOR[1] * F.col("bm25"))
     by_word = materialize(met.select("query_id", "id", _score(signal).alias("score"), ((signal >= LEAST_SIGNAL) | F.col("neg")).alias("kept")))
     asked = materialize(unit_vectors(asked.select(F.col("query_id").alias("id"), F.col("q").alias("v"))).select(F.col("id").alias("query_id"), "u"))  # read for every pass

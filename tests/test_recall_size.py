@@ -184,3 +184,15 @@ def test_the_walk_does_not_write_a_hub_out_for_each_query(spark, monkeypatch, wa
     got, want = {(r.query_id, r.id): r.score for r in rows}, plain_walk(found, links, facts, alive, 5)
     assert set(got) == set(want) and all(abs(got[x] - want[x]) < 2e-9 for x in want)
     assert written < n * queries / 5  # the hub's links for each query would be n * queries
+
+
+def test_odd_vectors_are_told_without_a_function_for_each_number(spark):
+    nan, inf = float("nan"), float("inf")
+    odd = [None, [], [0.0, -0.0], [1.0, 2.0], [nan, 1.0], [inf, 1.0], [-inf, 1.0], [None, 1.0], [-3.0, -3.0], [2.0, -1.0], [5.0], [1e30, 1e30]]
+    df = spark.createDataFrame([(i, v) for i, v in enumerate(odd)], "id int, v array<float>")
+    assert "lambda" not in df.where(C._usable("v"))._jdf.queryExecution().analyzed().toString()
+    fine = df.where(C._usable("v"))
+    assert {r.id for r in fine.collect()} == {r.id for r in df.select("id", F.col("v").cast("array<double>").alias("v")).where(C._usable("v")).collect()} == {3, 8, 9, 10, 11}
+    pairs = df.where("not id in (4, 5, 6, 7)").crossJoin(fine.select("id", "v").toDF("other", "w")).repartition(3)
+    for r in pairs.select("id", "other", C._likeness()("v", "w").alias("got"), F.coalesce(R.cosine("v", "w"), F.lit(0.0)).alias("want")).collect():
+        assert abs(r.got - r.want) < 1e-12, r
